@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,14 +142,11 @@ def ab_aggregates(df: DataFrame, arm: str, converted: str, metric: str, *segment
 
 def ab_test(df: DataFrame, arm: str, converted: str, metric: str, *segment: str) -> DataFrame:
     """Adds p-values and the decision (promote / stop / hold), vectorized per batch of segments."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
+    @F.pandas_udf("double")
     def chi_p(x: pd.Series) -> pd.Series:
         return x.map(lambda v: chi2_sf(v, 1))
 
-    @pandas_udf("double")
+    @F.pandas_udf("double")
     def t_p(t: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series([t_two_sided(a, b) for a, b in zip(t, d)])
 

@@ -115,7 +115,9 @@ def score_slices(scores: DataFrame, score: str, slices: int) -> DataFrame:
     """Range slices of near-equal size from a mergeable quantile sketch."""
     probs = [i / slices for i in range(1, slices)]
     cuts = scores.agg(F.approx_percentile(score, [float(p) for p in probs], 10_000).alias("q")).first()["q"] if probs else []
-    splits = [float("-inf"), *sorted(set(cuts or [])), float("inf")]
+    if not cuts:
+        return scores.withColumn("__slice", F.lit(0.0))
+    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     return Bucketizer(splits=splits, inputCol=score, outputCol="__slice").transform(scores)
 
 

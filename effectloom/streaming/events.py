@@ -80,7 +80,8 @@ class PolicyStates(StatefulProcessor):
     """Applies legal moves per policy; illegal ones are emitted as rejected.
 
     Entering grace sets an event-time timer 60 days ahead; if it fires while the
-    policy is still in grace, the policy lapses.
+    policy is still in grace, the policy lapses.  One trigger's rows of a key are
+    ordered in memory, so bound the trigger (``max_files``) where keys can be hot.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -91,7 +92,7 @@ class PolicyStates(StatefulProcessor):
         got = self.state.get() if self.state.exists() else None
         return (got[0], got[1]) if got is not None else ("pending", 0)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["at_ms", "event_id"])
         out = []
         state, until = self._current()
@@ -115,7 +116,7 @@ class PolicyStates(StatefulProcessor):
         self.state.update((state, until))
         yield pd.DataFrame(out, columns=["policy_id", "state", "event", "at_ms"])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state, until = self._current()
         if state == "grace":
             self.state.update(("lapsed", until))
@@ -146,7 +147,7 @@ class ContactCap(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", StructType([StructField("at_ms", LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["at_ms", "event_id"])
         last = int(self.last.get()[0]) if self.last.exists() else None
         kept = []
@@ -162,7 +163,7 @@ class ContactCap(StatefulProcessor):
             self.last.update((last,))
         yield pd.DataFrame(kept, columns=["user_id", "event_id", "at_ms"])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
         return iter(())
 
