@@ -139,26 +139,29 @@ def nearest_match(df: DataFrame, key: str, treated: str, score: str, slices: int
     control = F.when(F.col("__c").isNotNull(), F.struct(F.col("__s").alias("s"), F.col("__c").alias("k")))
     points = points.withColumn("__ctl", control)
     inside = Window.partitionBy("__slice").orderBy("__s")
+    # a growing frame over the reversed order: frames that end in unboundedFollowing are quadratic
+    upward = Window.partitionBy("__slice").orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)
     edges = points.groupBy("__slice").agg(F.max("__ctl").alias("__last"), F.min("__ctl").alias("__first"))
-    order = Window.orderBy("__slice")  # one row per slice, at most 4096
+    lower = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice, at most 4096
+    higher = Window.orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.select(
         "__slice",
-        F.last("__last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__low_in"),
-        F.first("__first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__high_in"))
+        F.last("__last", ignorenulls=True).over(lower).alias("__low_in"),
+        F.last("__first", ignorenulls=True).over(higher).alias("__high_in"))
     near = (points
             .withColumn("__low", F.last("__ctl", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("__high", F.first("__ctl", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)))
+            .withColumn("__high", F.last("__ctl", ignorenulls=True).over(upward))
             .filter(F.col("__has_t") == 1)
             .join(F.broadcast(edges), "__slice", "left")
             .withColumn("__low", F.coalesce("__low", "__low_in"))
             .withColumn("__high", F.coalesce("__high", "__high_in")))
-    options = F.array_compact(F.array(*[
-        F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("__s") - F.col(f"{c}.s")).alias("d"),
-                                              F.col(f"{c}.k").alias("k"), F.col(f"{c}.s").alias("s")))
-        for c in ("__low", "__high")]))
-    best = near.withColumn("__best", F.array_min(options)).select(
-        "__s", F.col("__best.k").alias("control_key"), F.col("__best.s").alias("control_score"),
-        F.col("__best.d").alias("distance"))
+    gap_low, gap_high = F.col("__s") - F.col("__low.s"), F.col("__high.s") - F.col("__s")
+    take_low = F.col("__high").isNull() | (F.col("__low").isNotNull() & (
+        (gap_low < gap_high) | ((gap_low == gap_high) & (F.col("__low.k") <= F.col("__high.k")))))
+    best = (near.filter(F.col("__low").isNotNull() | F.col("__high").isNotNull())
+            .select("__s", F.when(take_low, F.col("__low")).otherwise(F.col("__high")).alias("__best"))
+            .select("__s", F.col("__best.k").alias("control_key"), F.col("__best.s").alias("control_score"),
+                    F.abs(F.col("__s") - F.col("__best.s")).alias("distance")))
     return (base.filter(F.col("__t") == 1).join(best, "__s")
             .select(F.col("__key").alias("treated_key"), F.col("__s").alias("treated_score"),
                     "control_key", "control_score", "distance"))

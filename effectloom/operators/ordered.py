@@ -50,22 +50,22 @@ def carry(df: DataFrame, keys: list[str], position: str, order: list[str], value
     """
     picked = {f"__v{i}": e for i, e in enumerate(values.values())}
     work = with_slices(df.withColumns(picked), keys, position, slice_rows)
-    asc = [F.col(c).asc() for c in order]
-    cell = Window.partitionBy(*keys, "__slice").orderBy(*asc)
-    if direction == "back":
-        frame = cell.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-        pick, edge = F.last, F.max_by
-        across = Window.partitionBy(*keys).orderBy(F.col("__slice").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    else:
-        frame = cell.rowsBetween(0 if include_current else 1, Window.unboundedFollowing)
-        pick, edge = F.first, F.min_by
-        across = Window.partitionBy(*keys).orderBy(F.col("__slice").asc()).rowsBetween(1, Window.unboundedFollowing)
+    # Looking ahead is looking back over the reversed order: a frame that starts at
+    # the first row grows by one row at a time, one that ends at the last row is
+    # re-evaluated for every row.
+    back = direction == "back"
+    sort = [F.col(c).asc() if back else F.col(c).desc() for c in order]
+    frame = (Window.partitionBy(*keys, "__slice").orderBy(*sort)
+             .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1))
+    step = F.col("__slice").asc() if back else F.col("__slice").desc()
+    across = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    edge = F.max_by if back else F.min_by
     place = F.struct(*[F.col(c) for c in order])
     summary = work.groupBy(*keys, "__slice").agg(*[
         edge(F.col(v), F.when(F.col(v).isNotNull(), place)).alias(f"__e{i}") for i, v in enumerate(picked)])
     summary = summary.select(*keys, "__slice", *[
-        pick(f"__e{i}", ignorenulls=True).over(across).alias(f"__c{i}") for i in range(len(picked))])
-    local = work.withColumns({f"__l{i}": pick(v, ignorenulls=True).over(frame) for i, v in enumerate(picked)})
+        F.last(f"__e{i}", ignorenulls=True).over(across).alias(f"__c{i}") for i in range(len(picked))])
+    local = work.withColumns({f"__l{i}": F.last(v, ignorenulls=True).over(frame) for i, v in enumerate(picked)})
     joined = local.join(summary, [*keys, "__slice"], "left")
     out = joined.withColumns({name: F.coalesce(f"__l{i}", f"__c{i}") for i, name in enumerate(values)})
     return out.drop("__slice", *picked, *[f"__l{i}" for i in range(len(picked))], *[f"__c{i}" for i in range(len(picked))])

@@ -66,12 +66,16 @@ def panel_regression(df: DataFrame, entity: str, y: str, xs: list[str], clustere
     ent = entity_moments(df, entity, y, xs).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         tot = ent.agg(
-            F.sum("n").alias("n"), F.count("*").alias("g"), F.sum(1.0 / F.col("n")).alias("inv_t"),
+            F.sum("n").alias("n"), F.count("*").alias("g"),
+            *[F.sum(F.col(f"c{i}_{i}") + F.col("n") * F.col(f"m{i}") ** 2).alias(f"x{i}") for i in range(k)], F.sum(1.0 / F.col("n")).alias("inv_t"),
             *[F.sum(f"c{i}_{j}").alias(f"w{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]).first()
         n, g = float(tot["n"]), float(tot["g"])
         if n < MIN_ROWS:
             raise ValueError(f"panel has only {n:.0f} complete rows")
         w = _sym(tot, "w", k + 1)
+        absorbed = [x for i, x in enumerate(xs) if w[i, i] <= 1e-12 * max(tot[f"x{i}"] or 0.0, 1e-300)]
+        if absorbed:
+            raise ValueError(f"constant within every entity: {absorbed}")
         wxx, wxy = w[:k, :k], w[:k, iy]
         beta = solve_scaled(wxx, wxy)
         ssr = float(w[iy, iy] - beta @ wxy)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tails import t_two_sided
+from ..sources.workspace import materialize
 from .gram import estimate_row
 from .joins import nearest_match
 from .typing import binarize, numeric_columns, standardize
@@ -28,7 +29,7 @@ def propensity(df: DataFrame, treated: str, xs: list[str], c: float = 1.0, out:
     packed = VectorAssembler(inputCols=[f"{x}_z" for x in xs], outputCol="__x").transform(work)
     n = packed.count()
     model = LogisticRegression(featuresCol="__x", labelCol=treated, regParam=1.0 / (c * n), elasticNetParam=0.0,
-                               standardization=False, maxIter=1000, tol=1e-8,
+                               standardization=False, maxIter=1000, tol=1e-6,
                                probabilityCol="__p", rawPredictionCol="__r", predictionCol="__y").fit(packed)
     return (model.transform(packed).withColumn(out, vector_to_array("__p")[1])
             .drop("__x", "__p", "__r", "__y", *[f"{x}_z" for x in xs]))
@@ -94,6 +95,8 @@ def common_support(df: DataFrame, treated: str, score: str) -> DataFrame:
 def propensity_score_matching(df: DataFrame, key: str, y: str, treatment: str, causes: list[str]):
     """Binarize, score, match 1-NN with replacement; returns (pairs, scored, covariates)."""
     xs = confounders(df, y, treatment, causes)
-    scored = propensity(binarize(df, treatment, "__treated"), "__treated", xs)
+    # the score feeds several passes of the match: compute it once
+    scored = materialize(propensity(binarize(df, treatment, "__treated"), "__treated", xs).select(
+        key, "__treated", "score", *dict.fromkeys([y, *xs])))
     pairs = matched_rows(scored, nearest_match(scored, key, "__treated", "score"), key, [y, *xs])
     return pairs, scored, xs

@@ -76,7 +76,7 @@ _LATEST = "(SELECT max(o_orderdate+to_days(CASE o_orderkey%4 WHEN 0 THEN 365 WHE
  UNION ALL SELECT o_orderkey, 'active', 'renew' FROM orders WHERE o_orderkey%4=0
  UNION ALL SELECT o_orderkey, 'grace', 'miss_payment' FROM orders WHERE o_orderkey%4 IN (1,2)
  UNION ALL SELECT o_orderkey, 'active', 'pay' FROM orders WHERE o_orderkey%4=1
- UNION ALL SELECT o_orderkey, 'lapsed', 'grace_expired' FROM orders WHERE o_orderkey%4=2 AND o_orderdate+INTERVAL 160 DAY<={_LATEST}-INTERVAL 1 DAY
+ UNION ALL SELECT o_orderkey, 'lapsed', 'grace_expired' FROM orders WHERE o_orderkey%4=2 AND o_orderdate+INTERVAL 160 DAY<{_LATEST}-INTERVAL 1 DAY
  UNION ALL SELECT o_orderkey, 'active', 'rejected:reinstate' FROM orders WHERE o_orderkey%4=3
  UNION ALL SELECT o_orderkey, 'terminated', 'surrender' FROM orders WHERE o_orderkey%4=3)""")
 def policy_states(spark, sf):

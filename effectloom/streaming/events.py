@@ -11,10 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_events(spark: SparkSession, path: str, ts: str = "ts", name: str = "events.parquet",
@@ -67,8 +64,7 @@ def churn_stream(expiries: DataFrame, renewals: DataFrame, days: int = 30, delay
     return e.join(r, cond, "leftOuter").filter(F.col("r_user").isNull()).select(F.col("e_user").alias("user_id"), "policy_id", "expiry_ts")
 
 
-STATE_OUT = StructType([StructField("policy_id", LongType()), StructField("state", StringType()),
-                        StructField("event", StringType()), StructField("at_ms", LongType())])
+STATE_OUT = "policy_id long, state string, event string, at_ms long"
 # Legal moves of the policy state machine, by event.
 MOVES = {("pending", "activate"): "active", ("active", "renew"): "active", ("active", "expire"): "terminated",
          ("active", "miss_payment"): "grace", ("grace", "pay"): "active", ("lapsed", "reinstate"): "active",
@@ -76,106 +72,75 @@ MOVES = {("pending", "activate"): "active", ("active", "renew"): "active", ("act
 GRACE_MS = 60 * 86_400_000
 
 
-class PolicyStates(StatefulProcessor):
-    """Applies legal moves per policy; illegal ones are emitted as rejected.
-
-    Entering grace sets an event-time timer 60 days ahead; if it fires while the
-    policy is still in grace, the policy lapses.  One trigger's rows of a key are
-    ordered in memory, so bound the trigger (``max_files``) where keys can be hot.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", StructType([StructField("state", StringType()), StructField("grace_until", LongType())]))
-
-    def _current(self):
-        got = self.state.get() if self.state.exists() else None
-        return (got[0], got[1]) if got is not None else ("pending", 0)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at_ms", "event_id"])
-        out = []
-        state, until = self._current()
-        for event, at in zip(batch["event"], batch["at_ms"]):
-            at = int(at)
-            if state == "grace" and at > until:
-                self.handle.deleteTimer(until)
-                out.append((key[0], "lapsed", "grace_expired", until))
-                state = "lapsed"
-            new = MOVES.get((state, event))
-            if new is None:
-                out.append((key[0], state, f"rejected:{event}", at))
+def _in_order(chunks: Iterator[pd.DataFrame], label: str) -> list[tuple]:
+    """(at_ms, event_id, label) of one key's rows in this trigger, sorted."""
+    rows = [t for c in chunks for t in zip(c["at_ms"].tolist(), c["event_id"].tolist(), c[label].tolist())]
+    rows.sort()
+    return rows
+
+
+def _wake_at(state: GroupState, at: int) -> None:
+    state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
+
+
+def _policy_step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    now, until = state.get if state.exists else ("pending", 0)
+    out = []
+    if state.hasTimedOut:
+        if now == "grace":
+            now = "lapsed"
+            out.append((key[0], now, "grace_expired", until))
+    else:
+        for at, _, event in _in_order(chunks, "event"):
+            if now == "grace" and at > until:
+                now = "lapsed"
+                out.append((key[0], now, "grace_expired", until))
+            target = MOVES.get((now, event))
+            if target is None:
+                out.append((key[0], now, f"rejected:{event}", at))
                 continue
-            if state == "grace" and new != "grace":
-                self.handle.deleteTimer(until)
-            if new == "grace":
-                until = at + GRACE_MS
-                self.handle.registerTimer(until)
-            state = new
-            out.append((key[0], state, event, at))
-        self.state.update((state, until))
-        yield pd.DataFrame(out, columns=["policy_id", "state", "event", "at_ms"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state, until = self._current()
-        if state == "grace":
-            self.state.update(("lapsed", until))
-            yield pd.DataFrame([(key[0], "lapsed", "grace_expired", until)], columns=["policy_id", "state", "event", "at_ms"])
-
-    def close(self) -> None:
-        pass
+            now, until = target, at + GRACE_MS if target == "grace" else until
+            out.append((key[0], now, event, at))
+    state.update((now, until))
+    if now == "grace":
+        _wake_at(state, until)
+    yield pd.DataFrame(out, columns=["policy_id", "state", "event", "at_ms"])
 
 
 def policy_state_stream(stream: DataFrame, ts: str, delay: str = "1 day") -> DataFrame:
-    """stream: policy_id, event_id, event, event time.  Needs the RocksDB state store."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = (stream.withWatermark(ts, delay).select("policy_id", "event_id", "event", ts, F.unix_millis(ts).alias("at_ms")))
-    return rows.groupBy("policy_id").transformWithStateInPandas(
-        PolicyStates(), outputStructType=STATE_OUT, outputMode="Append", timeMode="EventTime")
-
-
-CONTACT_OUT = StructType([StructField("user_id", LongType()), StructField("event_id", LongType()), StructField("at_ms", LongType())])
-
+    """Legal moves per policy; illegal ones come out as rejected.
 
-class ContactCap(StatefulProcessor):
-    """Lets one contact per user through, then none for ``days``."""
-
-    def __init__(self, days: int) -> None:
-        self.window_ms = days * 86_400_000
+    stream: policy_id, event_id, event, event time.  Entering grace sets an
+    event-time timeout 60 days ahead; if the policy is still in grace then, it
+    lapses.  One trigger's rows of a key are ordered in memory, so bound the
+    trigger (``max_files``) where keys can be hot.
+    """
+    rows = stream.withWatermark(ts, delay).select("policy_id", "event_id", "event", ts, F.unix_millis(ts).alias("at_ms"))
+    return rows.groupBy("policy_id").applyInPandasWithState(
+        _policy_step, STATE_OUT, "state string, grace_until long", "append", GroupStateTimeout.EventTimeTimeout)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", StructType([StructField("at_ms", LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at_ms", "event_id"])
-        last = int(self.last.get()[0]) if self.last.exists() else None
+def contact_cap(stream: DataFrame, ts: str, days: int = 30, delay: str = "1 day") -> DataFrame:
+    """Lets one contact per user through, then none for ``days``; state expires with the cap."""
+    window_ms = days * 86_400_000
+
+    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
         kept = []
-        for event, at in zip(batch["event_id"], batch["at_ms"]):
-            at = int(at)
-            if last is None or at - last >= self.window_ms:
-                if last is not None:
-                    self.handle.deleteTimer(last + self.window_ms)
+        for at, event, _ in _in_order(chunks, "event_id"):
+            if last is None or at - last >= window_ms:
                 last = at
-                self.handle.registerTimer(at + self.window_ms)
-                kept.append((key[0], int(event), at))
-        if last is not None:
-            self.last.update((last,))
+                kept.append((key[0], event, at))
+        state.update((last,))
+        _wake_at(state, last + window_ms)
         yield pd.DataFrame(kept, columns=["user_id", "event_id", "at_ms"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-def contact_cap(stream: DataFrame, ts: str, days: int = 30, delay: str = "1 day") -> DataFrame:
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = stream.withWatermark(ts, delay).select("user_id", "event_id", ts, F.unix_millis(ts).alias("at_ms"))
-    return rows.groupBy("user_id").transformWithStateInPandas(
-        ContactCap(days), outputStructType=CONTACT_OUT, outputMode="Append", timeMode="EventTime")
+    return rows.groupBy("user_id").applyInPandasWithState(
+        step, "user_id long, event_id long, at_ms long", "at_ms long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_sink(stream: DataFrame, path: str, checkpoint: str, key: str, order: str, output_mode: str = "update"):
