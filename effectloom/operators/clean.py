@@ -127,7 +127,7 @@ def clean(df: DataFrame, threshold: float = 0.5, method: str = "iqr", k: float =
     """Dedup, infer, coerce, drop sparse, impute, winsorize, infer again."""
     spark = df.sparkSession
     base = df.dropDuplicates()
-    meta = ty.column_meta(base, "", max_unique, max_ratio, with_median=False)
+    meta = ty.column_meta(base, "", max_unique, max_ratio, with_median=False, exact_unique=False)
     kinds = ty.semantic_types(meta)
     work = ty.coerce_datetime(base, [c for c, t in kinds.items() if t == "datetime"])
     work = ty.coerce_numeric(work, [c for c, t in kinds.items()
@@ -154,4 +154,4 @@ def clean(df: DataFrame, threshold: float = 0.5, method: str = "iqr", k: float =
              outliers[c]["upper"] if c in outliers else None) for c in df.columns]
     report = spark.createDataFrame(rows, "column string, semantic_type string, n_missing long, dropped boolean, "
                                          "imputed_by string, n_imputed long, n_outliers long, lower double, upper double")
-    return CleanResult(work, ty.column_meta(work, "", max_unique, max_ratio, with_median=False), report)
+    return CleanResult(work, ty.column_meta(work, "", max_unique, max_ratio, with_median=False, exact_unique=False), report)

@@ -58,9 +58,8 @@ def boosted_residuals(df: DataFrame, y: str, t: str, xs: list[str], trees: int =
         my = GBTRegressor(featuresCol="__x", labelCol=y, predictionCol="__py", maxIter=trees, maxDepth=depth, seed=seed).fit(train)
         test = my.transform(test)
         if two:
-            mt = GBTClassifier(featuresCol="__x", labelCol=t, predictionCol="__pt", probabilityCol="__prob",
-                               rawPredictionCol="__raw", maxIter=trees, maxDepth=depth, seed=seed).fit(train)
-            test = mt.transform(test).withColumn("__pt", vector_to_array("__prob")[1]).drop("__prob", "__raw")
+            mt = GBTClassifier(featuresCol="__x", labelCol=t, predictionCol="__pt", maxIter=trees, maxDepth=depth, seed=seed).fit(train)
+            test = mt.transform(test).withColumn("__pt", vector_to_array("probability")[1]).drop("probability", "rawPrediction")
         else:
             mt = GBTRegressor(featuresCol="__x", labelCol=t, predictionCol="__pt", maxIter=trees, maxDepth=depth, seed=seed).fit(train)
             test = mt.transform(test)

@@ -113,7 +113,8 @@ def panel_regression(df: DataFrame, entity: str, y: str, xs: list[str], clustere
         re.intercept_se = float(np.sqrt(re.ssr / re.df_resid * (
             1 / qsum + mean[:k] @ inverse_scaled(cross[:k, :k]) @ mean[:k])))
         gap = beta - re.coef
-        diff = s2e * inv - re.cov
+        # one error variance on both sides keeps the difference positive semi-definite
+        diff = s2e * (inv - inverse_scaled(cross[:k, :k]))
         h = float(gap @ np.linalg.pinv(diff) @ gap)
         return PanelResult(fe, re, h, k, chi2_sf(h, k) if h > 0 else 1.0, s2e, s2u)
     finally:

@@ -40,13 +40,17 @@ def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def column_meta(df: DataFrame, table: str = "", max_unique: int = 20, max_ratio: float = 0.3,
-                date_ratio: float = 0.8, with_median: bool = True) -> DataFrame:
+                date_ratio: float = 0.8, with_median: bool = True, exact_unique: bool = True) -> DataFrame:
     """One row per column: counts, moments and the inferred semantic type.
 
     Rules: datetime by physical type; two distinct values or fewer is binary;
     text is datetime when more than ``date_ratio`` of rows parse, continuous
     when all non-null values are numbers, else categorical; a number with few
     distinct values relative to the rows is categorical.
+
+    ``exact_unique=False`` counts distinct values exactly only in columns whose
+    sketch is near the thresholds, where the type depends on the count; wide
+    continuous columns then keep the sketch's estimate and shuffle nothing.
     """
     spark = df.sparkSession
     cols, nums = df.columns, numeric_columns(df)
@@ -61,9 +65,13 @@ def column_meta(df: DataFrame, table: str = "", max_unique: int = 20, max_ratio:
         elif c in text:
             aggs += [F.count(F.try_to_timestamp(F.col(c))).alias(f"dates_{i}"),
                      F.count(F.expr(f"try_cast(`{c}` as double)")).alias(f"numbers_{i}")]
+    if not exact_unique:
+        aggs += [F.approx_count_distinct(F.col(c)).alias(f"sketch_{i}") for i, c in enumerate(cols)]
     s = df.agg(*aggs).first().asDict()
-    unique = {r["column"]: r["u"] for r in
-              value_counts(df).groupBy("column").agg(F.count("*").alias("u")).collect()}
+    unique = {} if exact_unique else {c: s[f"sketch_{i}"] for i, c in enumerate(cols)}
+    counted = cols if exact_unique else [c for c in cols if unique[c] <= 4 * max_unique]
+    if counted:
+        unique |= {r["column"]: r["u"] for r in value_counts(df, counted).groupBy("column").agg(F.count("*").alias("u")).collect()}
     medians = exact_quantiles(df, {c: [0.5] for c in nums}) if with_median else {}
     n, rows = s["n"], []
     for i, c in enumerate(cols):

@@ -117,7 +117,7 @@ _RE = _FE + """, e AS (SELECT supp, count(*) AS t, avg(qty) AS mx, avg(price) AS
  th AS (SELECT e.*, sqrt(s2e/(s2e+t*s2u)) AS k FROM e, v),
  z AS (SELECT th.k AS c, b.qty-(1-k)*mx AS x, b.price-(1-k)*my AS y FROM b JOIN th USING (supp)),
  p AS (SELECT x-c*(sum(x*c) OVER ()/sum(c*c) OVER ()) AS x, y-c*(sum(y*c) OVER ()/sum(c*c) OVER ()) AS y FROM z),
- re AS (SELECT sum(x*y)/sum(x*x) AS beta, (sum(y*y)-pow(sum(x*y),2)/sum(x*x))/(count(*)-2)/sum(x*x) AS var FROM p)"""
+ re AS (SELECT sum(x*y)/sum(x*x) AS beta, (sum(y*y)-pow(sum(x*y),2)/sum(x*x))/(count(*)-2)/sum(x*x) AS var, sum(x*x) AS xx FROM p)"""
 
 
 @query("G9_random_effects", f"WITH {BASKETS}, {_RE} SELECT 'panel_re' AS method, 'qty' AS term, round(beta,4) AS coef, round(sqrt(var),4) AS se FROM re")
@@ -125,7 +125,7 @@ def random_effects(spark, sf):
     return tidy(panel.panel_regression(baskets(spark, sf), "supp", "price", ["qty"]).re.coef_table(spark)).drop("t_stat")
 
 
-@query("G10_hausman", f"WITH {BASKETS}, {_RE} SELECT round(pow(s.beta-re.beta,2)/(s.ssr/(s.n-s.g-1)/s.xx-re.var),3) AS hausman, 1 AS df FROM s, re")
+@query("G10_hausman", f"WITH {BASKETS}, {_RE} SELECT round(pow(s.beta-re.beta,2)/(v.s2e/s.xx-v.s2e/re.xx),3) AS hausman, 1 AS df FROM s, re, v")
 def hausman(spark, sf):
     res = panel.panel_regression(baskets(spark, sf), "supp", "price", ["qty"])
     return spark.createDataFrame([(round(res.hausman, 3), res.hausman_df)], "hausman double, df int")

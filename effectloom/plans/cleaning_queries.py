@@ -73,7 +73,7 @@ def numeric_coercion(spark, sf):
 @query("B5_select_by_type", f"WITH {DIRTY} SELECT id, balance, nation, sparse, num_text FROM dirty")
 def select_by_type(spark, sf):
     df = dirty(spark, sf)
-    return ty.select_by_type(df, ty.column_meta(df, with_median=False), "continuous")
+    return ty.select_by_type(df, ty.column_meta(df, with_median=False, exact_unique=False), "continuous")
 
 
 @query("B6_drop_sparse_columns", f"WITH {DIRTY} SELECT id, balance, segment, CAST(nation AS DOUBLE) AS nation, day_text, num_text, flag FROM dirty")
