@@ -126,7 +126,7 @@ def clean(df: DataFrame, threshold: float = 0.5, method: str = "iqr", k: float =
           max_unique: int = 20, max_ratio: float = 0.3) -> CleanResult:
     """Dedup, infer, coerce, drop sparse, impute, winsorize, infer again."""
     spark = df.sparkSession
-    base = df.dropDuplicates()
+    base = materialize(df.dropDuplicates())  # the passes below must not repeat the dedup shuffle
     meta = ty.column_meta(base, "", max_unique, max_ratio, with_median=False, exact_unique=False)
     kinds = ty.semantic_types(meta)
     work = ty.coerce_datetime(base, [c for c, t in kinds.items() if t == "datetime"])
