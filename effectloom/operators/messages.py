@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workspace import materialize
+
 # Prohibited phrases by category.
 PROHIBITED = {
     "promised_return": ["保证收益", "稳赚不赔", "保本保息"],
@@ -27,18 +29,22 @@ def compliance_flags(messages: DataFrame, text: str, phrases: dict[str, list[str
     return messages.withColumn("categories", F.array_compact(F.array(*hits))).withColumn("flagged", F.size("categories") > 0)
 
 
-def funnel(events: DataFrame, user: str, ts: str, kind: str, stages: list[str]) -> DataFrame:
+def funnel(events: DataFrame, user: str, ts: str, kind: str, stages: list[str], salts: int = 8) -> DataFrame:
     """Users reaching each stage after all earlier ones, conversion and mean lag in hours.
 
-    One aggregate per later stage: the earliest event at or after the time the
-    user reached the stage before.
+    A stage is reached at its earliest event at or after the time of the stage
+    before.  The search is salted by time, so one very active user is spread
+    over ``salts`` tasks, and the one-row-per-user result of each stage is
+    written out, so stage i is not recomputed by stage i + 1.
     """
-    reached = events.filter(F.col(kind) == stages[0]).groupBy(user).agg(F.min(ts).alias("t0"))
+    def salt(c): return F.pmod(F.xxhash64(c), F.lit(salts)).cast("int").alias("__salt")
+    reached = materialize(events.filter(F.col(kind) == stages[0]).groupBy(user).agg(F.min(ts).alias("t0")))
     for i, stage in enumerate(stages[1:], start=1):
-        nxt = events.filter(F.col(kind) == stage).select(user, F.col(ts).alias("__t"))
-        hit = (nxt.join(reached.select(user, f"t{i - 1}"), user).filter(F.col("__t") >= F.col(f"t{i - 1}"))
-               .groupBy(user).agg(F.min("__t").alias(f"t{i}")))
-        reached = reached.join(hit, user, "left")
+        nxt = events.filter(F.col(kind) == stage).select(user, F.col(ts).alias("__t"), salt(F.col(ts)))
+        start = reached.select(user, F.col(f"t{i - 1}").alias("__from"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+        hit = (nxt.join(start, [user, "__salt"]).filter(F.col("__t") >= F.col("__from"))
+               .groupBy(user, "__salt").agg(F.min("__t").alias("__t")).groupBy(user).agg(F.min("__t").alias(f"t{i}")))
+        reached = materialize(reached.join(hit, user, "left"))
     hours = lambda a, b: F.expr(f"timestampdiff(MICROSECOND, t{a}, t{b})") / 3.6e9
     one = reached.agg(*[F.count(f"t{i}").alias(f"n{i}") for i in range(len(stages))],
                       *[F.avg(hours(i - 1, i)).alias(f"lag{i}") for i in range(1, len(stages))])

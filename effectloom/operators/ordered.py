@@ -1,10 +1,10 @@
 """Ordered per-key operators that do not put a hot key into one task.
 
 A window over ``partitionBy(key)`` sorts each key in a single task.  Here keys
-with more than ``slice_rows`` rows are first cut into slices along the order
-axis; windows run inside (key, slice) and a small table of slice summaries
-carries the boundary value into the next slice.  Keys of normal size form one
-slice and pay nothing extra.
+with more than ``slice_rows`` rows are cut into slices along the order axis;
+windows run inside (key, slice) and a small table of slice summaries carries the
+boundary value into the next slice.  A count decides first; without hot keys the
+operator is one plain window.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.workspace import materialize
+
 SLICE_ROWS = 2_000_000
 
 
@@ -19,16 +21,25 @@ def _position(order: str) -> Column:
     return F.col(order).cast("double")
 
 
-def with_slices(df: DataFrame, keys: list[str], position: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Add ``__slice``: 0 for ordinary keys, equal-width steps for hot ones.
+AUTO = object()
+
+
+def hot_keys(df: DataFrame, keys: list[str], position: str, slice_rows: int = SLICE_ROWS) -> DataFrame | None:
+    """Keys above the limit with their slice width, or None when there are none.
 
-    Only keys above the limit appear in the joined table, so it holds at most
-    rows/slice_rows entries.
+    One map-side-combined count decides: without hot keys the operators below
+    stay single plain windows.  At most rows/slice_rows keys are listed.
     """
-    hot = (df.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(position).alias("__lo"), F.max(position).alias("__hi"))
-           .filter(F.col("__n") > slice_rows)
-           .withColumn("__width", (F.col("__hi") - F.col("__lo")) / F.ceil(F.col("__n") / F.lit(slice_rows)))
-           .select(*keys, "__lo", "__width"))
+    hot = materialize(
+        df.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(position).alias("__lo"), F.max(position).alias("__hi"))
+        .filter(F.col("__n") > slice_rows)
+        .withColumn("__width", (F.col("__hi") - F.col("__lo")) / F.ceil(F.col("__n") / F.lit(slice_rows)))
+        .select(*keys, "__lo", "__width"))
+    return None if hot.isEmpty() else hot
+
+
+def with_slices(df: DataFrame, keys: list[str], position: str, hot: DataFrame) -> DataFrame:
+    """Add ``__slice``: 0 for ordinary keys, equal-width steps for hot ones."""
     at = F.when(F.col("__width") > 0, F.floor((F.col(position) - F.col("__lo")) / F.col("__width"))).otherwise(F.lit(0))
     return (df.join(hot, keys, "left")
             .withColumn("__slice", F.coalesce(at, F.lit(0)).cast("long")).drop("__lo", "__width"))
@@ -41,22 +52,27 @@ def seconds(col: str | Column) -> Column:
 
 
 def carry(df: DataFrame, keys: list[str], position: str, order: list[str], values: dict[str, Column],
-          direction: str = "back", include_current: bool = False, slice_rows: int = SLICE_ROWS) -> DataFrame:
+          direction: str = "back", include_current: bool = False, slice_rows: int = SLICE_ROWS, hot=AUTO) -> DataFrame:
     """Nearest earlier (back) or later (ahead) non-null value per key.
 
     ``position`` is a numeric column; ``order`` is the full sort, ``position``
     first.  Each entry of ``values`` is an expression that is null on rows that
     must not be picked; its picked value lands in the named column.
     """
+    if hot is AUTO:
+        hot = hot_keys(df, keys, position, slice_rows)
     picked = {f"__v{i}": e for i, e in enumerate(values.values())}
-    work = with_slices(df.withColumns(picked), keys, position, slice_rows)
     # Looking ahead is looking back over the reversed order: a frame that starts at
     # the first row grows by one row at a time, one that ends at the last row is
     # re-evaluated for every row.
     back = direction == "back"
     sort = [F.col(c).asc() if back else F.col(c).desc() for c in order]
-    frame = (Window.partitionBy(*keys, "__slice").orderBy(*sort)
-             .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1))
+    cell = keys if hot is None else [*keys, "__slice"]
+    frame = Window.partitionBy(*cell).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    if hot is None:
+        return (df.withColumns(picked).withColumns({name: F.last(f"__v{i}", ignorenulls=True).over(frame) for i, name in enumerate(values)})
+                .drop(*picked))
+    work = with_slices(df.withColumns(picked), keys, position, hot)
     step = F.col("__slice").asc() if back else F.col("__slice").desc()
     across = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     edge = F.max_by if back else F.min_by
@@ -72,14 +88,19 @@ def carry(df: DataFrame, keys: list[str], position: str, order: list[str], value
 
 
 def running_sum(df: DataFrame, keys: list[str], position: str, order: list[str], value: Column, out: str,
-                slice_rows: int = SLICE_ROWS) -> DataFrame:
+                slice_rows: int = SLICE_ROWS, hot=AUTO) -> DataFrame:
     """Cumulative sum per key in order, slice totals carried forward."""
-    work = with_slices(df.withColumn("__v", value), keys, position, slice_rows)
-    cell = Window.partitionBy(*keys, "__slice").orderBy(*[F.col(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    if hot is AUTO:
+        hot = hot_keys(df, keys, position, slice_rows)
+    cell = keys if hot is None else [*keys, "__slice"]
+    so_far = Window.partitionBy(*cell).orderBy(*[F.col(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    if hot is None:
+        return df.withColumn(out, F.sum(value).over(so_far))
+    work = with_slices(df.withColumn("__v", value), keys, position, hot)
     across = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = (work.groupBy(*keys, "__slice").agg(F.sum("__v").alias("__t"))
               .select(*keys, "__slice", F.coalesce(F.sum("__t").over(across), F.lit(0)).alias("__before")))
-    return (work.withColumn("__local", F.sum("__v").over(cell)).join(totals, [*keys, "__slice"], "left")
+    return (work.withColumn("__local", F.sum("__v").over(so_far)).join(totals, [*keys, "__slice"], "left")
             .withColumn(out, F.col("__local") + F.col("__before")).drop("__v", "__local", "__before", "__slice"))
 
 
@@ -181,8 +202,9 @@ def sessionize(events: DataFrame, key: str, ts: str, tiebreak: str, gap_seconds:
                slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Sessions per key: start, end, events; a gap of ``gap_seconds`` or more starts a new one."""
     work = events.select(key, ts, tiebreak).withColumn("__pos", seconds(ts))
-    prev = carry(work, [key], "__pos", ["__pos", tiebreak], {"__prev": F.col("__pos")}, slice_rows=slice_rows)
+    hot = hot_keys(work, [key], "__pos", slice_rows)
+    prev = carry(work, [key], "__pos", ["__pos", tiebreak], {"__prev": F.col("__pos")}, hot=hot)
     new = F.when(F.col("__prev").isNull() | (F.col("__pos") - F.col("__prev") >= gap_seconds), 1).otherwise(0)
-    numbered = running_sum(prev, [key], "__pos", ["__pos", tiebreak], new, "session", slice_rows)
+    numbered = running_sum(prev, [key], "__pos", ["__pos", tiebreak], new, "session", hot=hot)
     return numbered.groupBy(key, "session").agg(
         F.min(ts).alias("session_start"), F.max(ts).alias("last_event"), F.count("*").alias("n_events"))
