@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workspace import materialize
 from .gram import LinearFit, diagnostics_table, ols
 from .ordered import median_period, seconds
 from .typing import NUMERIC, treatment_post
 
 
-def half_of_entities(df: DataFrame, entity: str, out: str = "treated") -> DataFrame:
-    """First half of the sorted entities is treated.
+def text_order_statistic(df: DataFrame, col: str, rank: int, step: int = 2) -> str:
+    """Value at a 0-based rank of a text column, in Spark's string order.
 
-    The cut is the exact order statistic of the distinct keys, so no global
-    sort window is needed for numeric keys.
+    Each pass counts the next ``step`` characters under the prefix found so far,
+    so neither a sort nor an offset gathers the keys anywhere.
     """
-    cut = median_period(df, entity) if isinstance(df.schema[entity].dataType, NUMERIC) else None
-    if cut is None:
-        ids = df.select(entity).distinct()
-        mid = ids.count() // 2
-        cut = ids.orderBy(entity).offset(mid).first()[0]
+    prefix, below = "", 0
+    while True:
+        under = df.filter(F.col(col).startswith(prefix)) if prefix else df
+        chunk = F.substring(col, len(prefix) + 1, step)
+        for row in under.groupBy(chunk.alias("chunk")).agg(F.count("*").alias("n")).orderBy("chunk").collect():
+            if below + row["n"] > rank:
+                break
+            below += row["n"]
+        prefix += row["chunk"]
+        if row["n"] == 1:
+            return df.filter(F.col(col).startswith(prefix) if len(row["chunk"]) == step else F.col(col) == prefix).first()[0]
+        if len(row["chunk"]) < step:
+            return prefix
+
+
+def half_of_entities(df: DataFrame, entity: str, out: str = "treated") -> DataFrame:
+    """First half of the sorted entities is treated; the cut is an exact order statistic."""
+    if isinstance(df.schema[entity].dataType, NUMERIC):
+        cut = median_period(df, entity)
+    else:
+        ids = materialize(df.select(F.col(entity).cast("string").alias("e")).na.drop().distinct())
+        cut = text_order_statistic(ids, "e", ids.count() // 2)
     return df.withColumn(out, (F.col(entity) < F.lit(cut)).cast("int"))
 
 

@@ -88,6 +88,16 @@ def test_did_recovers_interaction(spark):
     assert es[0] == pytest.approx(1.5, abs=0.1) and abs(es[-3]) < 0.1
 
 
+def test_text_entities_split_in_half(spark):
+    names = sorted({f"E{i % 7}{'x' * (i % 3)}{i}" for i in range(41)} | {"E", "E1", "E1x"})
+    df = spark.createDataFrame([(n,) for n in names for _ in range(2)], "firm string")
+    ids = df.distinct()
+    assert [did.text_order_statistic(ids, "firm", r) for r in (0, 5, len(names) // 2, len(names) - 1)] == [
+        names[r] for r in (0, 5, len(names) // 2, len(names) - 1)]
+    got = {r["firm"] for r in did.half_of_entities(df, "firm").filter("treated = 1").collect()}
+    assert got == set(names[:len(names) // 2])
+
+
 def test_two_stage_removes_bias(spark):
     rng = np.random.default_rng(4)
     n = 4000
