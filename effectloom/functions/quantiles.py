@@ -10,11 +10,14 @@ lies in a cell that is a single value or is small enough to list.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 1_000_000
+SMALL = 100_000
 CELLS = 1024
 LISTED = 20_000
 
@@ -24,6 +27,7 @@ def _order_statistics(df: DataFrame, col: str, ranks: list[int], lo: float, hi:
     """Values at 0-based ``ranks`` of the sorted non-null column."""
     values = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
     answers: dict[int, float] = {}
+    short: list[tuple] = []  # small cells, listed together at the end
     # each open interval: (lo, hi, number of rows below it, ranks wanted in it)
     work = [(lo, hi, 0, sorted(set(ranks)))]
     while work:
@@ -43,15 +47,18 @@ def _order_statistics(df: DataFrame, col: str, ranks: list[int], lo: float, hi:
             if here and row["lo"] == row["hi"]:
                 answers.update({r: row["lo"] for r in here})
             elif here and row["n"] <= listed:
-                counted = (values.filter((F.col("v") >= row["lo"]) & (F.col("v") <= row["hi"]))
-                           .groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect())
-                at = start
-                for v, n in ((c["v"], c["n"]) for c in counted):
-                    answers.update({r: v for r in here if at <= r < at + n})
-                    at += n
+                short.append((row["lo"], row["hi"], start, here))
             elif here:
                 work.append((row["lo"], row["hi"], start, here))
             start += row["n"]
+    if short:
+        near = reduce(or_, [F.col("v").between(lo, hi) for lo, hi, _, _ in short])
+        counted = values.filter(near).groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect()
+        for lo, hi, start, here in short:
+            at = start
+            for v, n in ((c["v"], c["n"]) for c in counted if lo <= c["v"] <= hi):
+                answers.update({r: v for r in here if at <= r < at + n})
+                at += n
     return answers
 
 
@@ -76,18 +83,19 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], small: int =
         row = df.agg(*[F.percentile(num[c], F.array(*[F.lit(float(q)) for q in wanted[c]])).alias(c)
                        for c in direct]).first()
         out.update({c: list(row[c]) for c in direct})
-    for c in wanted:
+    out.update({c: [None] * len(wanted[c]) for c in wanted if stats[c]["n"] == 0})
+
+    def narrow(c: str) -> list[float]:
         n = stats[c]["n"]
-        if n == 0:
-            out[c] = [None] * len(wanted[c])
-        elif c not in direct:
-            ranks = sorted({r for q in wanted[c] for r in (math.floor((n - 1) * q), math.ceil((n - 1) * q))})
-            got = _order_statistics(df.select(num[c].alias(c)), c, ranks, stats[c]["lo"], stats[c]["hi"], cells, listed)
-            out[c] = []
-            for q in wanted[c]:
-                h = (n - 1) * q
-                a, b = got[math.floor(h)], got[math.ceil(h)]
-                out[c].append(a + (h - math.floor(h)) * (b - a))
+        places = [(n - 1) * q for q in wanted[c]]
+        ranks = sorted({r for h in places for r in (math.floor(h), math.ceil(h))})
+        got = _order_statistics(df.select(num[c].alias(c)), c, ranks, stats[c]["lo"], stats[c]["hi"], cells, listed)
+        return [got[math.floor(h)] + (h - math.floor(h)) * (got[math.ceil(h)] - got[math.floor(h)]) for h in places]
+
+    large = [c for c in wanted if c not in out]
+    if large:  # independent one-column jobs: let them share the cluster
+        with ThreadPoolExecutor(min(8, len(large))) as pool:
+            out.update(zip(large, pool.map(narrow, large)))
     return out
 
 

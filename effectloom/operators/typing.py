@@ -13,6 +13,8 @@ from ..functions.quantiles import exact_quantiles, median
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
+DISTINCT_COLUMNS = 8  # columns per distinct-count pass; each pass expands rows by this factor
+
 META_SCHEMA = ("table string, column string, dtype string, semantic_type string, n long, n_missing long, "
                "n_unique long, mean double, std double, min double, max double, median double")
 
@@ -70,8 +72,10 @@ def column_meta(df: DataFrame, table: str = "", max_unique: int = 20, max_ratio:
     s = df.agg(*aggs).first().asDict()
     unique = {} if exact_unique else {c: s[f"sketch_{i}"] for i, c in enumerate(cols)}
     counted = cols if exact_unique else [c for c in cols if unique[c] <= 4 * max_unique]
-    if counted:
-        unique |= {r["column"]: r["u"] for r in value_counts(df, counted).groupBy("column").agg(F.count("*").alias("u")).collect()}
+    for at in range(0, len(counted), DISTINCT_COLUMNS):
+        part = counted[at:at + DISTINCT_COLUMNS]
+        row = df.agg(*[F.count_distinct(F.col(c)).alias(f"u{i}") for i, c in enumerate(part)]).first()
+        unique |= {c: row[f"u{i}"] for i, c in enumerate(part)}
     medians = exact_quantiles(df, {c: [0.5] for c in nums}) if with_median else {}
     n, rows = s["n"], []
     for i, c in enumerate(cols):
