@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .packing import pack
 from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +26,8 @@ def query(name: str, sql: str | None = None):
 @query("op10_token_counts")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(read(spark, sf, "documents"), "piece_bpe_32k.model", 4096)
+
+
+@query("op6_pack")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(read(spark, sf, "documents"), 1024, "byte_bpe_50k.json", 2)
