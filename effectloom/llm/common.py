@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from effectloom.sources.workspace import new_path
@@ -32,8 +32,26 @@ def text_or_empty(col: str = "text") -> Column:
 
 
 def n_words(text: Column) -> Column:
-    """Words of a text: each word is cut to one mark, then marks are counted."""
-    return F.length(F.regexp_replace(F.regexp_replace(text, WORD, "x"), r"[\x20\x09-\x0D]+", "")).cast("long")
+    """Words of a text: each word is cut down to one mark, then the marks are counted."""
+    space = WORD.replace("^", "")[:-1]
+    marks = F.regexp_replace(text, f"{space}*{WORD}{space}*", "x")
+    return F.when(text.rlike(WORD), F.length(marks)).otherwise(0).cast("long")
+
+
+def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column]) -> DataFrame:
+    """df with running totals over one global order, each without the row itself.
+
+    Rows are cut into ranges of the order; each range is summed, the few range
+    sums are added up, and rows only look back within their range.  No task sees
+    more than a range, and the ranges are written down, so a retry repeats them.
+    """
+    parts = staged(df.repartitionByRange(*order).withColumns({f"add_{n}": c for n, c in totals.items()} | {"range": F.spark_partition_id()}), "ranges")
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    before = parts.groupBy("range").agg(*[F.sum(f"add_{n}").alias(f"sum_{n}") for n in totals]).select(
+        "range", *[F.coalesce(F.sum(f"sum_{n}").over(ahead), F.lit(0)).alias(f"before_{n}") for n in totals])
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.join(before, "range").select(*df.columns, *[
+        (F.coalesce(F.sum(f"add_{n}").over(within), F.lit(0)) + F.col(f"before_{n}")).alias(n) for n in totals])
 
 
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .mixing import MIX_SQL, mix
 from .packing import pack
 from .token_counts import token_counts
 
@@ -31,3 +32,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_pack")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return pack(read(spark, sf, "documents"), 1024, "byte_bpe_50k.json", 2)
+
+
+@query("op7_mix", MIX_SQL)
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(read(spark, sf, "documents"), (5, 2, 1), 1.5, 2.0)
