@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .mixing import MIX_SQL, mix
 from .packing import pack
+from .secrets import SECRETS_SQL, secret_scan
 from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +38,8 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_mix", MIX_SQL)
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return mix(read(spark, sf, "documents"), (5, 2, 1), 1.5, 2.0)
+
+
+@query("op3_secret_scan", SECRETS_SQL)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan(read(spark, sf, "documents"))
