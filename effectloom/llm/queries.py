@@ -10,6 +10,7 @@ from .common import read
 from .mixing import MIX_SQL, mix
 from .packing import pack
 from .secrets import SECRETS_SQL, secret_scan
+from .simhash import near_duplicates
 from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +44,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_secret_scan", SECRETS_SQL)
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan(read(spark, sf, "documents"))
+
+
+@query("op4_simhash")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(read(spark, sf, "documents"), 4, 4, 42)
