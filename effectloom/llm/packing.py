@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +30,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import rows, staged, tokenizer_path
 
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_000_000
 CHUNK_CHARS = 1_000_000
+MARKS = (",", ".")
+#: Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the characters from 256 on.
+PLAIN_BYTES = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - PLAIN_BYTES))}
 BUCKETS = 256
 
 
@@ -43,15 +49,22 @@ class TokenBytes:
     """
 
     def __init__(self, path: str):
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are written as the machine's 32-bit little-endian numbers")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r"\s\s", *map(re.escape, special)])).search
         self.cache: dict[str, bytes] = {}
+        self.marks = dict(zip(MARKS, self.encode(list(MARKS))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def one(self, pre_token: str) -> bytes:
+        """Ids of a text that is a single pre-token, such as a space and letters."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(pre_token.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -61,8 +74,14 @@ class TokenBytes:
             out[i] = ids
         if len(self.cache) > CACHE_WORDS:
             self.cache = {}
-        new = list(set().union(*(p[1:] for p in cut.values())).difference(self.cache))
-        self.cache.update(zip(new, self.encode([w if w[:1] == "\n" else " " + w for w in new])))
+        new = set().union(*(p[1:] for p in cut.values())).difference(self.cache)
+        # a pre-token ends between a letter and one mark, so the word before the mark is encoded once for all marks
+        marked = [w for w in new if w[-1:] in MARKS and w[-2:-1].isalpha()]
+        plain = list(new.difference(marked).union([w[:-1] for w in marked]).difference(self.cache))
+        other = [w for w in plain if not w.isalpha()]
+        self.cache.update(zip(other, self.encode([w if w[:1] == "\n" else " " + w for w in other])))
+        self.cache.update([(w, self.one(" " + w)) for w in plain if w.isalpha()])
+        self.cache.update([(w, self.cache[w[:-1]] + self.marks[w[-1]]) for w in marked])
         first = self.encode([p[0] for p in cut.values()])
         for (i, p), head in zip(cut.items(), first):
             out[i] = head + b"".join(map(self.cache.__getitem__, p[1:]))
@@ -125,24 +144,23 @@ def patterns(present: np.ndarray, length: int) -> np.ndarray:
     return np.concatenate(out).astype(np.int64)
 
 
-def fit(pattern: np.ndarray, counts: np.ndarray, rounds: int = 800) -> np.ndarray:
-    """Repeats x >= 0 that minimise |A x - counts|, by accelerated projected gradients.
+def fit(pattern: np.ndarray, counts: np.ndarray, weight: np.ndarray, rounds: int = 800) -> np.ndarray:
+    """Repeats x >= 0 that minimise |weight (A x - counts)|, by accelerated projected gradients.
 
-    counts is indexed by length; column p of A counts the lengths of pattern p.
+    counts and weight are indexed by length; column p of A counts the lengths of pattern p.
     """
+    square = weight ** 2
+    square[0] = 0.0  # padding
+
     def used(x):
-        full = np.bincount(pattern.ravel(), np.repeat(x, 3), minlength=len(counts))
-        full[0] = 0.0
-        return full
+        return np.bincount(pattern.ravel(), np.repeat(x, 3), minlength=len(counts))
 
-    # the largest eigenvalue of A'A is at most its largest row sum, 3 * the most patterns that share a length
-    step = 1.0 / (3.0 * max(1, np.bincount(pattern.ravel())[1:].max()))
+    # the largest eigenvalue of A'WA is at most 3 * the largest weighted number of patterns that share a length
+    step = 1.0 / (3.0 * max(1e-9, np.bincount(pattern.ravel(), square[pattern].ravel()).max()))
     x = y = np.zeros(len(pattern))
     t = 1.0
     for _ in range(rounds):
-        rest = used(y) - counts
-        rest[0] = 0.0
-        new = np.maximum(0.0, y - step * rest[pattern].sum(1))
+        new = np.maximum(0.0, y - step * ((used(y) - counts) * square)[pattern].sum(1))
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y, x, t = new + (t - 1) / t_new * (new - x), new, t_new
     return x
@@ -178,20 +196,28 @@ def best_fit(counts: np.ndarray, length: int) -> list[tuple[tuple[int, ...], int
 
 
 def plan(counts: np.ndarray, length: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats): every counted piece in exactly one place."""
-    left = counts.astype(np.int64).copy()
+    """(lengths, repeats): every counted piece in exactly one place.
+
+    Fitted twice, all lengths alike and by length (long pieces have fewer
+    partners); the plan with fewer sequences is taken.
+    """
+    pattern = patterns(np.nonzero(counts)[0], length)
+    plans = [rounded(pattern, fit(pattern, counts.astype(float), weight), counts, length)
+             for weight in (np.ones(length + 1), np.arange(length + 1) / length)] if len(pattern) else [best_fit(counts, length)]
+    return min(plans, key=lambda p: sum(n for _, n in p))
+
+
+def rounded(pattern: np.ndarray, x: np.ndarray, counts: np.ndarray, length: int) -> list[tuple[tuple[int, ...], int]]:
+    """Repeats rounded down, most repeated first, and the residuals packed best-fit."""
+    left, repeat = counts.astype(np.int64), np.floor(x).astype(np.int64)
     out: list[tuple[tuple[int, ...], int]] = []
-    pattern = patterns(np.nonzero(left)[0], length)
-    if len(pattern):
-        x = fit(pattern, counts.astype(float))
-        repeat = np.floor(x).astype(np.int64)  # rounded down: the small pieces left over fill what the residuals leave open
-        for p in np.nonzero(repeat)[0][np.argsort(-repeat[repeat > 0], kind="stable")].tolist():
-            held = tuple(v for v in pattern[p].tolist() if v)
-            n = min(int(repeat[p]), *(int(left[v]) // held.count(v) for v in set(held)))
-            if n > 0:
-                out.append((held, n))
-                for v in held:
-                    left[v] -= n
+    for p in np.nonzero(repeat)[0][np.argsort(-repeat[repeat > 0], kind="stable")].tolist():
+        held = tuple(v for v in pattern[p].tolist() if v)
+        n = min(int(repeat[p]), *(int(left[v]) // held.count(v) for v in set(held)))
+        if n > 0:
+            out.append((held, n))
+            for v in held:
+                left[v] -= n
     return out + best_fit(left, length)
 
 

@@ -60,6 +60,7 @@ def test_odd_rows(spark, tokenizer):
 def test_token_bytes_equal_the_library(tokenizer):
     rng = random.Random(5)
     texts = ["".join(rng.choice("ab' \n\t.1é漢 s") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += ["".join(rng.choice("abé漢ªßŉ 𝒳m,.") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     mine = TokenBytes(tokenizer_path("byte_bpe_50k.json"))(texts)
     assert mine == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -75,4 +76,4 @@ def test_plan_holds_every_piece():
                 for v in lengths:
                     held[v] += n
             assert (held == counts).all()
-        assert sum(n for _, n in plan(counts, 1024)) <= sum(n for _, n in best_fit(counts, 1024)) * 1.005 + 1
+        assert sum(n for _, n in plan(counts, 1024)) <= sum(n for _, n in best_fit(counts, 1024)) + 1
