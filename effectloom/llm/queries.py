@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .mixing import MIX_SQL, mix
 from .packing import pack
+from .quality import quality
 from .secrets import SECRETS_SQL, secret_scan
 from .simhash import near_duplicates
 from .token_counts import token_counts
@@ -49,3 +50,8 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_simhash")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(read(spark, sf, "documents"), 4, 4, 42)
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return quality(read(spark, sf, "documents"))
