@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .mixing import MIX_SQL, mix
+from .neighbours import nearest
 from .packing import pack
 from .quality import quality
 from .secrets import SECRETS_SQL, secret_scan
@@ -55,3 +56,8 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_quality")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return quality(read(spark, sf, "documents"))
+
+
+@query("op9_nearest")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest(read(spark, sf, "embeddings"), 100, 10)
