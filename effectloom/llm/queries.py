@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import CHAT_SQL, PROBE, chat_digests, format_chats
 from .common import read
 from .mixing import MIX_SQL, mix
 from .neighbours import nearest
@@ -61,3 +62,10 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_nearest")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return nearest(read(spark, sf, "embeddings"), 100, 10)
+
+
+@query("op2_chat", CHAT_SQL)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
+    return chat_digests(format_chats(rows.unionByName(probe)))
