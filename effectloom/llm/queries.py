@@ -15,6 +15,7 @@ from .quality import quality
 from .secrets import SECRETS_SQL, secret_scan
 from .simhash import near_duplicates
 from .token_counts import token_counts
+from .urls import RULES, judge_urls, labels_of_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,3 +70,9 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
     return chat_digests(format_chats(rows.unionByName(probe)))
+
+
+@query("op8_urls")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read(spark, sf, "pages").select("page_id", "url")
+    return judge_urls(pages, labels_of_pages(pages, read(spark, sf, "labels")), RULES)
