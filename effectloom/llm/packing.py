@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import rows, staged, tokenizer_path
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 CHUNK_CHARS = 1_000_000
 MARKS = (",", ".")
 #: Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the characters from 256 on.
