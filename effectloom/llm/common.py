@@ -31,6 +31,18 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def cut_spans(text: Column, places: Column, mark: str) -> Column:
+    """text with its spans (begin, end), sorted, replaced by a mark; overlapping spans leave one."""
+    state = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
+
+    def upto(s: Column, end: Column) -> Column:
+        return F.concat(s["text"], F.substring(text, (s["at"] + 1).cast("int"), (end - s["at"]).cast("int")))
+
+    return F.aggregate(places, state, lambda s, x: F.struct(
+        F.when(x["begin"] >= s["at"], F.concat(upto(s, x["begin"]), F.lit(mark))).otherwise(s["text"]).alias("text"),
+        F.greatest(s["at"], x["end"].cast("long")).alias("at")), lambda s: upto(s, F.length(text)))
+
+
 def n_words(text: Column) -> Column:
     """Words of a text: each word is cut down to one mark, then the marks are counted."""
     space = WORD.replace("^", "")[:-1]

@@ -14,6 +14,7 @@ from .packing import pack
 from .quality import quality
 from .secrets import SECRETS_SQL, secret_scan
 from .simhash import near_duplicates
+from .substrings import repeated_units
 from .token_counts import token_counts
 from .urls import RULES, judge_urls, labels_of_pages
 
@@ -76,3 +77,8 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     pages = read(spark, sf, "pages").select("page_id", "url")
     return judge_urls(pages, labels_of_pages(pages, read(spark, sf, "labels")), RULES)
+
+
+@query("op1_substrings")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_units(read(spark, sf, "documents"))

@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import cut_spans, staged, text_or_empty
 
 
 def either_case(word: str) -> str:
@@ -123,12 +123,8 @@ def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text
     ids, spans = secret_spans(docs.withColumn(id_col, key), id_col=id_col, text_col=text_col, **how)
     places = spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("places"))
     by_key = ids.join(places, "row").groupBy(F.col("id").alias("key")).agg(F.first("places").alias("places"))
-    # overlapping spans leave one mark: text up to each span that begins behind all earlier ones
-    state = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
     t = F.col("doc")[text_col]
-    cut = F.aggregate("places", state, lambda s, x: F.struct(
-        F.when(x["begin"] >= s["at"], F.concat(s["text"], F.substring(t, (s["at"] + 1).cast("int"), (x["begin"] - s["at"]).cast("int")), F.lit(mark))).otherwise(s["text"]).alias("text"),
-        F.greatest(s["at"], x["end"]).alias("at")), lambda s: F.concat(s["text"], F.substring(t, (s["at"] + 1).cast("int"), F.length(t))))
+    cut = cut_spans(t, F.col("places"), mark)
     out = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("key")).join(by_key, "key", "left")
     return out.select(*[F.when(F.col("places").isNotNull(), cut).otherwise(t).alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns])
 
