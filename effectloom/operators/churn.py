@@ -33,7 +33,7 @@ def churn_events(policies: DataFrame, asof: str, days: int = 30, slice_rows: int
     short = short.filter(~F.col("matched")).withColumn("churn_type", F.lit("expiry_no_renewal"))
     lapsed = policies.filter(~F.col("product").isin(*SHORT_TERM) & (F.col("status") == "lapsed") & (past >= 0)).withColumn(
         "churn_type", F.lit("lapsed"))
-    gone = policies.filter(F.col("status") == "surrendered").withColumn("churn_type", F.lit("surrendered"))
+    gone = policies.filter((F.col("status") == "surrendered") & (F.col("effective_date") <= day(asof))).withColumn("churn_type", F.lit("surrendered"))
     cols = ["user_id", "policy_id", "product", "churn_type", F.greatest(past, F.lit(0)).alias("days_past_expiry"),
             F.col("sum_insured").alias("sum_insured_lost"), F.col("premium").alias("annual_premium_lost")]
     return short.select(*cols).unionByName(lapsed.select(*cols)).unionByName(gone.select(*cols))

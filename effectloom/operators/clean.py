@@ -79,14 +79,14 @@ def iterative_impute(df: DataFrame, cols: list[str], rounds: int = 10, ridge: fl
     return work.drop(*flags)
 
 
-def iqr_bounds(df: DataFrame, cols: list[str], k: float = 1.5, min_n: int = 10) -> dict[str, tuple[float, float]]:
+def iqr_bounds(df: DataFrame, cols: list[str], k: float = 1.5, min_n: int = 1) -> dict[str, tuple[float, float]]:
     counts = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first() if cols else {}
     cols = [c for c in cols if counts[c] >= min_n]
     q = exact_quantiles(df, {c: [0.25, 0.75] for c in cols})
     return {c: (q[c][0] - k * (q[c][1] - q[c][0]), q[c][1] + k * (q[c][1] - q[c][0])) for c in cols}
 
 
-def zscore_bounds(df: DataFrame, cols: list[str], k: float, min_n: int = 10):
+def zscore_bounds(df: DataFrame, cols: list[str], k: float, min_n: int = 1):
     """Clip bounds use the sample deviation, the outlier flag the population one."""
     s = df.agg(*[F.struct(F.count(F.col(c)).alias("n"), F.avg(c).alias("m"), F.stddev_samp(c).alias("s"),
                           F.stddev_pop(c).alias("p")).alias(c) for c in cols]).first()
@@ -127,7 +127,7 @@ def clean(df: DataFrame, threshold: float = 0.5, method: str = "iqr", k: float =
     """Dedup, infer, coerce, drop sparse, impute, winsorize, infer again."""
     spark = df.sparkSession
     base = materialize(df.dropDuplicates())  # the passes below must not repeat the dedup shuffle
-    meta = ty.column_meta(base, "", max_unique, max_ratio, with_median=False, exact_unique=False)
+    meta = ty.column_meta(base, "", max_unique, max_ratio, with_median=False)
     kinds = ty.semantic_types(meta)
     work = ty.coerce_datetime(base, [c for c, t in kinds.items() if t == "datetime"])
     work = ty.coerce_numeric(work, [c for c, t in kinds.items()
@@ -154,4 +154,4 @@ def clean(df: DataFrame, threshold: float = 0.5, method: str = "iqr", k: float =
              outliers[c]["upper"] if c in outliers else None) for c in df.columns]
     report = spark.createDataFrame(rows, "column string, semantic_type string, n_missing long, dropped boolean, "
                                          "imputed_by string, n_imputed long, n_outliers long, lower double, upper double")
-    return CleanResult(work, ty.column_meta(work, "", max_unique, max_ratio, with_median=False, exact_unique=False), report)
+    return CleanResult(work, ty.column_meta(work, "", max_unique, max_ratio, with_median=False), report)

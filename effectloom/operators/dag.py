@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -12,86 +13,52 @@ from ..functions.tails import normal_quantile
 from .gram import moments
 from .profiling import correlations
 
-MAX_VARIABLES = 15
-
 
 def correlation_edges(df: DataFrame, cols: list[str], cutoff: float = 0.3) -> DataFrame:
     """Undirected screen: pairs with |r| above the cutoff."""
-    return correlations(df, cols[:MAX_VARIABLES]).filter(F.abs("r") > cutoff)
-
-
-def _mirror(corr: DataFrame) -> DataFrame:
-    return corr.select("a", "b", "r").union(corr.select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
-
-
-def _literal(df: DataFrame) -> DataFrame:
-    """A pair table (at most a few hundred rows, fixed by MAX_VARIABLES) as a literal, so plans stay short."""
-    return df.sparkSession.createDataFrame([tuple(r) for r in df.collect()], df.schema)
+    return correlations(df, cols).filter(F.abs("r") > cutoff)
 
 
-def _dependent(r, n: int, given: int, crit: float):
-    r = F.greatest(F.least(r, F.lit(0.9999999999)), F.lit(-0.9999999999))
-    return F.abs(F.atanh(r)) * F.lit(math.sqrt(n - given - 3)) > F.lit(crit)
+def pc_skeleton(df: DataFrame, cols: list[str], alpha: float = 0.05, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges, separations): Fisher-z tests given ever larger sets of neighbours.
 
-
-def pc_skeleton(df: DataFrame, cols: list[str], alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """(edges, separations): Fisher-z tests with conditioning sets up to size two.
-
-    Only the correlation pass touches rows; the tests are self joins of a
-    variable-pair table with at most 105 edges.  Each level tests against the
-    adjacency of the level before (order-independent variant).
+    Only the correlation pass touches rows; the tests read the k x k matrix.
+    Each depth tests against the adjacency of the depth before (order-independent
+    variant) and the search ends where no node has enough neighbours left, or at
+    ``max_depth`` if one is given.
     """
-    cols = cols[:MAX_VARIABLES]
-    n = df.select(*cols).na.drop().count()
-    crit = normal_quantile(1 - alpha / 2)
-    corr = _literal(correlations(df.na.drop(subset=cols), cols))
-    both = _mirror(corr)
-    level0 = _literal(corr.filter(_dependent(F.col("r"), n, 0, crit)))
-    sep0 = corr.join(level0, ["a", "b"], "left_anti").select("a", "b", F.lit("").alias("given"))
-    # level 1: condition on one neighbour of either end
-    adj = _mirror(level0).select("a", "b")
-    near = (level0.select("a", "b").join(adj.select(F.col("a"), F.col("b").alias("k")), "a")
-            .union(level0.select("a", "b").join(adj.select(F.col("a").alias("b"), F.col("b").alias("k")), "b").select("a", "b", "k"))
-            .filter((F.col("k") != F.col("a")) & (F.col("k") != F.col("b"))).distinct())
-    r1 = _partial_one(near, both)
-    cut1 = _literal(r1.filter(~_dependent(F.col("r_given"), n, 1, crit)).groupBy("a", "b").agg(F.min("k").alias("given")))
-    level1 = _literal(level0.join(cut1, ["a", "b"], "left_anti"))
-    # level 2: condition on two neighbours of one end
-    adj1 = _mirror(level1).select("a", "b")
-    two_a = (level1.select("a", "b").join(adj1.select("a", F.col("b").alias("k")), "a")
-             .join(adj1.select("a", F.col("b").alias("l")), "a"))
-    two_b = (level1.select("a", "b").join(adj1.select(F.col("a").alias("b"), F.col("b").alias("k")), "b")
-             .join(adj1.select(F.col("a").alias("b"), F.col("b").alias("l")), "b"))
-    two = (two_a.select("a", "b", "k", "l").union(two_b.select("a", "b", "k", "l"))
-           .filter((F.col("k") < F.col("l")) & (F.col("k") != F.col("a")) & (F.col("k") != F.col("b"))
-                   & (F.col("l") != F.col("a")) & (F.col("l") != F.col("b"))).distinct())
-    r2 = _partial_two(two, both)
-    cut2 = _literal(r2.filter(~_dependent(F.col("r_given"), n, 2, crit))
-                    .groupBy("a", "b").agg(F.min(F.concat_ws(",", "k", "l")).alias("given")))
-    return _literal(level1.join(cut2, ["a", "b"], "left_anti")), _literal(sep0.union(cut1).union(cut2))
-
-
-def _with_r(df: DataFrame, both: DataFrame, x: str, y: str, name: str) -> DataFrame:
-    return df.join(both.select(F.col("a").alias(x), F.col("b").alias(y), F.col("r").alias(name)), [x, y])
-
-
-def _shrink(r_xy, r_xz, r_yz):
-    return (r_xy - r_xz * r_yz) / F.sqrt((1 - r_xz * r_xz) * (1 - r_yz * r_yz))
-
-
-def _partial_one(near: DataFrame, both: DataFrame) -> DataFrame:
-    t = _with_r(_with_r(_with_r(near, both, "a", "b", "ab"), both, "a", "k", "ak"), both, "b", "k", "bk")
-    return t.withColumn("r_given", _shrink(F.col("ab"), F.col("ak"), F.col("bk")))
-
-
-def _partial_two(two: DataFrame, both: DataFrame) -> DataFrame:
-    t = two
-    for x, y in (("a", "b"), ("a", "k"), ("b", "k"), ("a", "l"), ("b", "l"), ("k", "l")):
-        t = _with_r(t, both, x, y, x + y)
-    ab_k = _shrink(F.col("ab"), F.col("ak"), F.col("bk"))
-    al_k = _shrink(F.col("al"), F.col("ak"), F.col("kl"))
-    bl_k = _shrink(F.col("bl"), F.col("bk"), F.col("kl"))
-    return t.withColumn("r_given", _shrink(ab_k, al_k, bl_k))
+    work = df.select(*cols).na.drop()
+    n, crit = work.count(), normal_quantile(1 - alpha / 2)
+    r = np.eye(len(cols))
+    at = {c: i for i, c in enumerate(cols)}
+    for row in correlations(work, cols).collect():
+        if row["r"] is not None:
+            r[at[row["a"]], at[row["b"]]] = r[at[row["b"]], at[row["a"]]] = row["r"]
+
+    def dependent(i: int, j: int, given: tuple[int, ...]) -> bool:
+        sub = np.linalg.pinv(r[np.ix_((i, j, *given), (i, j, *given))])
+        part = min(max(-sub[0, 1] / math.sqrt(sub[0, 0] * sub[1, 1]), -0.9999999999), 0.9999999999)
+        return abs(math.atanh(part)) * math.sqrt(max(n - len(given) - 3, 0)) > crit
+
+    edges = {(at[a], at[b]) for a, b in combinations(sorted(cols), 2)}
+    cut: dict[tuple[int, int], str] = {}
+    depth = 0
+    while max_depth is None or depth <= max_depth:
+        near = {i: {y if x == i else x for x, y in edges if i in (x, y)} for i in range(len(cols))}
+        if depth and all(len(v) - 1 < depth for v in near.values()):
+            break
+        gone = {}
+        for i, j in edges:
+            sets = {c for x, y in ((i, j), (j, i)) for c in combinations(sorted(near[x] - {y}), depth)}
+            apart = [",".join(sorted(cols[k] for k in c)) for c in sets if not dependent(i, j, c)]
+            if apart:
+                gone[i, j] = min(apart)
+        edges -= gone.keys()
+        cut |= gone
+        depth += 1
+    spark = df.sparkSession
+    found = spark.createDataFrame([(cols[i], cols[j], float(r[i, j])) for i, j in sorted(edges)], "a string, b string, r double")
+    return found, spark.createDataFrame([(cols[i], cols[j], g) for (i, j), g in sorted(cut.items())], "a string, b string, given string")
 
 
 def v_structures(edges: DataFrame, separations: DataFrame) -> DataFrame:
@@ -123,7 +90,6 @@ def lingam_order(df: DataFrame, cols: list[str]) -> DataFrame:
     are linear combinations of the original columns, so every round is a single
     aggregate of entropy terms over the original rows.
     """
-    cols = cols[:MAX_VARIABLES]
     base = df.select(*cols).na.drop()
     m = moments(base, cols)
     cov0 = m.cross / m.n
@@ -177,38 +143,46 @@ def lingam_order(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(order)], "position int, variable string")
 
 
-def bootstrap_edges(df: DataFrame, key: str, cols: list[str], replicates: int = 50, cutoff: float = 0.3) -> DataFrame:
+def bootstrap_edges(df: DataFrame, key: str, cols: list[str], replicates: int = 50, cutoff: float = 0.3, together: int = 5) -> DataFrame:
     """Share of Poisson(1) replicates in which each pair passes the screen.
 
     The weight of a row in a replicate is drawn from a hash of (key, replicate),
-    so retries repeat it.  Rows are expanded only inside the map-side combine.
+    so retries repeat it.  Rows are not expanded: weighted moments of `together`
+    replicates are columns of one aggregate.
     """
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("rep")), F.lit(2 ** 40)) + 0.5) / F.lit(float(2 ** 40))
-    cum, weight, p = 0.0, F.lit(8.0), math.exp(-1)
-    steps = []
-    for k in range(8):
-        cum += p
-        steps.append((cum, float(k)))
-        p /= k + 1
-    for edge, k in reversed(steps):
-        weight = F.when(u < edge, F.lit(k)).otherwise(weight)
+    def weight(rep: int):
+        u = (F.pmod(F.xxhash64(F.col(key), F.lit(rep)), F.lit(2 ** 40)) + 0.5) / F.lit(float(2 ** 40))
+        cum, p, k, steps = 0.0, math.exp(-1), 0, []
+        while cum < 1 - 2.0 ** -41:  # finer than the draw
+            cum += p
+            steps.append((cum, float(k)))
+            k += 1
+            p /= k
+        out = F.lit(float(k))
+        for edge, k in reversed(steps):
+            out = F.when(u < edge, F.lit(k)).otherwise(out)
+        return out
+
     base = df.select(key, *cols).na.drop()
     mean = base.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    base = base.withColumns({c: F.col(c) - F.lit(float(mean[c])) for c in cols})
-    work = (base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-            .withColumn("w", weight))
+    base = base.withColumns({c: F.col(c) - F.lit(float(mean[c] or 0.0)) for c in cols})
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    w = F.col("w")
-    sums = work.groupBy("rep").agg(F.sum(w).alias("sw"), *[F.sum(w * F.col(c)).alias(f"s_{c}") for c in cols],
-                                   *[F.sum(w * F.col(c) * F.col(c)).alias(f"q_{c}") for c in cols],
-                                   *[F.sum(w * F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in pairs])
-
-    def r(a, b):
-        n = F.col("sw")
-        cov = F.col(f"p_{a}_{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / n
-        va = F.col(f"q_{a}") - F.col(f"s_{a}") ** 2 / n
-        vb = F.col(f"q_{b}") - F.col(f"s_{b}") ** 2 / n
-        return cov / F.sqrt(va * vb)
-    long = sums.select("rep", F.explode(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r(a, b).alias("r")) for a, b in pairs])).alias("p")).select("rep", "p.*")
+    rows = []
+    for first in range(1, replicates + 1, together):
+        reps = range(first, min(first + together, replicates + 1))
+        work = base.withColumns({f"__w{t}": weight(t) for t in reps})
+        exprs = []
+        for t in reps:
+            w = F.col(f"__w{t}")
+            exprs += [F.sum(w).alias(f"n{t}"), *[F.sum(w * F.col(c)).alias(f"s{t}_{i}") for i, c in enumerate(cols)],
+                      *[F.sum(w * F.col(a) * F.col(b)).alias(f"p{t}_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]]
+        one = work.agg(*exprs).first()
+        for t in reps:
+            for a, b in pairs:
+                i, j, n = cols.index(a), cols.index(b), one[f"n{t}"]
+                if not n:
+                    continue
+                cov, va, vb = (one[f"p{t}_{x}_{y}"] - one[f"s{t}_{x}"] * one[f"s{t}_{y}"] / n for x, y in ((i, j), (i, i), (j, j)))
+                rows.append((t, a, b, cov / math.sqrt(va * vb) if va > 0 and vb > 0 else None))
+    long = df.sparkSession.createDataFrame(rows, "rep int, a string, b string, r double")
     return long.groupBy("a", "b").agg(F.avg((F.abs("r") > cutoff).cast("int")).alias("stability"), F.avg("r").alias("mean_r"))

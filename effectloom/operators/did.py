@@ -46,7 +46,8 @@ def did_frame(df: DataFrame, treatment: str | None, time: str | None, entity: st
     """treated / post / treat_post; post starts at the median distinct period."""
     two = treatment is not None and df.select(treatment).where(F.col(treatment).isNotNull()).distinct().limit(3).count() == 2
     if two:
-        work, treated = df, F.col(treatment)
+        high = df.agg(F.max(treatment)).first()[0]  # any two values: the larger one is treated
+        work, treated = df, (F.col(treatment) == F.lit(high)).cast("int")
     else:
         if entity is None:
             raise ValueError("a two-valued treatment or an entity column is required")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -9,16 +12,21 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from ..functions.tails import normal_sf
 from ..sources.workspace import materialize
 from .gram import LinearFit, Moments, estimate_row, inverse_scaled, moments_by, prediction, solve_linear
 
-MAX_FEATURES = 20
 
+def with_folds(df: DataFrame, key: str, k: int = 3, hashed: bool | None = None) -> DataFrame:
+    """Repeatable folds from the row key: no random state, stable under retries.
 
-def with_folds(df: DataFrame, key: str, k: int = 3, hashed: bool = False) -> DataFrame:
-    """Repeatable folds from the row key: no random state, stable under retries."""
+    Keys that are not integral are hashed; integral ones are taken modulo k
+    unless ``hashed`` says otherwise.
+    """
+    if hashed is None:
+        hashed = not isinstance(df.schema[key].dataType, (ByteType, ShortType, IntegerType, LongType))
     base = F.xxhash64(key) if hashed else F.col(key)
     return df.withColumn("fold", F.pmod(base, F.lit(k)).cast("int"))
 
@@ -69,17 +77,27 @@ def boosted_residuals(df: DataFrame, y: str, t: str, xs: list[str], trees: int =
 
 
 def residual_effect(res: DataFrame, *by: str) -> DataFrame:
-    """theta = sum(ry rt)/sum(rt^2) with the influence-function se, lazily, per group.
+    """theta = sum(ry rt)/sum(rt^2) with the influence-function se, per group.
 
-    Sums only: psi = rt (ry - theta rt) is expanded into fourth-order sums.
+    The squares of psi = rt (ry - theta rt) are summed in a second aggregate;
+    expanding them would cancel where the fit is tight.  Groups are joined back
+    by their (null-safe) keys, so a group's theta reaches its rows.
     """
     y, t = F.col("res_y"), F.col("res_t")
-    s = res.groupBy(*by).agg(F.count("*").alias("n"), F.sum(t * y).alias("ty"), F.sum(t * t).alias("tt"),
-                             F.sum(t * t * y * y).alias("a"), F.sum(t * t * t * y).alias("b"), F.sum(t * t * t * t).alias("c"))
-    th = F.col("ty") / F.col("tt")
-    meat = F.col("a") - 2 * th * F.col("b") + th * th * F.col("c")
-    return s.select(*by, "n", th.alias("ate"), (F.sqrt(F.greatest(meat, F.lit(0.0))) / F.col("tt")).alias("se")).withColumns(
-        {"stat": F.col("ate") / F.col("se"), "ci_lower": F.col("ate") - 1.96 * F.col("se"),
+    s = res.groupBy(*by).agg(F.count("*").alias("n"), F.sum(t * y).alias("ty"), F.sum(t * t).alias("tt"))
+    s = s.select(*by, "n", "tt", F.try_divide("ty", "tt").alias("ate"))
+    psi2 = F.sum(F.pow(t * (y - F.col("__ate") * t), 2)).alias("meat")
+    if by:
+        keys = s.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col("ate").alias("__ate"))
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)])
+        meat = res.join(keys, same).groupBy(*[F.col(f"__k{i}") for i in range(len(by))]).agg(psi2)
+        s = s.join(meat, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)])).drop(*[f"__k{i}" for i in range(len(by))])
+    else:
+        one = s.first()
+        meat = res.withColumn("__ate", F.lit(one["ate"])).agg(psi2).first()["meat"]
+        s = res.sparkSession.createDataFrame([(one["n"], one["tt"], one["ate"], meat)], "n long, tt double, ate double, meat double")
+    return s.select(*by, "n", "ate", F.try_divide(F.sqrt("meat"), F.col("tt")).alias("se")).withColumns(
+        {"stat": F.try_divide("ate", "se"), "ci_lower": F.col("ate") - 1.96 * F.col("se"),
          "ci_upper": F.col("ate") + 1.96 * F.col("se")})
 
 

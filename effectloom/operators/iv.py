@@ -8,20 +8,17 @@ from pyspark.sql import functions as F
 
 from .gram import LinearFit, diagnostics_table, fit_from_moments, inverse_scaled, moments, prediction, solve_scaled
 
-MAX_CANDIDATES = 10
-MAX_EXOGENOUS = 5
 MIN_ROWS = 30
 
 
-def instrument_candidates(df: DataFrame, treatment: str, causes: list[str]) -> DataFrame:
-    """Absolute correlation of each candidate with the treatment, one aggregate."""
-    causes = causes[:MAX_CANDIDATES]
+def instrument_candidates(df: DataFrame, treatment: str, causes: list[str], min_rows: int = 3) -> DataFrame:
+    """Absolute correlation of each candidate with the treatment, one aggregate; all causes that have one."""
     both = [F.count_if(F.col(c).isNotNull() & F.col(treatment).isNotNull()).alias(f"n{i}") for i, c in enumerate(causes)]
     rs = [F.abs(F.corr(F.col(treatment).cast("double"), F.col(c).cast("double"))).alias(f"r{i}") for i, c in enumerate(causes)]
     one = df.agg(*both, *rs)
     return one.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("instrument"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("abs_corr"))
-        for i, c in enumerate(causes)])).alias("c")).select("c.*").filter(F.col("n") > 20)
+        for i, c in enumerate(causes)])).alias("c")).select("c.*").filter((F.col("n") >= min_rows) & F.col("abs_corr").isNotNull())
 
 
 def select_instrument(df: DataFrame, treatment: str, causes: list[str]) -> str:
@@ -45,7 +42,7 @@ def two_stage(df: DataFrame, y: str, treatment: str, instrument: str, exog: list
     Coefficients come from one moment pass; the heteroskedasticity-robust
     variance needs the residuals and so a second aggregate.
     """
-    exog = (exog or [])[:MAX_EXOGENOUS]
+    exog = exog or []
     cols = [treatment, *exog, instrument, y]
     work = df.select(*dict.fromkeys(cols)).na.drop()
     m = moments(work, cols)

@@ -134,7 +134,7 @@ def nearest_match(df: DataFrame, key: str, treated: str, score: str, slices: int
     points = base.groupBy("__s").agg(F.min(F.when(F.col("__t") == 0, F.col("__key"))).alias("__c"),
                                      F.max("__t").alias("__has_t"))
     if slices is None:
-        slices = min(4096, max(1, base.count() // slice_rows))
+        slices = max(1, base.count() // slice_rows)
     points = score_slices(points, "__s", slices)
     control = F.when(F.col("__c").isNotNull(), F.struct(F.col("__s").alias("s"), F.col("__c").alias("k")))
     points = points.withColumn("__ctl", control)
@@ -142,7 +142,7 @@ def nearest_match(df: DataFrame, key: str, treated: str, score: str, slices: int
     # a growing frame over the reversed order: frames that end in unboundedFollowing are quadratic
     upward = Window.partitionBy("__slice").orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)
     edges = points.groupBy("__slice").agg(F.max("__ctl").alias("__last"), F.min("__ctl").alias("__first"))
-    lower = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice, at most 4096
+    lower = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
     higher = Window.orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.select(
         "__slice",
@@ -152,7 +152,7 @@ def nearest_match(df: DataFrame, key: str, treated: str, score: str, slices: int
             .withColumn("__low", F.last("__ctl", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
             .withColumn("__high", F.last("__ctl", ignorenulls=True).over(upward))
             .filter(F.col("__has_t") == 1)
-            .join(F.broadcast(edges), "__slice", "left")
+            .join(edges, "__slice", "left")
             .withColumn("__low", F.coalesce("__low", "__low_in"))
             .withColumn("__high", F.coalesce("__high", "__high_in")))
     gap_low, gap_high = F.col("__s") - F.col("__low.s"), F.col("__high.s") - F.col("__s")

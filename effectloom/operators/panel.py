@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from ..functions.tails import chi2_sf
 from .gram import LinearFit, Moments, fit_from_moments, inverse_scaled, moment_exprs, ols, solve_scaled
 
-MAX_PREDICTORS = 8
 MIN_ROWS = 20
 
 
@@ -59,9 +58,12 @@ def _c(i: int, j: int) -> str:
 
 
 def panel_regression(df: DataFrame, entity: str, y: str, xs: list[str], clustered: bool = True,
-                     with_re: bool = True) -> PanelResult:
-    """Entity fixed effects (clustered by entity), random effects and Hausman."""
-    xs = xs[:MAX_PREDICTORS]
+                     with_re: bool = True, count_effects: bool = False) -> PanelResult:
+    """Entity fixed effects (clustered by entity), random effects and Hausman.
+
+    The clustered variance is scaled by n / (n - k): effects nested in the
+    clusters are not counted, unless ``count_effects`` asks for n / (n - g - k).
+    """
     k, iy = len(xs), len(xs)
     ent = entity_moments(df, entity, y, xs).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -88,8 +90,7 @@ def panel_regression(df: DataFrame, entity: str, y: str, xs: list[str], clustere
                      for i in range(k)]
             meat_row = ent.agg(*[F.sum(score[i] * score[j]).alias(f"h{i}_{j}")
                                  for i in range(k) for j in range(i, k)]).first()
-            # Same scaling as a clustered within estimator with debiasing by n/(n - g - k).
-            cov = inv @ _sym(meat_row, "h", k) @ inv * (n / df_resid)
+            cov = inv @ _sym(meat_row, "h", k) @ inv * (n / (df_resid if count_effects else n - k))
         r2 = 1.0 - ssr / w[iy, iy] if w[iy, iy] > 0 else float("nan")
         f = ((w[iy, iy] - ssr) / k) / s2e if s2e > 0 else float("inf")
         fe = LinearFit("panel_fe", list(xs), beta, cov, float("nan"), float("nan"), n, df_resid, ssr, r2, f)

@@ -53,14 +53,11 @@ def expiry_alerts(policies: DataFrame, asof: str) -> DataFrame:
                     F.concat_ws("_", F.lit("EVT" + asof.replace("-", "")), F.col("policy_id").cast("string")).alias("event_id")))
 
 
-def payment_schedule(policies: DataFrame, asof: str, max_years: int = 5) -> DataFrame:
-    """Due rows up to ``asof``: year index x period, at most ``max_years`` years.
-
-    The expansion is bounded by 12 x max_years rows per policy.
-    """
+def payment_schedule(policies: DataFrame, asof: str) -> DataFrame:
+    """Due rows up to ``asof``: year index x period, for as long as the policy runs."""
     mode = F.create_map(*[x for k, (n, step, share) in PAYMENT_MODES.items() for x in (
         F.lit(k), F.struct(F.lit(n).alias("n"), F.lit(step).alias("step"), F.lit(share).alias("share")))])
-    years = F.least(F.lit(max_years), F.greatest(F.lit(1), F.floor(F.datediff(day(asof), F.col("effective_date")) / 365).cast("int") + 1))
+    years = F.greatest(F.lit(1), F.floor(F.datediff(day(asof), F.col("effective_date")) / 365).cast("int") + 1)
     return (policies.withColumn("__m", F.element_at(mode, F.col("pay_freq")))
             .withColumn("year_no", F.explode(F.sequence(F.lit(0), years - 1)))
             .withColumn("period_no", F.explode(F.sequence(F.lit(0), F.col("__m.n") - 1)))
@@ -81,9 +78,10 @@ def payment_reminders(schedule: DataFrame, asof: str, rules: str = "operations")
 def lapse_state(schedule: DataFrame, payments: DataFrame, asof: str) -> DataFrame:
     """Per due: paid / due / grace / lapsed / terminated with its boundary dates.
 
-    ``payments`` has policy_id, due_date and paid_date, one row per payment.
+    ``payments`` has policy_id, due_date and paid_date, one row per payment;
+    those made after ``asof`` are not known yet.
     """
-    paid = payments.groupBy("policy_id", "due_date").agg(F.min("paid_date").alias("paid_date"))
+    paid = payments.filter(F.col("paid_date") <= day(asof)).groupBy("policy_id", "due_date").agg(F.min("paid_date").alias("paid_date"))
     end = day(asof)
     grace_end = F.date_add("due_date", GRACE_DAYS)
     window_end = F.add_months(grace_end, REINSTATE_MONTHS)

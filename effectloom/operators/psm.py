@@ -14,13 +14,12 @@ from .gram import estimate_row
 from .joins import nearest_match
 from .typing import binarize, numeric_columns, standardize
 
-MAX_CONFOUNDERS = 10
 
 
 def confounders(df: DataFrame, y: str, treatment: str, causes: list[str]) -> list[str]:
     numeric = numeric_columns(df)
     chosen = [c for c in causes if c in numeric and c not in (y, treatment)]
-    return (chosen or [c for c in numeric if c not in (y, treatment)])[:MAX_CONFOUNDERS]
+    return chosen or [c for c in numeric if c not in (y, treatment)]
 
 
 def propensity(df: DataFrame, treated: str, xs: list[str], c: float = 1.0, out: str = "score") -> DataFrame:

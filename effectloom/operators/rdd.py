@@ -38,13 +38,19 @@ def rot_bandwidth(df: DataFrame, running: str, y: str) -> float:
     return 1.06 * r["s"] * r["n"] ** (-0.2) * 2.0
 
 
-def rdd(df: DataFrame, y: str, running: str, cutoff: float, bandwidth: float | None = None) -> RddResult:
-    """Local linear fit y ~ rc + above + rc*above inside the bandwidth."""
+def rdd(df: DataFrame, y: str, running: str, cutoff: float, bandwidth: float | None = None, widen: bool = False) -> RddResult:
+    """Local linear fit y ~ rc + above + rc*above inside the bandwidth.
+
+    With fewer than MIN_INSIDE rows inside it raises, or on request fits all rows
+    and says so in the method's name.
+    """
     bw = rot_bandwidth(df, running, y) if bandwidth is None else bandwidth
     frame = cutoff_features(df.select(running, y).na.drop(), running, cutoff)
     inside = frame.filter(F.abs("rc") <= F.lit(bw))
     few = inside.limit(MIN_INSIDE).count() < MIN_INSIDE
-    return RddResult(ols(frame if few else inside, y, ["rc", "above", "inter"], "rdd"), running, cutoff, bw, few)
+    if few and not widen:
+        raise ValueError(f"fewer than {MIN_INSIDE} rows within {bw} of the cutoff")
+    return RddResult(ols(frame if few else inside, y, ["rc", "above", "inter"], "rdd_all_rows" if few else "rdd"), running, cutoff, bw, few)
 
 
 def density_chi2(df: DataFrame, running: str, cutoff: float) -> DataFrame:

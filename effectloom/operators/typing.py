@@ -50,9 +50,8 @@ def column_meta(df: DataFrame, table: str = "", max_unique: int = 20, max_ratio:
     when all non-null values are numbers, else categorical; a number with few
     distinct values relative to the rows is categorical.
 
-    ``exact_unique=False`` counts distinct values exactly only in columns whose
-    sketch is near the thresholds, where the type depends on the count; wide
-    continuous columns then keep the sketch's estimate and shuffle nothing.
+    ``exact_unique=False`` takes every distinct count from a sketch: no shuffle,
+    but the counts, and types near the thresholds, are estimates.
     """
     spark = df.sparkSession
     cols, nums = df.columns, numeric_columns(df)
@@ -71,7 +70,7 @@ def column_meta(df: DataFrame, table: str = "", max_unique: int = 20, max_ratio:
         aggs += [F.approx_count_distinct(F.col(c)).alias(f"sketch_{i}") for i, c in enumerate(cols)]
     s = df.agg(*aggs).first().asDict()
     unique = {} if exact_unique else {c: s[f"sketch_{i}"] for i, c in enumerate(cols)}
-    counted = cols if exact_unique else [c for c in cols if unique[c] <= 4 * max_unique]
+    counted = cols if exact_unique else []
     for at in range(0, len(counted), DISTINCT_COLUMNS):
         part = counted[at:at + DISTINCT_COLUMNS]
         row = df.agg(*[F.count_distinct(F.col(c)).alias(f"u{i}") for i, c in enumerate(part)]).first()

@@ -122,7 +122,7 @@ def panel_fixed_effects(spark, sf):
 
 
 @query("G8_clustered_errors", f"WITH {BASKETS}, {_FE}, h AS (SELECT supp, sum(x*(y-beta*x)) AS q FROM w, s GROUP BY 1) "
-       "SELECT 'panel_fe' AS method, 'qty' AS term, round(any_value(beta),4) AS coef, round(sqrt(sum(q*q)*any_value(n)/any_value(n-g-1))/any_value(xx),4) AS se FROM h, s")
+       "SELECT 'panel_fe' AS method, 'qty' AS term, round(any_value(beta),4) AS coef, round(sqrt(sum(q*q)*any_value(n)/any_value(n-1))/any_value(xx),4) AS se FROM h, s")
 def clustered_errors(spark, sf):
     return tidy(panel.panel_regression(baskets(spark, sf), "supp", "price", ["qty"], with_re=False).fe.coef_table(spark)).drop("t_stat")
 
@@ -332,8 +332,7 @@ def nuisance_linear(spark, sf):
 @query("G30_nuisance_boosted")
 def nuisance_boosted(spark, sf):
     df = dml.with_folds(baskets(spark, sf), "l_orderkey")
-    # fewer trees than the default of 100: each tree is several jobs, and the check runs the whole table
-    res = dml.boosted_residuals(df, "price", "qty", ["n_lines", "disc", "tax"], trees=10)
+    res = dml.boosted_residuals(df, "price", "qty", ["n_lines", "disc", "tax"])
     return dml.residual_effect(res).select("n", r("ate", 1).alias("ate"))
 
 
@@ -357,7 +356,7 @@ def linear_cate(spark, sf):
 @query("G33_forest_cate")
 def forest_cate(spark, sf):
     res = dml.linear_residuals(dml.with_folds(baskets(spark, sf), "l_orderkey"), "price", "qty", ["n_lines", "disc", "tax"])
-    out, importance = dml.forest_cate(res, ["n_lines", "disc", "tax"], trees=50)
+    out, importance = dml.forest_cate(res, ["n_lines", "disc", "tax"])
     imp = importance.groupBy().pivot("feature", ["n_lines", "disc", "tax"]).agg(F.round(F.first("importance"), 2))
     return dml.effect_summary(out).select("n", r("mean", 0).alias("mean")).crossJoin(imp)  # one row on each side
 
@@ -436,7 +435,7 @@ def lingam_order(spark, sf):
 
 @query("G40_bootstrap_edges")
 def bootstrap_edges(spark, sf):
-    return dag.bootstrap_edges(baskets(spark, sf), "l_orderkey", _V, replicates=20).withColumns({"mean_r": r("mean_r", 3)})
+    return dag.bootstrap_edges(baskets(spark, sf), "l_orderkey", _V).withColumns({"mean_r": r("mean_r", 3)})
 
 
 @query("G41_calibration_multipliers", f"WITH {_RES}, t AS (SELECT sum(ry*rt)/sum(rt*rt) AS th FROM res) SELECT 'qty' AS treatment, 'price' AS outcome, round(any_value(th),4) AS ate, round(any_value(th)*10000,0) AS ate_per_unit FROM res, t")

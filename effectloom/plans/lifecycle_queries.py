@@ -151,8 +151,8 @@ def expiry_alerts(spark, sf):
 
 
 _SCHED = POLICIES + f""", sched AS (SELECT p.*, y AS year_no, q AS period_no, effective_date+CAST(y*365+q*step AS INTEGER) AS due_date, premium*share AS due_amount
- FROM policies p JOIN (VALUES ('annual',1,365,1.0::DOUBLE),('half',2,182,0.52),('quarter',4,90,0.265),('month',12,30,0.09)) m(f,n,step,share) ON f=pay_freq, range(5) ry(y), range(12) rq(q)
- WHERE q<n AND y<least(5,greatest(1,floor(({A}-effective_date)/365)+1)) AND effective_date+CAST(y*365+q*step AS INTEGER)<={A})"""
+ FROM policies p JOIN (VALUES ('annual',1,365,1.0::DOUBLE),('half',2,182,0.52),('quarter',4,90,0.265),('month',12,30,0.09)) m(f,n,step,share) ON f=pay_freq, range(10) ry(y), range(12) rq(q)
+ WHERE q<n AND y<greatest(1,floor(({A}-effective_date)/365)+1) AND effective_date+CAST(y*365+q*step AS INTEGER)<={A})"""
 
 
 @query("H12_payment_schedule", f"WITH {_SCHED} SELECT policy_id, count(*) AS n_dues, round(sum(due_amount)+1e-7,4) AS due_total, CAST(max(due_date) AS VARCHAR) AS last_due FROM sched GROUP BY 1")
@@ -174,7 +174,7 @@ def payments(spark, sf):
         "policy_id", "due_date", F.date_add("due_date", (F.col("policy_id") % 100).cast("int")).alias("paid_date"))
 
 
-_LAPSE = _SCHED + f""", ls AS (SELECT s.*, CASE WHEN (policy_id+year_no*12+period_no)%5<>0 THEN due_date+CAST(policy_id%100 AS INTEGER) END AS paid_date, due_date+60 AS ge,
+_LAPSE = _SCHED + f""", ls AS (SELECT s.*, CASE WHEN (policy_id+year_no*12+period_no)%5<>0 AND due_date+CAST(policy_id%100 AS INTEGER)<={A} THEN due_date+CAST(policy_id%100 AS INTEGER) END AS paid_date, due_date+60 AS ge,
  CAST(due_date+60+INTERVAL 24 MONTH AS DATE) AS re FROM sched s),
  lapse AS (SELECT *, CASE WHEN paid_date<=ge THEN 'paid' WHEN paid_date<=re THEN 'reinstated' WHEN {A}<=due_date THEN 'due' WHEN {A}<=ge THEN 'grace' WHEN {A}<=re THEN 'lapsed' ELSE 'terminated' END AS state FROM ls)"""
 
@@ -386,7 +386,7 @@ def recommendation(spark, sf):
 
 @query("H32_churn_events", f"""WITH {POLICIES}, d AS (SELECT *, {A}-expiry_date AS past FROM policies), c AS (
  SELECT *, 'expiry_no_renewal' AS churn_type FROM d WHERE product IN ('medical','accident') AND past>30 AND status<>'surrendered' AND NOT EXISTS (SELECT 1 FROM policies r WHERE r.user_id=d.user_id AND r.effective_date>d.expiry_date AND r.effective_date<=d.expiry_date+30)
- UNION ALL SELECT *, 'lapsed' FROM d WHERE product NOT IN ('medical','accident') AND status='lapsed' AND past>=0 UNION ALL SELECT *, 'surrendered' FROM d WHERE status='surrendered')
+ UNION ALL SELECT *, 'lapsed' FROM d WHERE product NOT IN ('medical','accident') AND status='lapsed' AND past>=0 UNION ALL SELECT *, 'surrendered' FROM d WHERE status='surrendered' AND effective_date<={A})
 SELECT user_id, policy_id, product, churn_type, CAST(greatest(past,0) AS BIGINT) AS days_past_expiry, sum_insured AS sum_insured_lost, round(premium,4) AS annual_premium_lost FROM c""")
 def churn_events(spark, sf):
     return ch.churn_events(policies(spark, sf), ASOF).withColumns({"days_past_expiry": F.col("days_past_expiry").cast("long"), "annual_premium_lost": r("annual_premium_lost")})
@@ -552,12 +552,12 @@ _FIND = "(VALUES ('1-URGENT','hypertension_2'),('2-HIGH','bmi_30'),('3-MEDIUM','
 _UW = "(VALUES " + ",".join(f"('{f}','{p}','{o}',{gp.OUTCOME_SEVERITY[o]})" for f, p, o in gp.UNDERWRITING) + ") u(finding,product,outcome,sev)"
 
 
-@query("H46_underwriting", f"""WITH d AS (SELECT DISTINCT o_custkey AS user_id, finding FROM orders JOIN {_FIND} ON o_orderpriority=p WHERE o_totalprice>300000)
+@query("H46_underwriting", f"""WITH d AS (SELECT DISTINCT o_custkey AS user_id, finding FROM orders JOIN {_FIND} ON o_orderpriority=p)
 SELECT user_id, product, arg_max(outcome, sev) AS outcome, CAST(max(sev) AS INTEGER) AS severity, count(*) AS n_findings,
  CASE WHEN max(sev)>=3 AND product='medical' THEN 'cancer_medical' WHEN max(sev)>=3 AND product='critical_illness' THEN 'cancer_cover' ELSE 'none' END AS substitute FROM d JOIN {_UW} USING (finding) GROUP BY 1,2""")
 def underwriting(spark, sf):
     f = bands.code_map(F.col("o_orderpriority"), {"1-URGENT": "hypertension_2", "2-HIGH": "bmi_30", "3-MEDIUM": "thyroid_1_2", "4-NOT SPECIFIED": "fatty_liver"}, "hypertension_1")
-    found = table(spark, sf, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("user_id"), f.alias("finding")).distinct()
+    found = table(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"), f.alias("finding")).distinct()
     return gp.underwrite(found)
 
 

@@ -299,10 +299,9 @@ def trailing_count(spark, sf):
 
 @query("F5_recency", f"""SELECT user_id, DATE '{EVENTS_ASOF}'-CAST(max(ts) AS DATE) AS days_since,
  CASE WHEN DATE '{EVENTS_ASOF}'-CAST(max(ts) AS DATE)<=7 THEN 'active' WHEN DATE '{EVENTS_ASOF}'-CAST(max(ts) AS DATE)<=30 THEN 'regular' ELSE 'infrequent' END AS activity_tier
- FROM events WHERE event_type='signup' GROUP BY 1""")
+ FROM events GROUP BY 1""")
 def recency(spark, sf):
-    e = table(spark, sf, "events").filter("event_type = 'signup'")
-    return od.recency(e, "user_id", "ts", EVENTS_ASOF).select("user_id", F.col("days_since").cast("long").alias("days_since"), "activity_tier")
+    return od.recency(table(spark, sf, "events"), "user_id", "ts", EVENTS_ASOF).select("user_id", F.col("days_since").cast("long").alias("days_since"), "activity_tier")
 
 
 _ALLOWED = [("view", "click"), ("click", "purchase"), ("signup", "view"), ("view", "view"), ("purchase", "view")]

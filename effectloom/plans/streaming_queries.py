@@ -34,10 +34,10 @@ def daily_counts(spark, sf):
     return drain(st.daily_counts(st.read_events(spark, sf), "ts", "event_type")).select(F.date_format("day_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-@query("I3_sliding_activity", f"""SELECT CAST(CAST(w AS DATE) AS VARCHAR) AS day, user_id, count(*) AS n FROM (SELECT user_id, date_trunc('day',ts)+to_days(CAST(k AS INTEGER)) AS w FROM events, range(1,8) t(k))
+@query("I3_sliding_activity", f"""SELECT CAST(CAST(w AS DATE) AS VARCHAR) AS day, user_id, count(*) AS n FROM (SELECT user_id, date_trunc('day',ts)+to_days(CAST(k AS INTEGER)) AS w FROM events, range(1,31) t(k))
  WHERE w<={_CLOSED} GROUP BY 1,2""")
 def sliding_activity(spark, sf):
-    return drain(st.sliding_activity(st.read_events(spark, sf), "ts", "user_id", length="7 days")).select(F.date_format("window_end", "yyyy-MM-dd").alias("day"), "user_id", "n")
+    return drain(st.sliding_activity(st.read_events(spark, sf), "ts", "user_id", length="30 days")).select(F.date_format("window_end", "yyyy-MM-dd").alias("day"), "user_id", "n")
 
 
 _SESS = """s AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts-p>=INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,19 +32,26 @@ def _decodes(lines: list[bytes], encoding: str) -> bool:
     return True
 
 
-def sniff_csv(spark: SparkSession, path: str, probe_rows: int = 5) -> tuple[str, str]:
+def _all_decode(raw: DataFrame, encoding: str) -> bool:
+    def bad(batches):
+        for b in batches:
+            lines = [x for x in b.column(0).to_pylist() if x is not None and not _decodes([x], encoding)]
+            yield pa.RecordBatch.from_arrays([pa.array(lines[:1], pa.binary())], names=["value"])
+    return raw.select(F.col("value").cast("binary")).mapInArrow(bad, "value binary").isEmpty()
+
+
+def sniff_csv(spark: SparkSession, path: str) -> tuple[str, str]:
     """First (encoding, delimiter) under which the header has several columns.
 
-    UTF-8 validity is checked on every line by Spark; the other encodings and
-    the delimiter are decided on the first few lines.
+    Every encoding is tried on every line; the delimiter comes from the header.
     """
     raw = spark.read.text(path)
-    lines = [bytes(r[0]) for r in raw.select(F.col("value").cast("binary")).limit(probe_rows).collect()]
+    lines = [bytes(r[0]) for r in raw.select(F.col("value").cast("binary")).limit(1).collect()]
     if not lines:
         raise ValueError(f"cannot read CSV: {path}")
     valid_utf8 = raw.filter(~F.is_valid_utf8("value")).isEmpty()
     for encoding in CSV_ENCODINGS:
-        if (encoding == "utf-8" and not valid_utf8) or not _decodes(lines, encoding):
+        if not (valid_utf8 if encoding == "utf-8" else _all_decode(raw, encoding)):
             continue
         header = lines[0].decode(encoding)
         for sep in CSV_DELIMITERS:
@@ -77,8 +85,9 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     if ext == ".parquet":
         return reader.parquet(path)
     # One object per line splits across tasks; an array or a pretty-printed document does not.
-    head = spark.read.text(path).limit(1).collect()
-    per_line = bool(head) and head[0][0].lstrip().startswith("{") and head[0][0].rstrip().endswith("}")
+    whole = F.startswith(F.ltrim("value"), F.lit("{")) & F.get_json_object("value", "$").isNotNull()
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    per_line = not lines.isEmpty() and lines.filter(~whole).isEmpty()
     return reader.option("multiLine", not per_line).json(path)
 
 
