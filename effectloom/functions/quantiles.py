@@ -1,7 +1,7 @@
 """Exact quantiles and order statistics without gathering a column in one task.
 
 ``percentile`` keeps every distinct value of a group in one buffer, which is
-fine for a counted, small column.  Larger columns are narrowed by a few
+fine for a counted, small column.  Larger columns are narrowed together by a few
 histogram passes: each pass counts values in equal-width cells of the current
 interval (map-side combined, a bounded number of cells) until the wanted rank
 lies in a cell that is a single value or is small enough to list.
@@ -10,11 +10,9 @@ lies in a cell that is a single value or is small enough to list.
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-from operator import or_
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SMALL = 100_000
@@ -22,51 +20,93 @@ CELLS = 1024
 LISTED = 20_000
 
 
-def _order_statistics(df: DataFrame, col: str, ranks: list[int], lo: float, hi: float,
-                      cells: int, listed: int) -> dict[int, float]:
-    """Values at 0-based ``ranks`` of the sorted non-null column."""
-    values = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    answers: dict[int, float] = {}
-    short: list[tuple] = []  # small cells, listed together at the end
-    # each open interval: (lo, hi, number of rows below it, ranks wanted in it)
-    work = [(lo, hi, 0, sorted(set(ranks)))]
+@dataclass
+class _Open:
+    """An interval of a column that still holds wanted ranks, and the rows below it."""
+    col: str
+    lo: float
+    hi: float
+    below: int
+    ranks: list[int]
+
+
+def _cells(v: Column, part: _Open, cells: int) -> Column | None:
+    """Cell number within the interval; halves, so that the width of wide intervals doesn't overflow.
+
+    None where the interval is too narrow for cells: it holds few distinct doubles then.
+    """
+    width = (part.hi / 2 - part.lo / 2) / cells
+    if part.lo / 2 + width <= part.lo / 2 or part.hi / 2 - width >= part.hi / 2:
+        return None
+    return F.least(F.lit(cells - 1), F.floor((v / 2 - F.lit(part.lo / 2)) / F.lit(width)).cast("int"))
+
+
+def _narrow(df: DataFrame, values: dict[str, Column], work: list[_Open], cells: int, listed: int) -> dict[tuple[str, int], float]:
+    """Values at the wanted 0-based ranks; every round is one pass for all columns and intervals."""
+    answers: dict[tuple[str, int], float] = {}
+    short: list[_Open] = []
     while work:
-        low, high, below, wanted = work.pop()
-        if low == high:
-            answers.update({r: low for r in wanted})
-            continue
-        width = (high - low) / cells
-        inside = values.filter((F.col("v") >= low) & (F.col("v") <= high))
-        cell = F.least(F.lit(cells - 1), F.floor((F.col("v") - F.lit(low)) / F.lit(width)).cast("int"))
-        found = (inside.groupBy(cell.alias("cell"))
-                 .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-                 .orderBy("cell").collect())
-        start = below
-        for row in found:
-            here = [r for r in wanted if start <= r < start + row["n"]]
-            if here and row["lo"] == row["hi"]:
-                answers.update({r: row["lo"] for r in here})
-            elif here and row["n"] <= listed:
-                short.append((row["lo"], row["hi"], start, here))
-            elif here:
-                work.append((row["lo"], row["hi"], start, here))
-            start += row["n"]
+        todo = []
+        for part in work:
+            if part.lo == part.hi:
+                answers.update({(part.col, r): part.lo for r in part.ranks})
+            elif _cells(F.lit(0.0), part, cells) is None:
+                short.append(part)
+            else:
+                todo.append(part)
+        if not todo:
+            break
+        places = []
+        for i, part in enumerate(todo):
+            v = values[part.col]
+            places.append(F.when(v.between(part.lo, part.hi), F.struct(F.lit(i).alias("part"), _cells(v, part, cells).alias("cell"), v.alias("v"))))
+        found = (df.select(F.explode(F.array_compact(F.array(*places))).alias("p")).select("p.*").groupBy("part", "cell")
+                 .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("part", "cell").collect())
+        work = []
+        for i, part in enumerate(todo):
+            start = part.below
+            for row in (r for r in found if r["part"] == i):
+                here = [r for r in part.ranks if start <= r < start + row["n"]]
+                inner = _Open(part.col, row["lo"], row["hi"], start, here)
+                if here and (row["lo"], row["hi"]) == (part.lo, part.hi) and row["lo"] != row["hi"]:
+                    raise RuntimeError(f"interval {part.lo}..{part.hi} of {part.col} does not shrink")
+                if here:
+                    (short if row["n"] <= listed and row["lo"] != row["hi"] else work).append(inner)
+                start += row["n"]
     if short:
-        near = reduce(or_, [F.col("v").between(lo, hi) for lo, hi, _, _ in short])
-        counted = values.filter(near).groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect()
-        for lo, hi, start, here in short:
-            at = start
-            for v, n in ((c["v"], c["n"]) for c in counted if lo <= c["v"] <= hi):
-                answers.update({r: v for r in here if at <= r < at + n})
-                at += n
+        near = [F.when(values[p.col].between(p.lo, p.hi), F.struct(F.lit(i).alias("part"), values[p.col].alias("v"))) for i, p in enumerate(short)]
+        counted = (df.select(F.explode(F.array_compact(F.array(*near))).alias("p")).select("p.*").groupBy("part", "v")
+                   .agg(F.count("*").alias("n")).orderBy("part", "v").collect())
+        at = [p.below for p in short]
+        for row in counted:
+            i = row["part"]
+            answers.update({(short[i].col, r): row["v"] for r in short[i].ranks if at[i] <= r < at[i] + row["n"]})
+            at[i] += row["n"]
     return answers
 
 
+def _ranked(df: DataFrame, values: dict[str, Column], ranks: dict[str, list[int]], cells: int, listed: int) -> dict[tuple[str, int], float]:
+    """Order statistics of the non-null columns; infinities lie below and above the finite values."""
+    inf = float("inf")
+    finite = {c: F.when(F.abs(v) < inf, v) for c, v in values.items()}
+    s = df.agg(*[F.struct(F.count(values[c]).alias("n"), F.count_if(values[c] == -inf).alias("low"), F.count_if(values[c] == inf).alias("high"),
+                          F.min(finite[c]).alias("lo"), F.max(finite[c]).alias("hi")).alias(f"s{i}") for i, c in enumerate(values)]).first()
+    out: dict[tuple[str, int], float] = {}
+    work = []
+    for i, c in enumerate(values):
+        t = s[f"s{i}"]
+        out.update({(c, r): -inf for r in ranks[c] if r < t["low"]})
+        out.update({(c, r): inf for r in ranks[c] if r >= t["n"] - t["high"]})
+        rest = sorted({r for r in ranks[c] if (c, r) not in out})
+        if rest:
+            work.append(_Open(c, t["lo"], t["hi"], t["low"], rest))
+    return out | _narrow(df, finite, work, cells, listed)
+
+
 def order_statistics(df: DataFrame, col: str, ranks: list[int], cells: int = CELLS,
                      listed: int = LISTED) -> list[float]:
-    s = df.agg(F.min(F.col(col).cast("double")), F.max(F.col(col).cast("double"))).first()
-    got = _order_statistics(df, col, ranks, s[0], s[1], cells, listed)
-    return [got[r] for r in ranks]
+    got = _ranked(df, {col: F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))}, {col: ranks}, cells, listed)
+    return [got[col, r] for r in ranks]
 
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], small: int = SMALL,
@@ -75,27 +115,21 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], small: int =
     if not wanted:
         return {}
     num = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in wanted}
-    stats = df.agg(*[F.struct(F.count(num[c]).alias("n"), F.min(num[c]).alias("lo"),
-                              F.max(num[c]).alias("hi")).alias(c) for c in wanted]).first()
-    out: dict[str, list[float | None]] = {}
-    direct = [c for c in wanted if 0 < stats[c]["n"] <= small]
+    counts = df.agg(*[F.count(num[c]).alias(f"n{i}") for i, c in enumerate(wanted)]).first()
+    n = {c: counts[f"n{i}"] for i, c in enumerate(wanted)}
+    out: dict[str, list[float | None]] = {c: [None] * len(wanted[c]) for c in wanted if n[c] == 0}
+    direct = [c for c in wanted if 0 < n[c] <= small]
     if direct:
-        row = df.agg(*[F.percentile(num[c], F.array(*[F.lit(float(q)) for q in wanted[c]])).alias(c)
-                       for c in direct]).first()
-        out.update({c: list(row[c]) for c in direct})
-    out.update({c: [None] * len(wanted[c]) for c in wanted if stats[c]["n"] == 0})
-
-    def narrow(c: str) -> list[float]:
-        n = stats[c]["n"]
-        places = [(n - 1) * q for q in wanted[c]]
-        ranks = sorted({r for h in places for r in (math.floor(h), math.ceil(h))})
-        got = _order_statistics(df.select(num[c].alias(c)), c, ranks, stats[c]["lo"], stats[c]["hi"], cells, listed)
-        return [got[math.floor(h)] + (h - math.floor(h)) * (got[math.ceil(h)] - got[math.floor(h)]) for h in places]
-
+        listed_values = df.agg(*[F.percentile(num[c], F.array(*[F.lit(float(q)) for q in wanted[c]])).alias(f"q{i}")
+                                 for i, c in enumerate(direct)]).first()
+        out.update({c: list(listed_values[f"q{i}"]) for i, c in enumerate(direct)})
     large = [c for c in wanted if c not in out]
-    if large:  # independent one-column jobs: let them share the cluster
-        with ThreadPoolExecutor(min(8, len(large))) as pool:
-            out.update(zip(large, pool.map(narrow, large)))
+    if large:
+        places = {c: [(n[c] - 1) * q for q in wanted[c]] for c in large}
+        got = _ranked(df, {c: num[c] for c in large}, {c: sorted({r for h in places[c] for r in (math.floor(h), math.ceil(h))}) for c in large}, cells, listed)
+        for c in large:
+            ends = [(h - math.floor(h), got[c, math.floor(h)], got[c, math.ceil(h)]) for h in places[c]]
+            out[c] = [lo if lo == hi or part == 0 else lo + part * (hi - lo) for part, lo, hi in ends]
     return out
 
 

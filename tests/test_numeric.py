@@ -42,3 +42,25 @@ def test_exact_quantiles_by_passes(spark, shape):
 def test_quantiles_of_empty_column(spark):
     df = spark.range(5).select(F.lit(None).cast("double").alias("v"))
     assert q.exact_quantiles(df, {"v": [0.5]})["v"] == [None]
+
+
+def test_quantiles_of_extreme_values(spark):
+    import math
+
+    import numpy as np
+
+    from effectloom.functions.quantiles import exact_quantiles, order_statistics
+    rng = np.random.default_rng(5)
+    wide = np.concatenate([rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300), [1.7e308, -1.7e308] * 3])
+    tiny = rng.integers(0, 50, 306) * 5e-324
+    odd = np.concatenate([rng.normal(size=300), [math.inf, math.inf, -math.inf, math.nan, math.nan, 1e300]])
+    rows = [(float(a), float(b), float(c), None if i % 7 else float(a)) for i, (a, b, c) in enumerate(zip(wide, tiny, odd))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    for col, kept in (("a", wide), ("b", tiny), ("c", odd[~np.isnan(odd)]), ("d", wide[::7])):
+        kept = np.sort(kept)
+        ranks = [0, 1, len(kept) // 3, len(kept) - 2, len(kept) - 1]
+        assert order_statistics(df, col, ranks, cells=8, listed=4) == [kept[r] for r in ranks]
+    got = exact_quantiles(df, {"b": [0.5], "c": [0.0, 0.25, 1.0], "d": [0.5]}, small=0, cells=8, listed=4)
+    c = odd[~np.isnan(odd)]
+    assert got["c"][0] == -math.inf and got["c"][2] == math.inf and got["c"][1] == np.quantile(c, 0.25)
+    assert got["b"] == [np.quantile(tiny, 0.5)]
