@@ -52,7 +52,7 @@ def churn_signals(users: DataFrame) -> DataFrame:
         "price_sensitivity": flags(c("premium_ratio") > 0.10, c("policy_count") <= 2, c("n_claims") == 0, c("tenure_years") < 2),
         "product_dissatisfaction": flags(c("switches") > 0, c("complaints") > 0, c("policy_count").between(2, 3), c("tenure_years").between(2, 3)),
         "need_change": flags(c("family_changed") == 1, c("switches") > 1, c("complaints") == 0, c("surrendered") == 1),
-        "forgetfulness": flags(c("n_30d") >= 1, c("complaints") == 0, c("policy_count") >= 3, c("surrendered") == 0),
+        "forgetfulness": flags(c("n_30d") == 0, c("complaints") == 0, c("policy_count") >= 3, c("surrendered") == 0),
         "claim_dispute": flags(c("denied_claims") > 0, c("n_claims") > 0, c("complaints") > 0, c("n_30d") == 0)}
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("cause"), v.alias("n_signals"), (v / F.lit(4.0)).alias("intensity"))
                                for k, v in signals.items()]))

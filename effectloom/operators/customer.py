@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +31,14 @@ def policy_rollup(policies: DataFrame, asof: str, products: tuple[str, ...] = PR
     return g.withColumn("coverage_matrix", matrix)
 
 
-def behaviour_rollup(events: DataFrame, asof: str) -> DataFrame:
-    """Per user: last event, 30/90-day counts, dormancy score and top three event types."""
+def behaviour_rollup(events: DataFrame, asof: str, travel_kinds: Sequence[str] = ("travel",)) -> DataFrame:
+    """Per user: last event, 30/90-day counts, travel events, dormancy score and top three event types."""
     day = F.to_date("ts")
     end = F.lit(asof).cast("date")
     seen = events.filter(day <= end)
     g = seen.groupBy("user_id").agg(
         F.max("ts").alias("last_interaction"), F.count("*").alias("total_events"),
+        F.count_if(F.col("event_type").isin(*travel_kinds)).alias("travel_events"),
         F.count_if(F.datediff(end, day) < 30).alias("n_30d"), F.count_if(F.datediff(end, day) < 90).alias("n_90d"))
     tops = (top_k_values(seen, "user_id", "event_type", 3).groupBy("user_id")
             .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("event_type", "n")))).alias("top_event_types")))
@@ -99,17 +102,18 @@ def tag_freshness(tags: DataFrame, asof: str) -> DataFrame:
         "expired", F.col("expires_on") < F.lit(asof).cast("date"))
 
 
-def build_profiles(customers: DataFrame, policies: DataFrame, events: DataFrame, asof: str, seq: int = 1) -> DataFrame:
+def build_profiles(customers: DataFrame, policies: DataFrame, events: DataFrame, asof: str, seq: int = 1,
+                   travel_kinds: Sequence[str] = ("travel",)) -> DataFrame:
     """One five-layer document per user.
 
     Fact tables are aggregated before the joins.  The document holds bounded
     maps only; policy details stay rows of the policy table.
     """
     work = (customers.join(policy_rollup(policies, asof), "user_id", "left")
-            .join(behaviour_rollup(events, asof), "user_id", "left"))
-    zero = {c: 0 for c in ["policy_count", "active_count", "total_premium", "n_30d", "n_90d", "total_events"]}
+            .join(behaviour_rollup(events, asof, travel_kinds), "user_id", "left"))
+    zero = {c: 0 for c in ["policy_count", "active_count", "total_premium", "n_30d", "n_90d", "total_events", "travel_events"]}
     zero |= {f"{a}_{p}": 0 for p in PRODUCTS for a in ("n", "sum")}
-    work = need_tags(work.na.fill(zero).withColumn("travel_events", F.col("total_events")))
+    work = need_tags(work.na.fill(zero))
     missing = F.lit("missing")
     return work.select(
         "user_id", F.lit(f"v{asof.replace('-', '')}_{seq:03d}").alias("version"),

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException, ArithmeticException, IllegalArgumentException, NumberFormatException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import median
+from .gram import diagnostics_table
+from .typing import numeric_columns
+
 # Canonical method keys and the names users give them.
 METHOD_NAMES = {
     "panel_regression": ["panel_regression", "panel", "fe", "re", "面板回归", "固定效应", "随机效应"],
@@ -21,6 +28,7 @@ METHOD_NAMES = {
 }
 
 
+# Points of each rule.
 def score_methods(stats: DataFrame) -> DataFrame:
     """(method, score) from the one-row dataset summary."""
     def pts(cond, yes, no=0.0):
@@ -78,9 +86,31 @@ class CausalRequest:
     instrument: str | None = None
     running: str | None = None
     cutoff: float | None = None
+    nuisance: str = "linear"  # of double ML: linear or boosted
+
+
+@dataclass
+class MethodResult:
+    """What one method found; graph methods have edges instead of an estimate."""
+    estimate: DataFrame | None = None
+    coefficients: DataFrame | None = None
+    diagnostics: DataFrame | None = None
+    edges: DataFrame | None = None
+
+
+@dataclass
+class MethodRun:
+    estimates: DataFrame | None
+    coefficients: DataFrame | None
+    diagnostics: DataFrame | None
+    edges: DataFrame | None
+    errors: dict[str, str]
 
 
-ESTIMATORS: dict[str, Callable[[DataFrame, CausalRequest], DataFrame]] = {}
+ESTIMATORS: dict[str, Callable[[DataFrame, CausalRequest], MethodResult]] = {}
+#: What a request that doesn't fit the data raises; anything else, such as a lost executor, is not isolated.
+INPUT_ERRORS = (ValueError, KeyError, TypeError, ArithmeticError, np.linalg.LinAlgError, AnalysisException, IllegalArgumentException,
+                ArithmeticException, NumberFormatException)
 
 
 def register_estimator(name: str):
@@ -90,68 +120,112 @@ def register_estimator(name: str):
     return wrap
 
 
+def method_name(raw: str) -> str:
+    """Canonical key of a method name or alias; unknown names stay as they are."""
+    name = raw.strip().lower()
+    return next((m for m, names in METHOD_NAMES.items() if name in names), name)
+
+
+def covariates(df: DataFrame, r: CausalRequest) -> list[str]:
+    """Numeric causes; if there are none, all numeric columns that play no other part."""
+    taken = {r.outcome, r.treatment, r.key, r.entity, r.time}
+    numeric = [c for c in numeric_columns(df) if c not in taken]
+    return [c for c in r.causes if c in numeric] or numeric
+
+
 @register_estimator("panel_regression")
 def _panel(df, r):
     from .panel import panel_regression, pooled_ols
-    xs = [r.treatment, *[c for c in r.causes if c not in (r.entity, r.time, r.outcome, r.treatment)]][:9]
+    xs = [r.treatment, *covariates(df, r)]
     if r.entity is None:
-        return pooled_ols(df, r.outcome, xs).estimate(df.sparkSession, r.outcome, r.treatment)
-    return panel_regression(df, r.entity, r.outcome, xs).fe.estimate(df.sparkSession, r.outcome, r.treatment)
+        fit = pooled_ols(df, r.outcome, xs)
+        return MethodResult(fit.estimate(df.sparkSession, r.outcome, r.treatment), fit.coef_table(df.sparkSession))
+    res = panel_regression(df, r.entity, r.outcome, xs)
+    found = [] if res.hausman is None else [("panel_regression", "hausman", res.hausman, bool(res.hausman_p < 0.05))]
+    return MethodResult(res.fe.estimate(df.sparkSession, r.outcome, r.treatment), res.fe.coef_table(df.sparkSession), diagnostics_table(df.sparkSession, found) if found else None)
 
 
 @register_estimator("diff_in_diff")
 def _did(df, r):
     from .did import did
-    return did(df, r.outcome, r.treatment, r.time, r.entity).estimate(df.sparkSession, r.outcome, r.treatment, "treat_post")
+    fit = did(df, r.outcome, r.treatment, r.time, r.entity)
+    return MethodResult(fit.estimate(df.sparkSession, r.outcome, r.treatment, "treat_post"), fit.coef_table(df.sparkSession))
 
 
 @register_estimator("instrumental_variable")
 def _iv(df, r):
-    from .iv import select_instrument, two_stage
-    usable = [c for c in r.causes if c not in (r.outcome, r.treatment)]
+    from .iv import iv_diagnostics, select_instrument, two_stage
+    usable = covariates(df, r)
     inst = r.instrument or select_instrument(df, r.treatment, usable)
-    fit = two_stage(df, r.outcome, r.treatment, inst, [c for c in usable if c != inst])[0]
-    return fit.estimate(df.sparkSession, r.outcome, r.treatment)
+    fit, first, partial_f = two_stage(df, r.outcome, r.treatment, inst, [c for c in usable if c != inst])
+    return MethodResult(fit.estimate(df.sparkSession, r.outcome, r.treatment), fit.coef_table(df.sparkSession), iv_diagnostics(df, first, partial_f))
 
 
 @register_estimator("propensity_score")
 def _psm(df, r):
     from .psm import att, propensity_score_matching
-    pairs, _, _ = propensity_score_matching(df, r.key, r.outcome, r.treatment, r.causes)
-    return att(pairs, r.outcome, r.treatment)
+    if r.key is None:
+        raise ValueError("matching needs a key column")
+    pairs, _, _ = propensity_score_matching(df, r.key, r.outcome, r.treatment, covariates(df, r))
+    return MethodResult(att(pairs, r.outcome, r.treatment))
 
 
 @register_estimator("double_ml")
 def _dml(df, r):
-    from .dml import dml_estimate, linear_residuals, with_folds
-    xs = [c for c in r.causes if c not in (r.outcome, r.treatment)][:20]
-    return dml_estimate(linear_residuals(with_folds(df, r.key), r.outcome, r.treatment, xs), r.outcome, r.treatment)
+    from .dml import boosted_residuals, dml_estimate, linear_residuals, with_folds
+    if r.key is None:
+        raise ValueError("cross-fitting needs a key column")
+    residuals = {"linear": linear_residuals, "boosted": boosted_residuals}[r.nuisance]
+    return MethodResult(dml_estimate(residuals(with_folds(df, r.key), r.outcome, r.treatment, covariates(df, r)), r.outcome, r.treatment))
 
 
 @register_estimator("rdd")
 def _rdd(df, r):
-    from .rdd import default_running, rdd
-    running, cutoff = (r.running, r.cutoff) if r.running else default_running(df, r.causes, r.outcome, r.treatment)
-    return rdd(df, r.outcome, running, cutoff).fit.estimate(df.sparkSession, r.outcome, r.treatment, "above")
+    from .rdd import default_running, density_chi2, rdd
+    running, cutoff = (r.running, r.cutoff) if r.running else default_running(df, covariates(df, r), r.outcome, r.treatment)
+    cutoff = median(df, running) if cutoff is None else cutoff
+    fit = rdd(df, r.outcome, running, cutoff).fit
+    dense = density_chi2(df, running, cutoff).select(F.lit("rdd").alias("method"), F.lit("density_chi2").alias("name"), F.col("chi2").alias("value"), F.col("concern").alias("flag"))
+    return MethodResult(fit.estimate(df.sparkSession, r.outcome, r.treatment, "above"), fit.coef_table(df.sparkSession), dense)
 
 
-def run_methods(df: DataFrame, request: CausalRequest, methods: list[str]) -> tuple[DataFrame | None, dict[str, str]]:
-    """(union of estimates, errors by method); one failing method does not stop the rest."""
+@register_estimator("dag_discovery")
+def _dag(df, r):
+    from .dag import orient, pc_skeleton
+    numeric = set(numeric_columns(df))
+    cols = [c for c in dict.fromkeys([r.outcome, r.treatment, *covariates(df, r)]) if c in numeric]
+    return MethodResult(edges=orient(*pc_skeleton(df, cols)))
+
+
+def run_all(df: DataFrame, request: CausalRequest, methods: list[str]) -> MethodRun:
+    """Every named method (or alias) over one request; a method the request doesn't fit is reported and doesn't stop the rest."""
     data = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out, errors = None, {}
+    found: dict[str, MethodResult] = {}
+    errors = {}
     try:
-        for m in methods:
-            if m not in ESTIMATORS:
-                errors[m] = "not registered"
-                continue
-            try:
-                one = ESTIMATORS[m](data, request)
-                out = one if out is None else out.unionByName(one)
-            except Exception as e:  # isolate: the message is the result
-                errors[m] = f"{type(e).__name__}: {e}"
+        for raw in methods:
+            name = method_name(raw)
+            if name not in ESTIMATORS:
+                errors[raw] = "not registered"
+            elif name not in found:
+                try:
+                    found[name] = ESTIMATORS[name](data, request)
+                except INPUT_ERRORS as e:
+                    errors[raw] = f"{type(e).__name__}: {e}"
     finally:
         data.unpersist()
-    return out, errors
+
+    def union(part: str) -> DataFrame | None:
+        frames = [getattr(x, part) for x in found.values() if getattr(x, part) is not None]
+        return reduce(DataFrame.unionByName, frames) if frames else None
+
+    return MethodRun(union("estimate"), union("coefficients"), union("diagnostics"), union("edges"), errors)
+
+
+def run_methods(df: DataFrame, request: CausalRequest, methods: list[str]) -> tuple[DataFrame | None, dict[str, str]]:
+    """(union of estimates, errors by method)."""
+    run = run_all(df, request, methods)
+    return run.estimates, run.errors
 
 
 def effect_matrix(estimates: DataFrame) -> DataFrame:

@@ -128,11 +128,13 @@ def json_documents(spark, sf):
     return back.select("day", "user_id", "n")
 
 
-@query("A12_catalogue", "SELECT 'nation' AS table_name, count(*) AS n_rows, 3 AS n_columns, 'n_nationkey, n_name, n_regionkey' AS fields FROM nation "
-       "UNION ALL SELECT 'orders', count(*), 6, 'o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority' FROM orders "
-       "UNION ALL SELECT 'events', count(*), 6, 'event_id, ts, user_id, event_type, value, props' FROM events")
+CATALOGUED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+
+
+@query("A12_catalogue", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, count(*) AS n_columns, string_agg(name, ', ' ORDER BY cid) AS fields FROM pragma_table_info('{t}')" for t in CATALOGUED))
 def catalogue(spark, sf):
-    files = {n: f"{sf}/{n}.parquet" for n in ("nation", "orders", "events")}
+    files = {n: f"{sf}/{n}.parquet" for n in CATALOGUED}
     return sinks.catalogue(spark, files).select("table_name", "n_rows", "n_columns", "fields")
 
 

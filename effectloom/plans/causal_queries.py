@@ -95,9 +95,9 @@ _RM = BASKETS + """, d AS (SELECT b.*, CAST(o_orderdate AS DATE) AS day, CAST(qt
 def run_methods(spark, sf):
     """Four estimators of one request; the panel one (no entity variation asked for) and an unknown name fail alone."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("day"))
-    df = baskets(spark, sf).join(o, "l_orderkey").withColumn("big", (F.col("qty") > 100).cast("int"))
-    req = sel.CausalRequest("price", "big", ["n_lines", "disc"], key="l_orderkey", entity="l_orderkey", time="day", running="qty", cutoff=100.0)
-    out, errors = sel.run_methods(df, req, ["diff_in_diff", "instrumental_variable", "double_ml", "rdd", "panel_regression", "unknown"])
+    df = baskets(spark, sf).join(o, "l_orderkey").withColumn("big", (F.col("qty") > 100).cast("int")).withColumn("word", F.lit("text cause"))
+    req = sel.CausalRequest("price", "big", ["n_lines", "disc", "word"], key="l_orderkey", entity="l_orderkey", time="day", running="qty", cutoff=100.0)
+    out, errors = sel.run_methods(df, req, ["DID", "iv", "dml", " rdd", "fe", "dag", "unknown"])
     return out.select("method", r("ate", 2).alias("ate")).withColumn("n_failed", F.lit(len(errors)))
 
 

@@ -30,7 +30,7 @@ def shifted(spark, sf):
 
 
 _TIER = "CASE WHEN d<=7 THEN 'active' WHEN d<=30 THEN 'regular' WHEN d<=90 THEN 'infrequent' ELSE 'dormant' END"
-_EV = f"""ev AS (SELECT user_id, {E}-CAST(max(ts) AS DATE) AS d, count(*) AS te, count(*) FILTER ({E}-CAST(ts AS DATE)<30) AS n30 FROM events WHERE CAST(ts AS DATE)<={E} GROUP BY 1),
+_EV = f"""ev AS (SELECT user_id, {E}-CAST(max(ts) AS DATE) AS d, count(*) FILTER (event_type='signup') AS tr, count(*) FILTER ({E}-CAST(ts AS DATE)<30) AS n30 FROM events WHERE CAST(ts AS DATE)<={E} GROUP BY 1),
  tops AS (SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS top3 FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) rk
   FROM events WHERE CAST(ts AS DATE)<={E} GROUP BY 1,2) WHERE rk<=3 GROUP BY 1)"""
 _NEEDS = """concat_ws(',', CASE WHEN sum_medical<500000 THEN '医疗刚需' END, CASE WHEN sum_critical_illness<300000 THEN '大病保障' END,
@@ -41,14 +41,14 @@ _NEEDS = """concat_ws(',', CASE WHEN sum_medical<500000 THEN '医疗刚需' END,
 @query("H1_profiles", f"""WITH {CUSTOMERS}, {POLICIES}, {_EV}, p AS (SELECT user_id, count(*) AS pc, sum(premium) AS tp, """ + ", ".join(
     f"coalesce(sum(sum_insured) FILTER (live AND product='{x}'),0) AS sum_{x}" for x in PRODUCTS) + f""", count(*) FILTER (live) AS ac
  FROM (SELECT *, effective_date+{SHIFT}<={E} AND expiry_date+{SHIFT}>={E} AS live FROM policies) GROUP BY 1),
- j AS (SELECT c.*, coalesce(pc,0) pc, coalesce(ac,0) ac, coalesce(tp,0) tp, """ + ", ".join(f"coalesce(sum_{x},0) AS sum_{x}" for x in PRODUCTS) + f""", d, coalesce(te,0) AS travel_events, coalesce(n30,0) n30, top3
+ j AS (SELECT c.*, coalesce(pc,0) pc, coalesce(ac,0) ac, coalesce(tp,0) tp, """ + ", ".join(f"coalesce(sum_{x},0) AS sum_{x}" for x in PRODUCTS) + f""", d, coalesce(tr,0) AS travel_events, coalesce(n30,0) n30, top3
  FROM customers c LEFT JOIN p USING (user_id) LEFT JOIN ev USING (user_id) LEFT JOIN tops USING (user_id))
 SELECT user_id, 'v{EVENTS_ASOF.replace('-', '')}_001' AS version, age, pc AS policy_count, ac AS active_count, round(tp,4) AS total_premium, round(sum_medical,2) AS medical_sum,
  n30 AS n_30d, coalesce(top3,'-') AS top_types, CASE WHEN d IS NULL THEN 'missing' ELSE {_TIER} END AS activity_tier,
  round(least(100.0, greatest(0.0,60.0-coalesce(d,9999)*60.0/90.0)+least(n30,40)*1.0),6) AS dormancy_score,
  CASE WHEN n30>=5 AND d<=7 THEN 'high' WHEN n30>=1 AND d<=30 THEN 'medium' ELSE 'low' END AS intent_level, {_NEEDS} AS need_tags FROM j""")
 def profiles(spark, sf):
-    p = cu.build_profiles(customers(spark, sf), shifted(spark, sf), table(spark, sf, "events"), EVENTS_ASOF)
+    p = cu.build_profiles(customers(spark, sf), shifted(spark, sf), table(spark, sf, "events"), EVENTS_ASOF, travel_kinds=["signup"])
     b, i = "behavior_tags", "insurance_tags"
     return p.select("user_id", "version", F.col("basic_tags.age").alias("age"), F.col(f"{i}.policy_count").alias("policy_count"),
                     F.col(f"{i}.active_count").alias("active_count"), r(F.col(f"{i}.total_premium")).alias("total_premium"),
@@ -407,7 +407,7 @@ _USERS = CUSTOMERS + ", " + POLICIES + f""", cu AS (SELECT c.*, f.*EXCLUDE(user_
  sg AS (SELECT user_id, segment, 'price_sensitivity' AS cause, (premium_ratio>0.10)::INT+(policy_count<=2)::INT+(n_claims=0)::INT+(tenure_years<2)::INT AS n_signals FROM cu
  UNION ALL SELECT user_id, segment, 'product_dissatisfaction', (switches>0)::INT+(complaints>0)::INT+(policy_count BETWEEN 2 AND 3)::INT+(tenure_years BETWEEN 2 AND 3)::INT FROM cu
  UNION ALL SELECT user_id, segment, 'need_change', (family_changed=1)::INT+(switches>1)::INT+(complaints=0)::INT+(surrendered=1)::INT FROM cu
- UNION ALL SELECT user_id, segment, 'forgetfulness', (n_30d>=1)::INT+(complaints=0)::INT+(policy_count>=3)::INT+(surrendered=0)::INT FROM cu
+ UNION ALL SELECT user_id, segment, 'forgetfulness', (n_30d=0)::INT+(complaints=0)::INT+(policy_count>=3)::INT+(surrendered=0)::INT FROM cu
  UNION ALL SELECT user_id, segment, 'claim_dispute', (denied_claims>0)::INT+(n_claims>0)::INT+(complaints>0)::INT+(n_30d=0)::INT FROM cu)"""
 
 

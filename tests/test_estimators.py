@@ -239,3 +239,59 @@ def test_ab_test_p_values(spark):
     r = ch.ab_test(spark.createDataFrame(rows, "arm string, c int, m double"), "arm", "c", "m").first()
     assert r["chi2"] == pytest.approx(400 * (80 * 160 - 40 * 120) ** 2 / (200 * 200 * 120 * 280))
     assert r["decision"] == "promote" and r["p_conversion"] < 1e-4 and 0 < r["p_metric"] < 1
+
+
+def test_no_variable_is_left_out(spark):
+    rng = np.random.default_rng(21)
+    n = 500
+    xs = {f"v{i:02d}": rng.normal(size=n) for i in range(17)}
+    chain = xs["v00"] + rng.normal(size=n) * 0.3
+    df = frame(spark, id=np.arange(n), g=np.arange(n) % 50, y=sum(xs.values()) + rng.normal(size=n) * 0.01, **(xs | {"v16": chain}))
+    cols = sorted(xs)
+    edges = {(r["a"], r["b"]) for r in dag.correlation_edges(df, cols, 0.6).collect()}
+    assert ("v00", "v16") in edges
+    assert ("v00", "v16") in {(r["a"], r["b"]) for r in dag.pc_skeleton(df, cols)[0].collect()}
+    fit = panel.panel_regression(df, "g", "y", cols[:12]).fe
+    assert fit.terms == cols[:12]
+    assert psm.confounders(df, "y", "v00", cols) == cols[1:]
+    assert iv.instrument_candidates(df, "v00", cols[1:]).count() == 16
+    assert iv.two_stage(df, "y", "v00", "v16", cols[1:9])[0].terms == ["v00", *cols[1:9]]
+
+
+def test_deeper_conditioning_sets(spark):
+    rng = np.random.default_rng(22)
+    n = 4000
+    a, b, c, d = rng.normal(size=(4, n))
+    x, y = a + b + c + d + rng.normal(size=n), a + b + c + d + rng.normal(size=n)
+    df = frame(spark, a=a, b=b, c=c, d=d, x=x, y=y)
+    full, cut = dag.pc_skeleton(df, ["a", "b", "c", "d", "x", "y"]), dag.pc_skeleton(df, ["a", "b", "c", "d", "x", "y"], max_depth=2)
+    assert ("x", "y") in {(r["a"], r["b"]) for r in cut[0].collect()} and ("x", "y") not in {(r["a"], r["b"]) for r in full[0].collect()}
+
+
+def test_one_request_all_methods_by_alias(spark):
+    """The first example of the README, on a cohort with a text key and a text cause."""
+    rng = np.random.default_rng(23)
+    n = 900
+    age, burden = rng.normal(40, 10, n), rng.normal(size=n)
+    income = (age / 10 + burden + rng.normal(size=n) > 4).astype(int)
+    df = frame(spark, user_id=[f"u{i:05d}" for i in range(n)], gap=2.0 * income + 0.1 * age + rng.normal(size=n), income=income, age=age, burden=burden,
+               city=["x", "y", "z"] * 300, year=np.arange(n) % 6)
+    req = sel.CausalRequest("gap", "income", ["age", "burden", "city"], key="user_id", time="year", running="age")
+    run = sel.run_all(df, req, ["DML", "psm", "did", "2sls", "panel", "rdd", "dag", "nope"])
+    assert run.errors == {"nope": "not registered"}
+    got = {r["method"]: r["ate"] for r in run.estimates.collect()}
+    assert len(got) == 6 and got["double_ml"] == pytest.approx(2.0, abs=0.3)
+    assert {r["name"] for r in run.diagnostics.collect()} >= {"partial_f", "density_chi2"} and run.edges.count() > 0
+
+
+def test_clustered_errors_do_not_count_nested_effects(spark):
+    g = np.repeat(np.arange(8), 5)
+    rng = np.random.default_rng(24)
+    x, y = rng.normal(size=40), rng.normal(size=40)
+    df = frame(spark, g=g, x=x, y=y)
+    xd = x - np.array([x[g == k].mean() for k in g])
+    yd = y - np.array([y[g == k].mean() for k in g])
+    b = xd @ yd / (xd @ xd)
+    meat = sum((xd[g == k] @ (yd - b * xd)[g == k]) ** 2 for k in range(8))
+    assert panel.panel_regression(df, "g", "y", ["x"]).fe.se[0] == pytest.approx(np.sqrt(meat * 40 / 39) / (xd @ xd))
+    assert panel.panel_regression(df, "g", "y", ["x"], count_effects=True).fe.se[0] == pytest.approx(np.sqrt(meat * 40 / 31) / (xd @ xd))
