@@ -88,9 +88,9 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str
 def grid(n: int, radius: int) -> list[int]:
     """Masks of the band choices of one grid for n fingerprints."""
     def cost(g):
-        # copies of rows, and the pairs that random fingerprints put in one cell, each at a twentieth of a row
-        choices = comb(g, radius)
-        return n * choices + n * n / 2 * choices * 0.375 ** (SEGMENTS * (g - radius) / g) / 20
+        # copies of rows; five times more for those that random fingerprints put into shared cells; their pairs at a twentieth of a row
+        choices, share = comb(g, radius), n * 0.375 ** (SEGMENTS * (g - radius) / g)
+        return n * choices * (1 + 5 * min(1.0, share) + share / 40)
 
     g = min(range(radius + 1, radius + 9), key=cost)
     cuts = [SEGMENTS * i // g for i in range(g + 1)]
