@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tails import chi2_sf, normal_quantile, t_two_sided
+from ..sources.workspace import materialize
 from .joins import small, within_interval
 from .ordered import SLICE_ROWS, argmax_by, carry, seconds
 from .policy import SHORT_TERM, day
@@ -61,7 +62,7 @@ def churn_signals(users: DataFrame) -> DataFrame:
 
 def attribution_scores(signals: DataFrame, params: DataFrame) -> DataFrame:
     """Segment effect x individual intensity; the parameter table is size-checked."""
-    return signals.join(small(params), ["segment", "cause"], "left").withColumn(
+    return signals.join(small(materialize(params)), ["segment", "cause"], "left").withColumn(
         "score", F.coalesce("ate", F.lit(0.0)) * F.col("intensity"))
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.workspace import materialize
 from .joins import bracket_sum, small
 
 # Treatment cost by city tier for the actuarial model (mid points).
@@ -184,7 +185,7 @@ def calibrate_gaps(gaps: DataFrame, params: DataFrame, key: str = "segment") ->
     ``params`` holds one row per segment and its size is checked before broadcast.
     """
     m, a, b = (F.coalesce(c, F.lit(0.0)) for c in ("multiplier", "ate", "base"))
-    return gaps.join(small(params), key, "left").withColumn(
+    return gaps.join(small(materialize(params)), key, "left").withColumn(
         "gap_adjusted", F.greatest(F.lit(0.0), F.col("gap") * (1 + m) + a * (F.col("driver") - b)))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .ordered import SLICE_ROWS, carry, seconds
 
 BROADCAST_ROWS = 100_000  # rule tables above this size are left to the optimizer
+BROADCAST_CHARS = 64_000_000  # and so are those whose rows are longer than this in all, as text
 
 
 def flag_members(df: DataFrame, members: DataFrame, key: str, out: str) -> DataFrame:
@@ -22,8 +23,12 @@ def without(df: DataFrame, other: DataFrame, key: str | list[str]) -> DataFrame:
 
 
 def small(table: DataFrame) -> DataFrame:
-    """Broadcast only after counting; a larger table joins by shuffle."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+    """Broadcast only after counting rows and characters; a larger table joins by shuffle.
+
+    Materialize a derived table first: counting computes it once more.
+    """
+    size = table.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(table) if size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_CHARS else table
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import bands
+from ..sources.workspace import materialize
 from ..operators import churn as ch
 from ..operators import customer as cu
 from ..operators import gaps as gp
@@ -168,9 +169,8 @@ def payment_reminders(spark, sf):
         "policy_id", "year_no", "period_no", F.col("offset_days").cast("long").alias("offset_days"), "reminder")
 
 
-def payments(spark, sf):
-    s = po.payment_schedule(policies(spark, sf), ASOF)
-    return s.filter((F.col("policy_id") + F.col("year_no") * 12 + F.col("period_no")) % 5 != 0).select(
+def payments(schedule):
+    return schedule.filter((F.col("policy_id") + F.col("year_no") * 12 + F.col("period_no")) % 5 != 0).select(
         "policy_id", "due_date", F.date_add("due_date", (F.col("policy_id") % 100).cast("int")).alias("paid_date"))
 
 
@@ -180,7 +180,8 @@ _LAPSE = _SCHED + f""", ls AS (SELECT s.*, CASE WHEN (policy_id+year_no*12+perio
 
 
 def lapses(spark, sf):
-    return po.lapse_state(po.payment_schedule(policies(spark, sf), ASOF), payments(spark, sf), ASOF)
+    schedule = materialize(po.payment_schedule(policies(spark, sf), ASOF))
+    return po.lapse_state(schedule, payments(schedule), ASOF)
 
 
 @query("H14_lapse_state", f"WITH {_LAPSE} SELECT policy_id, state, count(*) AS n, round(sum(due_amount)+1e-7,4) AS amount FROM lapse GROUP BY 1,2")

@@ -101,3 +101,31 @@ def test_median_period_and_histogram(spark):
     assert od.median_period(df, "p") == 5
     h = pf.histogram(df, "v", 10).collect()
     assert sum(r["n"] for r in h) == 100 and max(r["bin"] for r in h) == 9
+
+
+def test_lapse_states_know_only_the_past(spark):
+    from datetime import date
+
+    from effectloom.operators import policy as po
+    due = date(2024, 1, 1)
+    sched = spark.createDataFrame([(k, due, 100.0) for k in range(6)], "policy_id int, due_date date, due_amount double")
+    paid = spark.createDataFrame([(0, due, date(2024, 1, 31)), (1, due, date(2024, 3, 5)), (2, due, date(2024, 7, 1)), (3, due, date(2026, 5, 1))],
+                                 "policy_id int, due_date date, paid_date date")
+
+    def states(day):
+        return {r["policy_id"]: r["state"] for r in po.lapse_state(sched, paid, day).collect()}
+    assert states("2023-12-31") == {k: "due" for k in range(6)}
+    assert states("2024-01-30") == {k: "grace" for k in range(6)}  # no payment has been made yet
+    assert states("2024-03-01") == {0: "paid"} | {k: "grace" for k in range(1, 6)}  # the last day of grace
+    assert states("2024-03-02") == {0: "paid"} | {k: "lapsed" for k in range(1, 6)}
+    assert states("2024-03-05")[1] == "reinstated" and states("2024-06-30")[2] == "lapsed" and states("2024-07-01")[2] == "reinstated"
+    assert states("2026-03-01")[5] == "lapsed" and states("2026-03-02")[5] == "terminated"
+    assert states("2026-06-01")[3] == "terminated"  # paid after the window
+
+
+def test_schedule_runs_as_long_as_the_policy(spark):
+    from datetime import date
+
+    from effectloom.operators import policy as po
+    p = spark.createDataFrame([(1, date(2010, 1, 1), "annual", 100.0)], "policy_id int, effective_date date, pay_freq string, premium double")
+    assert po.payment_schedule(p, "2017-06-30").count() == 8
