@@ -18,6 +18,8 @@ from ..functions.tails import normal_sf
 from ..sources.workspace import materialize
 from .gram import LinearFit, Moments, estimate_row, inverse_scaled, moments_by, prediction, solve_linear
 
+TREE_ROWS = 100_000  # rows per task when boosting
+
 
 def with_folds(df: DataFrame, key: str, k: int = 3, hashed: bool | None = None) -> DataFrame:
     """Repeatable folds from the row key: no random state, stable under retries.
@@ -58,7 +60,8 @@ def boosted_residuals(df: DataFrame, y: str, t: str, xs: list[str], trees: int =
     """Out-of-fold residuals with gradient-boosted trees; a two-valued t uses a classifier."""
     packed = VectorAssembler(inputCols=xs, outputCol="__x").transform(
         df.na.drop(subset=[y, t, *xs]).withColumns({y: F.col(y).cast("double"), t: F.col(t).cast("double")}))
-    packed = materialize(packed)
+    # every tree is several small jobs: no more tasks than the rows need
+    packed = materialize(packed.coalesce(max(1, -(-packed.count() // TREE_ROWS))))
     two = packed.filter(~F.col(t).isin(0.0, 1.0)).isEmpty()
     out = None
     for fold in sorted(r[0] for r in packed.select("fold").distinct().collect()):

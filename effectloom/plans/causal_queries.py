@@ -159,6 +159,15 @@ def propensity_score(spark, sf):
     return psm.propensity(c.join(spend, "c_custkey"), "t", ["c_acctbal", "spend", "n_orders"]).select("c_custkey", "t", r("score", 3).alias("score"))
 
 
+@query("G12_score_equation", """WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+SELECT count(*) AS n, count(*) FILTER (c_mktsegment='BUILDING') AS n_treated, 0.0::DOUBLE AS residual, true AS inside FROM customer JOIN s ON o_custkey=c_custkey WHERE c_acctbal IS NOT NULL""")
+def score_equation(spark, sf):
+    """The unpenalised intercept makes treated rows and scores sum to the same; scores are probabilities."""
+    s = propensity_score(spark, sf)
+    return s.agg(F.count("*").alias("n"), F.count_if(F.col("t") == 1).alias("n_treated"), (F.round(F.avg(F.col("t") - F.col("score")), 3) + F.lit(0.0)).alias("residual"),
+                 F.bool_and(F.col("score").between(0, 1)).alias("inside"))
+
+
 # rounded logistic of the balance: many customers share a score
 _SCORE_SQL = _NN.replace("c_acctbal s FROM customer", "round(1/(1+exp(-(c_acctbal-4500)/3000)),3) s FROM customer")
 
@@ -329,11 +338,13 @@ def nuisance_linear(spark, sf):
     return residuals(spark, sf).groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg(F.col("res_y") ** 2), 0).alias("mse_y"), F.round(F.avg(F.col("res_t") ** 2), 4).alias("mse_t"))
 
 
-@query("G30_nuisance_boosted")
+@query("G30_nuisance_boosted", f"WITH {BASKETS} SELECT CAST(l_orderkey%3 AS INTEGER) AS fold, count(*) AS n, true AS explains_y, true AS explains_t FROM b GROUP BY 1")
 def nuisance_boosted(spark, sf):
+    """Rows per fold, and that out-of-fold predictions leave less than half of the variance."""
     df = dml.with_folds(baskets(spark, sf), "l_orderkey")
     res = dml.boosted_residuals(df, "price", "qty", ["n_lines", "disc", "tax"])
-    return dml.residual_effect(res).select("n", r("ate", 1).alias("ate"))
+    left = {c: F.avg(F.col(f"res_{k}") ** 2) < 0.5 * F.var_pop(v) for c, k, v in (("explains_y", "y", "price"), ("explains_t", "t", "qty"))}
+    return res.groupBy("fold").agg(F.count("*").alias("n"), *[v.alias(c) for c, v in left.items()])
 
 
 _THETA = "round(sum(ry*rt)/sum(rt*rt),4) AS ate, round(sqrt(sum(rt*rt*pow(ry-th*rt,2)))/sum(rt*rt),4) AS se"
@@ -353,12 +364,15 @@ def linear_cate(spark, sf):
     return dml.linear_cate(residuals(spark, sf), ["n_lines"]).coef_table(spark).select("term", r("coef").alias("coef"), r("se").alias("se"))
 
 
-@query("G33_forest_cate")
+@query("G33_forest_cate", f"WITH {BASKETS} SELECT count(*) AS n, 3 AS n_features, 1.0::DOUBLE AS importance, true AS in_range FROM b")
 def forest_cate(spark, sf):
+    """Every row has an effect between the least and the largest pseudo effect; importances sum to one."""
     res = dml.linear_residuals(dml.with_folds(baskets(spark, sf), "l_orderkey"), "price", "qty", ["n_lines", "disc", "tax"])
     out, importance = dml.forest_cate(res, ["n_lines", "disc", "tax"])
-    imp = importance.groupBy().pivot("feature", ["n_lines", "disc", "tax"]).agg(F.round(F.first("importance"), 2))
-    return dml.effect_summary(out).select("n", r("mean", 0).alias("mean")).crossJoin(imp)  # one row on each side
+    imp = importance.agg(F.count("*").cast("int").alias("n_features"), F.round(F.sum("importance"), 6).alias("importance")).first()
+    pseudo = F.when(F.abs("res_t") > 1e-12, F.col("res_y") / F.col("res_t"))
+    return out.agg(F.count("cate").alias("n"), F.lit(imp["n_features"]).alias("n_features"), F.lit(imp["importance"]).alias("importance"),
+                   ((F.min("cate") >= F.min(pseudo)) & (F.max("cate") <= F.max(pseudo))).alias("in_range"))
 
 
 @query("G34_segment_cate", f"WITH {_RES}, s AS (SELECT o_orderpriority AS segment, ry, rt FROM res JOIN orders ON o_orderkey=l_orderkey), t AS (SELECT segment, sum(ry*rt)/sum(rt*rt) AS th FROM s GROUP BY 1) "
