@@ -11,8 +11,8 @@ within Manhattan distance r differs in at most r bands, so it shares the cell of
 some choice of g - r bands.  Counts are stored in unary (0, 1, 11), so the
 distance of two vectors is the bit count of their XOR and a cell is a mask.
 Pairs of a cell are compared by distance, then by the exact fingerprints.  g is
-picked from the number of fingerprints to balance copies of rows against
-comparisons; the result is the same for any g.  A cell with more than `block`
+picked from the number of fingerprints to keep cells small; the result is the
+same for any g.  A cell with more than `block`
 fingerprints is cut into blocks, and every pair of blocks is a group of its own:
 no task holds more than two blocks, and a group reports a spanning forest of its
 links, never all pairs.
@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import re
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -85,14 +84,13 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str
     return docs.selectExpr(f"`{id_col}` AS key", f"`{text_col}` AS text").mapInArrow(make, f"id {kind.simpleString()}, fp long")
 
 
-def grid(n: int, radius: int) -> list[int]:
-    """Masks of the band choices of one grid for n fingerprints."""
-    def cost(g):
-        # copies of rows; five times more for those that random fingerprints put into shared cells; their pairs at a twentieth of a row
-        choices, share = comb(g, radius), n * 0.375 ** (SEGMENTS * (g - radius) / g)
-        return n * choices * (1 + 5 * min(1.0, share) + share / 40)
+def grid(n: int, radius: int, block: int = 2048) -> list[int]:
+    """Masks of the band choices of one grid for n fingerprints.
 
-    g = min(range(radius + 1, radius + 9), key=cost)
+    The fewest bands for which a cell is expected to hold at most a block of
+    random fingerprints: copies of rows stay few, and comparisons per row bounded.
+    """
+    g = next((g for g in range(radius + 1, radius + 8) if n * 0.375 ** (SEGMENTS * (g - radius) / g) <= block), radius + 8)
     cuts = [SEGMENTS * i // g for i in range(g + 1)]
     bands = [sum(3 << 2 * s for s in range(a, b)) for a, b in zip(cuts, cuts[1:])]
     return [sum(c) for c in combinations(bands, g - radius)]
@@ -140,7 +138,7 @@ def spanning_links(group: np.ndarray, fp: np.ndarray, radius: int) -> list[tuple
 
 def links(distinct: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
     """(a, b) fingerprints that connect all fingerprints within the radius; distinct has (fp)."""
-    masks = grid(distinct.count(), radius)
+    masks = grid(distinct.count(), radius, block)
     low = F.col("fp").bitwiseAND(F.lit(EVEN))
     high = F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(EVEN))
     counts = low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
