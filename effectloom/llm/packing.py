@@ -30,13 +30,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import rows, staged, tokenizer_path
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000  # in each of two halves
 CHUNK_CHARS = 1_000_000
 MARKS = (",", ".")
-#: Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the characters from 256 on.
-PLAIN_BYTES = {*range(33, 127), *range(161, 173), *range(174, 256)}
-BYTE_CHARS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - PLAIN_BYTES))}
-BUCKETS = 256
 
 
 class TokenBytes:
@@ -52,19 +48,27 @@ class TokenBytes:
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are written as the machine's 32-bit little-endian numbers")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        # pairs of a byte-level file merge in order of their ids, so its vocabulary serves as ranks
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        chars = {chr(c): b for b, c in {**{b: 256 + n for n, b in enumerate(sorted(set(range(256)).difference(plain)))}, **{b: b for b in plain}}.items()}
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(chars[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if t not in added}
+        self.ranked = tiktoken.Encoding("letters", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r"\s\s", *map(re.escape, special)])).search
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.marks = dict(zip(MARKS, self.encode(list(MARKS))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def one(self, pre_token: str) -> bytes:
-        """Ids of a text that is a single pre-token, such as a space and letters."""
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(pre_token.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+    def letters(self, pre_token: str) -> bytes:
+        """Ids of a single pre-token, a space and letters, merged by the file's own ranks."""
+        return array("I", self.ranked(pre_token)).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -73,14 +77,17 @@ class TokenBytes:
         for i, ids in zip(apart, self.encode([texts[i] for i in apart])):
             out[i] = ids
         if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
+            self.cache, self.old = {}, self.cache  # words in use come back from the old half
         new = set().union(*(p[1:] for p in cut.values())).difference(self.cache)
         # a pre-token ends between a letter and one mark, so the word before the mark is encoded once for all marks
         marked = [w for w in new if w[-1:] in MARKS and w[-2:-1].isalpha()]
-        plain = list(new.difference(marked).union([w[:-1] for w in marked]).difference(self.cache))
+        plain = new.difference(marked).union([w[:-1] for w in marked]).difference(self.cache)
+        again = plain.intersection(self.old)
+        self.cache.update([(w, self.old[w]) for w in again])
+        plain = list(plain.difference(again))
         other = [w for w in plain if not w.isalpha()]
         self.cache.update(zip(other, self.encode([w if w[:1] == "\n" else " " + w for w in other])))
-        self.cache.update([(w, self.one(" " + w)) for w in plain if w.isalpha()])
+        self.cache.update([(w, self.letters(" " + w)) for w in plain if w.isalpha()])
         self.cache.update([(w, self.cache[w[:-1]] + self.marks[w[-1]]) for w in marked])
         first = self.encode([p[0] for p in cut.values()])
         for (i, p), head in zip(cut.items(), first):
