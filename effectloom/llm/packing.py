@@ -33,6 +33,7 @@ from .common import rows, staged, tokenizer_path
 CACHE_WORDS = 300_000  # in each of two halves
 CHUNK_CHARS = 1_000_000
 MARKS = (",", ".")
+BUCKETS = 256
 
 
 class TokenBytes:
