@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import rows, staged, tokenizer_path
 
-CACHE_WORDS = 300_000  # in each of two halves
+CACHE_WORDS = 350_000  # in each of two halves
 CHUNK_CHARS = 1_000_000
 MARKS = (",", ".")
 BUCKETS = 256
