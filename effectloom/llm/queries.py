@@ -14,6 +14,7 @@ from .packing import pack
 from .quality import quality
 from .secrets import SECRETS_SQL, secret_scan
 from .simhash import near_duplicates
+from .spelling import planted_runs, variants
 from .substrings import repeated_units
 from .token_counts import token_counts
 from .urls import RULES, judge_urls, labels_of_pages
@@ -82,3 +83,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_substrings")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_units(read(spark, sf, "documents"))
+
+
+@query("op13_spelling")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return variants(planted_runs(read(spark, sf, "documents")), 6, 5, 5)
