@@ -11,6 +11,7 @@ from .common import read
 from .mixing import MIX_SQL, mix
 from .neighbours import nearest
 from .packing import pack
+from .periodic import periodic_runs, planted, run_digests
 from .quality import quality
 from .secrets import SECRETS_SQL, secret_scan
 from .simhash import near_duplicates
@@ -88,3 +89,8 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @query("op13_spelling")
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return variants(planted_runs(read(spark, sf, "documents")), 6, 5, 5)
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return run_digests(periodic_runs(planted(read(spark, sf, "documents")), 12))
