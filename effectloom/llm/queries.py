@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import CHAT_SQL, PROBE, chat_digests, format_chats
 from .common import read
+from .kdtree import TOP_SQL, top_products
 from .mixing import MIX_SQL, mix
 from .neighbours import nearest
 from .packing import pack
@@ -94,3 +95,8 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_periodic_runs")
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return run_digests(periodic_runs(planted(read(spark, sf, "documents")), 12))
+
+
+@query("op11_top_products", TOP_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return top_products(read(spark, sf, "embeddings"), 20, 20, 64.0)
