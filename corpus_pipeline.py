@@ -1,7 +1,7 @@
 """Corpus preparation: the training-data operators run one after the other.
 
-Rows are told apart by their id and a hash of their text, so repeated ids with
-other texts are judged each on its own; equal rows are judged alike.
+Rows are told apart by id, language, source and a hash of their text, so repeated
+ids with other texts are judged each on its own; equal rows are judged alike.
 """
 
 from __future__ import annotations
@@ -10,15 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectloom.llm.common import read, staged, text_or_empty
-from effectloom.llm.jaccard import near_copies
 from effectloom.llm.mixing import mix
 from effectloom.llm.packing import pack
 from effectloom.llm.quality import quality
 from effectloom.llm.secrets import redact
+from effectloom.llm.simhash import near_duplicates
 
 
 def row_key() -> Column:
-    return F.struct(F.col("doc_id"), F.xxhash64(text_or_empty()).alias("hash"))
+    return F.struct("doc_id", F.xxhash64(text_or_empty()).alias("hash"), "lang", "source")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -32,11 +32,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least row of each group of texts whose five-word shingles are 0.8 alike stays, once."""
-    first = near_copies(keyed(docs), 5, 0.8).select(F.col("component_id").alias("key")).distinct()
+    """The least row of each group of fingerprints (four-word shingles) linked at four or fewer bits stays, once."""
+    first = near_duplicates(keyed(docs), 4, 4).select(F.col("component_id").alias("key")).distinct()
     whole = docs.select(row_key().alias("key"), F.struct(*docs.columns).alias("doc"))
-    # equal rows have one key
-    return whole.join(first, "key", "left_semi").dropDuplicates(["key"]).select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+    # of rows with one key the least whole row stays, whatever order they arrive in
+    least = whole.join(first, "key", "left_semi").groupBy("key").agg(F.min("doc").alias("doc"))
+    return least.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
