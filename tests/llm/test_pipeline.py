@@ -5,7 +5,6 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline as P
 from pyspark.sql import functions as F
-from test_packing import check as check_packed
 from test_quality import brute as features
 from test_simhash import components, fingerprint
 
@@ -62,7 +61,6 @@ def test_stages_and_run(spark, tmp_path):
     for r in packed:
         got[r.doc_id] += r.length
     assert got == {d: n * times[d] for d, n in lengths.items()}
-    assert callable(check_packed)
 
 
 def test_empty_and_odd_documents(spark):
