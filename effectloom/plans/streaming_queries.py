@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators.ordered import sessionize
 from ..sources.workspace import new_path
 from ..streaming import events as st
+from ..streaming import keyed
+from ..streaming.upsert import UpsertTable, upsert_sink
 from .inputs import r, table
 from .registry import query
 
@@ -80,7 +82,7 @@ _LATEST = "(SELECT max(o_orderdate+to_days(CASE o_orderkey%4 WHEN 0 THEN 365 WHE
  UNION ALL SELECT o_orderkey, 'active', 'rejected:reinstate' FROM orders WHERE o_orderkey%4=3
  UNION ALL SELECT o_orderkey, 'terminated', 'surrender' FROM orders WHERE o_orderkey%4=3)""")
 def policy_states(spark, sf):
-    return drain(st.policy_state_stream(policy_moves(spark, sf), "ts")).select("policy_id", "state", "event")
+    return drain(keyed.policy_state_stream(policy_moves(spark, sf), "ts")).select("policy_id", "state", "event")
 
 
 @query("I6_churn_stream", """WITH e AS (SELECT o_custkey AS user_id, o_orderkey AS policy_id, o_orderdate+INTERVAL 365 DAY AS x FROM orders)
@@ -95,7 +97,7 @@ def churn_stream(spark, sf):
 
 @query("I7_contact_cap", "SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
 def contact_cap(spark, sf):
-    return drain(st.contact_cap(st.read_events(spark, sf), "ts", 30)).select("user_id", "event_id")
+    return drain(keyed.contact_cap(st.read_events(spark, sf), "ts", 30)).select("user_id", "event_id")
 
 
 @query("I8_enrich", "SELECT event_id, round(coalesce(m,1.0)*value,4) AS adjusted FROM events LEFT JOIN (SELECT event_type, CAST(max(user_id)%5 AS DOUBLE)/10+1 AS m FROM events WHERE event_type<>'error' GROUP BY 1) USING (event_type)")
@@ -105,9 +107,10 @@ def enrich(spark, sf):
     return drain(out.select("event_id", F.round(F.col("m") * F.col("value"), 4).alias("adjusted")))
 
 
-@query("I9_late_rows_dropped", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1")
+@query("I9_late_rows_dropped", """SELECT 'kept' AS measure, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 2
+ UNION ALL SELECT 'dropped', NULL, count(*) FILTER (ts < TIMESTAMP '2024-01-10') FROM events""")
 def late_rows_dropped(spark, sf):
-    """Two runs on one checkpoint; the second brings rows older than the watermark."""
+    """Two runs on one checkpoint; the second brings rows older than the watermark, which the operator's own metric counts."""
     src, out, ckpt = (new_path(spark, x) for x in ("late-src", "late-out", "late-ckpt"))
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts", "user_id")
     e.write.parquet(src)
@@ -117,13 +120,20 @@ def late_rows_dropped(spark, sf):
     st.run_to_table(stream(), out, ckpt)
     early = e.filter(F.col("ts") < F.lit("2024-01-10").cast("timestamp")).withColumn("event_id", F.col("event_id") + 10_000_000_000)
     early.write.mode("append").parquet(src)
-    got = st.run_to_table(stream(), out, ckpt)
-    return got.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+    got, metrics = st.run_measured(stream(), out, ckpt)
+    kept = got.groupBy(F.lit("kept").alias("measure"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+    return kept.unionByName(metrics.select(F.lit("dropped").alias("measure"), F.lit(None).cast("string").alias("day"), "rows_late")
+                            .groupBy("measure", "day").agg(F.coalesce(F.sum("rows_late"), F.lit(0)).alias("n")))
 
 
 @query("I10_upsert_sink", "SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type, round(arg_max(value, event_id),4) AS value FROM events GROUP BY 1")
-def upsert_sink(spark, sf):
-    path = new_path(spark, "profiles")
-    s = st.read_events(spark, sf).select("user_id", "event_id", "event_type", "value")
-    st.upsert_sink(s, path, new_path(spark, "ckpt"), "user_id", "event_id", "append").awaitTermination()
-    return st.latest_snapshot(spark, path).select("user_id", "event_id", "event_type", r("value").alias("value"))
+def upsert(spark, sf):
+    """Three batches: all events up to a day, those after it, and all of them again."""
+    path, src, ckpt = (new_path(spark, x) for x in ("profiles", "upsert-src", "ckpt"))
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "event_id", "event_type", "value", "ts")
+    mid = F.lit("2024-01-20").cast("timestamp")
+    for part in (e.filter(F.col("ts") < mid), e.filter((F.col("ts") >= mid) | F.col("ts").isNull()), e):
+        part.write.mode("append").parquet(src)
+        s = spark.readStream.schema(e.schema).parquet(src).select("user_id", "event_id", "event_type", "value")
+        upsert_sink(s, path, ckpt, "user_id", "event_id", "append", 16).awaitTermination()
+    return UpsertTable(spark, path, "user_id", "event_id").read().select("user_id", "event_id", "event_type", r("value").alias("value"))

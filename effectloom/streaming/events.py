@@ -6,12 +6,8 @@ Event time must be TIMESTAMP; tables that carry TIMESTAMP_NTZ are cast by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_events(spark: SparkSession, path: str, ts: str = "ts", name: str = "events.parquet",
@@ -64,121 +60,26 @@ def churn_stream(expiries: DataFrame, renewals: DataFrame, days: int = 30, delay
     return e.join(r, cond, "leftOuter").filter(F.col("r_user").isNull()).select(F.col("e_user").alias("user_id"), "policy_id", "expiry_ts")
 
 
-STATE_OUT = "policy_id long, state string, event string, at_ms long"
-# Legal moves of the policy state machine, by event.
-MOVES = {("pending", "activate"): "active", ("active", "renew"): "active", ("active", "expire"): "terminated",
-         ("active", "miss_payment"): "grace", ("grace", "pay"): "active", ("lapsed", "reinstate"): "active",
-         ("active", "surrender"): "terminated", ("grace", "surrender"): "terminated"}
-GRACE_MS = 60 * 86_400_000
-
-
-def _in_order(chunks: Iterator[pd.DataFrame], label: str) -> list[tuple]:
-    """(at_ms, event_id, label) of one key's rows in this trigger, sorted."""
-    rows = [t for c in chunks for t in zip(c["at_ms"].tolist(), c["event_id"].tolist(), c[label].tolist())]
-    rows.sort()
-    return rows
-
-
-def _wake_at(state: GroupState, at: int) -> None:
-    state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
-
-
-def _policy_step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now, until = state.get if state.exists else ("pending", 0)
-    out = []
-    if state.hasTimedOut:
-        if now == "grace":
-            now = "lapsed"
-            out.append((key[0], now, "grace_expired", until))
-    else:
-        for at, _, event in _in_order(chunks, "event"):
-            if now == "grace" and at > until:
-                now = "lapsed"
-                out.append((key[0], now, "grace_expired", until))
-            target = MOVES.get((now, event))
-            if target is None:
-                out.append((key[0], now, f"rejected:{event}", at))
-                continue
-            now, until = target, at + GRACE_MS if target == "grace" else until
-            out.append((key[0], now, event, at))
-    state.update((now, until))
-    if now == "grace":
-        _wake_at(state, until)
-    yield pd.DataFrame(out, columns=["policy_id", "state", "event", "at_ms"])
-
-
-def policy_state_stream(stream: DataFrame, ts: str, delay: str = "1 day") -> DataFrame:
-    """Legal moves per policy; illegal ones come out as rejected.
-
-    stream: policy_id, event_id, event, event time.  Entering grace sets an
-    event-time timeout 60 days ahead; if the policy is still in grace then, it
-    lapses.  One trigger's rows of a key are ordered in memory, so bound the
-    trigger (``max_files``) where keys can be hot.
-    """
-    rows = stream.withWatermark(ts, delay).select("policy_id", "event_id", "event", ts, F.unix_millis(ts).alias("at_ms"))
-    return rows.groupBy("policy_id").applyInPandasWithState(
-        _policy_step, STATE_OUT, "state string, grace_until long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def contact_cap(stream: DataFrame, ts: str, days: int = 30, delay: str = "1 day") -> DataFrame:
-    """Lets one contact per user through, then none for ``days``; state expires with the cap."""
-    window_ms = days * 86_400_000
-
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        kept = []
-        for at, event, _ in _in_order(chunks, "event_id"):
-            if last is None or at - last >= window_ms:
-                last = at
-                kept.append((key[0], event, at))
-        state.update((last,))
-        _wake_at(state, last + window_ms)
-        yield pd.DataFrame(kept, columns=["user_id", "event_id", "at_ms"])
-
-    rows = stream.withWatermark(ts, delay).select("user_id", "event_id", ts, F.unix_millis(ts).alias("at_ms"))
-    return rows.groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, event_id long, at_ms long", "at_ms long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def upsert_sink(stream: DataFrame, path: str, checkpoint: str, key: str, order: str, output_mode: str = "update"):
-    """Latest row per key, kept in versioned snapshot folders.
-
-    Each batch joins the previous snapshot and writes ``snapshot=<batch id>``;
-    a retried batch overwrites only its own folder, so the sink is idempotent.
-    """
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        done = [int(s.getPath().getName().split("=")[1]) for s in (fs.listStatus(target) if fs.exists(target) else [])
-                if s.getPath().getName().startswith("snapshot=")]
-        older = [d for d in done if d < batch_id]
-        if older:
-            fresh = spark.read.parquet(f"{path}/snapshot={max(older)}").unionByName(batch)
-        cols = [c for c in batch.columns if c != key]
-        latest = fresh.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("r")).select(key, "r.*")
-        latest.write.mode("overwrite").parquet(f"{path}/snapshot={batch_id}")
-
-    return (stream.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).foreachBatch(merge).start())
-
-
-def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    newest = max(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(target)
-                 if s.getPath().getName().startswith("snapshot="))
-    return spark.read.parquet(f"{path}/snapshot={newest}")
-
-
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drain the available input into Parquet (append) and read it back."""
     q = (stream.writeStream.format("parquet").outputMode(mode).option("path", path)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_measured(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> tuple[DataFrame, DataFrame]:
+    """As run_to_table, with what each stateful operator did in each trigger:
+    (batch_id, operator, rows_updated, state_rows, rows_late), late rows being those the watermark dropped."""
+    q = (stream.writeStream.format("parquet").outputMode(mode).option("path", path)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    seen: dict[tuple[int, int], tuple] = {}
+    ended = False
+    while not ended:  # read while it runs: a query remembers only its last triggers
+        ended = q.awaitTermination(1)
+        for p in q.recentProgress:
+            for at, op in enumerate(p.stateOperators):
+                seen[p.batchId, at] = (p.batchId, op.operatorName, op.numRowsUpdated, op.numRowsTotal, op.numRowsDroppedByWatermark)
+    spark = stream.sparkSession
+    metrics = spark.createDataFrame(list(seen.values()), "batch_id long, operator string, rows_updated long, state_rows long, rows_late long")
+    return spark.read.schema(stream.schema).parquet(path), metrics
