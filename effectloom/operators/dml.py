@@ -6,19 +6,13 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from ..functions.tails import normal_sf
-from ..sources.workspace import materialize
 from .gram import LinearFit, Moments, estimate_row, inverse_scaled, moments_by, prediction, solve_linear
-
-TREE_ROWS = 100_000  # rows per task when boosting
+from .histtrees import boost, honest_forest, out_of_fold
 
 
 def with_folds(df: DataFrame, key: str, k: int = 3, hashed: bool | None = None) -> DataFrame:
@@ -55,28 +49,15 @@ def linear_residuals(df: DataFrame, y: str, t: str, xs: list[str]) -> DataFrame:
     return df.na.drop(subset=[y, t, *xs]).withColumns({"res_y": res_y, "res_t": res_t})
 
 
-def boosted_residuals(df: DataFrame, y: str, t: str, xs: list[str], trees: int = 100, depth: int = 3,
-                      seed: int = 42) -> DataFrame:
-    """Out-of-fold residuals with gradient-boosted trees; a two-valued t uses a classifier."""
-    packed = VectorAssembler(inputCols=xs, outputCol="__x").transform(
-        df.na.drop(subset=[y, t, *xs]).withColumns({y: F.col(y).cast("double"), t: F.col(t).cast("double")}))
-    # every tree is several small jobs: no more tasks than the rows need
-    packed = materialize(packed.coalesce(max(1, -(-packed.count() // TREE_ROWS))))
-    two = packed.filter(~F.col(t).isin(0.0, 1.0)).isEmpty()
-    out = None
-    for fold in sorted(r[0] for r in packed.select("fold").distinct().collect()):
-        train, test = packed.filter(F.col("fold") != fold), packed.filter(F.col("fold") == fold)
-        my = GBTRegressor(featuresCol="__x", labelCol=y, predictionCol="__py", maxIter=trees, maxDepth=depth, seed=seed).fit(train)
-        test = my.transform(test)
-        if two:
-            mt = GBTClassifier(featuresCol="__x", labelCol=t, predictionCol="__pt", maxIter=trees, maxDepth=depth, seed=seed).fit(train)
-            test = mt.transform(test).withColumn("__pt", vector_to_array("probability")[1]).drop("probability", "rawPrediction")
-        else:
-            mt = GBTRegressor(featuresCol="__x", labelCol=t, predictionCol="__pt", maxIter=trees, maxDepth=depth, seed=seed).fit(train)
-            test = mt.transform(test)
-        part = test.withColumns({"res_y": F.col(y) - F.col("__py"), "res_t": F.col(t) - F.col("__pt")}).drop("__py", "__pt", "__x")
-        out = part if out is None else out.unionByName(part)
-    return out
+def boosted_residuals(df: DataFrame, y: str, t: str, xs: list[str], trees: int = 100, depth: int = 3, rate: float = 0.1, min_leaf: int = 1) -> DataFrame:
+    """Out-of-fold residuals with gradient-boosted trees; a two-valued t gets the logistic loss.
+
+    All folds and both models grow together: one pass over the rows a tree level."""
+    work = df.na.drop(subset=[y, t, *xs])
+    two = work.filter(~F.col(t).cast("double").isin(0.0, 1.0)).isEmpty()
+    model = boost(work, (y, t), xs, trees=trees, depth=depth, rate=rate, min_leaf=min_leaf, logistic=(False, two))
+    return work.withColumn("__p", out_of_fold(work, model, xs)).withColumns(
+        {"res_y": F.col(y) - F.col("__p.v0"), "res_t": F.col(t) - F.col("__p.v1")}).drop("__p")
 
 
 def residual_effect(res: DataFrame, *by: str) -> DataFrame:
@@ -136,20 +117,18 @@ def cate_column(fit: LinearFit) -> Column:
     return prediction(fit.coef[1:], fit.terms[1:], fit.coef[0])
 
 
-def forest_cate(res: DataFrame, xs: list[str], trees: int = 200, depth: int = 5, min_leaf: int = 20,
-                seed: int = 42, out: str = "cate"):
-    """R-learner: weighted forest on res_y / res_t with weight res_t^2.
+def forest_cate(res: DataFrame, xs: list[str], key: str, trees: int = 200, depth: int = 5, min_leaf: int = 20,
+                seed: int = 42, out: str = "cate") -> tuple[DataFrame, DataFrame]:
+    """Honest causal forest on the residuals.
 
-    Returns (rows with the effect column, importance table)."""
-    usable = res.filter(F.abs("res_t") > 1e-12)
-    packed = VectorAssembler(inputCols=xs, outputCol="__x").transform(
-        usable.withColumns({"__pseudo": F.col("res_y") / F.col("res_t"), "__w": F.col("res_t") ** 2}))
-    model = RandomForestRegressor(featuresCol="__x", labelCol="__pseudo", weightCol="__w", predictionCol=out,
-                                  numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed).fit(packed)
+    Returns (rows with the effect, its standard error and 95% interval, importance
+    table).  Effects are null where a feature is."""
+    forest = honest_forest(res, xs, F.col(key), trees, depth, min_leaf, seed=seed)
     importance = res.sparkSession.createDataFrame(
-        [(x, float(v)) for x, v in zip(xs, model.featureImportances.toArray())], "feature string, importance double")
-    scored = model.transform(VectorAssembler(inputCols=xs, outputCol="__x").transform(res)).drop("__x")
-    return scored, importance
+        [(x, float(v)) for x, v in zip(xs, forest.importance())], "feature string, importance double")
+    whole = reduce(and_, [F.col(x).isNotNull() for x in xs])
+    scored = res.withColumn("__c", forest.column())
+    return scored.select(*res.columns, *[F.when(whole, F.col(f"__c.{c}")).alias(c.replace("cate", out)) for c in ("cate", "cate_se", "cate_lower", "cate_upper")]), importance
 
 
 def effect_summary(df: DataFrame, col: str = "cate") -> DataFrame:

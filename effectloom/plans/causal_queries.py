@@ -11,6 +11,7 @@ from ..operators import joins as jn
 from ..operators import ordered as od
 from ..operators import profiling as pf
 from ..operators import typing as ty
+from ..operators.histtrees import honest_forest
 from .inputs import r, table
 from .profiling_queries import _NN
 from .registry import query
@@ -347,6 +348,20 @@ def nuisance_boosted(spark, sf):
     return res.groupBy("fold").agg(F.count("*").alias("n"), *[v.alias(c) for c, v in left.items()])
 
 
+@query("G30_boosted_stump", f"""WITH {BASKETS}, long AS (SELECT l_orderkey%3 AS fold, n_lines AS x, unnest([0,1]) AS t, unnest([price, qty]) AS v FROM b),
+ tr AS (SELECT f, t, x, v, avg(v) OVER (PARTITION BY f, t) AS m FROM long, (VALUES (0),(1),(2)) z(f) WHERE fold<>f),
+ u AS (SELECT f, t, x, any_value(m) AS m, count(*) AS n, sum(v-m) AS g FROM tr GROUP BY 1, 2, 3),
+ s AS (SELECT f, t, x, m, sum(n) OVER w AS nl, sum(g) OVER w AS gl, sum(n) OVER p AS nt, sum(g) OVER p AS gt FROM u WINDOW w AS (PARTITION BY f, t ORDER BY x), p AS (PARTITION BY f, t)),
+ best AS (SELECT f, t, m, arg_max((x, gl/nl, (gt-gl)/(nt-nl)), gl*gl/nl+(gt-gl)*(gt-gl)/(nt-nl)) AS k FROM s WHERE nt>nl GROUP BY 1, 2, 3),
+ res AS (SELECT fold, long.t, v-m-0.5*CASE WHEN x<=k[1] THEN k[2] ELSE k[3] END AS e FROM long JOIN best ON best.f=fold AND best.t=long.t)
+SELECT CAST(fold AS INTEGER) AS fold, count(*)//2 AS n, round(avg(e*e) FILTER (t=0),0) AS mse_y, round(avg(e*e) FILTER (t=1),4) AS mse_t FROM res GROUP BY 1""")
+def boosted_stump(spark, sf):
+    """One tree of one split at rate 1/2: what it leaves out of fold."""
+    df = dml.with_folds(baskets(spark, sf), "l_orderkey")
+    res = dml.boosted_residuals(df, "price", "qty", ["n_lines"], trees=1, depth=1, rate=0.5)
+    return res.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg(F.col("res_y") ** 2), 0).alias("mse_y"), F.round(F.avg(F.col("res_t") ** 2), 4).alias("mse_t"))
+
+
 _THETA = "round(sum(ry*rt)/sum(rt*rt),4) AS ate, round(sqrt(sum(rt*rt*pow(ry-th*rt,2)))/sum(rt*rt),4) AS se"
 
 
@@ -364,15 +379,25 @@ def linear_cate(spark, sf):
     return dml.linear_cate(residuals(spark, sf), ["n_lines"]).coef_table(spark).select("term", r("coef").alias("coef"), r("se").alias("se"))
 
 
-@query("G33_forest_cate", f"WITH {BASKETS} SELECT count(*) AS n, 3 AS n_features, 1.0::DOUBLE AS importance, true AS in_range FROM b")
+@query("G33_forest_cate")
 def forest_cate(spark, sf):
-    """Every row has an effect between the least and the largest pseudo effect; importances sum to one."""
+    """Effects of the whole honest forest, by number of lines."""
     res = dml.linear_residuals(dml.with_folds(baskets(spark, sf), "l_orderkey"), "price", "qty", ["n_lines", "disc", "tax"])
-    out, importance = dml.forest_cate(res, ["n_lines", "disc", "tax"])
-    imp = importance.agg(F.count("*").cast("int").alias("n_features"), F.round(F.sum("importance"), 6).alias("importance")).first()
-    pseudo = F.when(F.abs("res_t") > 1e-12, F.col("res_y") / F.col("res_t"))
-    return out.agg(F.count("cate").alias("n"), F.lit(imp["n_features"]).alias("n_features"), F.lit(imp["importance"]).alias("importance"),
-                   ((F.min("cate") >= F.min(pseudo)) & (F.max("cate") <= F.max(pseudo))).alias("in_range"))
+    out, _ = dml.forest_cate(res, ["n_lines", "disc", "tax"], "l_orderkey")
+    return out.groupBy("n_lines").agg(F.count("cate").alias("n"), r(F.avg("cate"), 2).alias("effect"), F.count_if((F.col("cate_lower") > 0) | (F.col("cate_upper") < 0)).alias("n_significant"))
+
+
+@query("G33_honest_tree", f"""WITH {_RES}, c AS (SELECT l_orderkey%2 AS half, ry*rt AS a, rt*rt AS b, unnest([0,1]) AS f, unnest([n_lines, tax]) AS x FROM res),
+ th AS (SELECT sum(a)/sum(b) AS th FROM c WHERE half=0 AND f=0), u AS (SELECT f, x, count(*) AS n, sum(a-th*b) AS g FROM c, th WHERE half=0 GROUP BY 1, 2),
+ s AS (SELECT f, x, sum(n) OVER w AS nl, sum(g) OVER w AS gl, sum(n) OVER (PARTITION BY f) AS nt, sum(g) OVER (PARTITION BY f) AS gt FROM u WINDOW w AS (PARTITION BY f ORDER BY x)),
+ best AS (SELECT f, x AS cut FROM s WHERE nl>=20 AND nt-nl>=20 ORDER BY gl*gl/nl+(gt-gl)*(gt-gl)/(nt-nl) DESC, f, x LIMIT 1)
+SELECT CASE any_value(c.f) WHEN 0 THEN 'n_lines' ELSE 'tax' END AS feature, round(any_value(cut),4) AS cut, x>cut AS above, CAST(count(*) AS INTEGER) AS n, round(sum(a)/sum(b),4) AS effect
+ FROM c JOIN best ON c.f=best.f WHERE half=1 GROUP BY x>cut""")
+def honest_tree(spark, sf):
+    """One split chosen by the even orders, effects of its two leaves from the odd ones."""
+    tree = honest_forest(residuals(spark, sf), ["n_lines", "tax"], F.col("l_orderkey"), trees=1, depth=1, min_leaf=20, share=1.0, half=F.col("l_orderkey") % 2)
+    rows = [(*path[0], n, effect) for _, n, effect, path in tree.leaves()]
+    return spark.createDataFrame(rows, "feature string, cut double, above boolean, n int, effect double").withColumns({"cut": r("cut"), "effect": r("effect")})
 
 
 @query("G34_segment_cate", f"WITH {_RES}, s AS (SELECT o_orderpriority AS segment, ry, rt FROM res JOIN orders ON o_orderkey=l_orderkey), t AS (SELECT segment, sum(ry*rt)/sum(rt*rt) AS th FROM s GROUP BY 1) "
@@ -436,7 +461,29 @@ def pc_skeleton(spark, sf):
     return dag.pc_skeleton(baskets(spark, sf), _V)[0].withColumn("r", r("r", 6))
 
 
-@query("G38_pc_orientation")
+_ROUND = """,
+ o{k} AS (SELECT x, y FROM adj WHERE (x,y) NOT IN (SELECT (x,y) FROM d{k}) AND (y,x) NOT IN (SELECT (x,y) FROM d{k}) AND (x,y) NOT IN (SELECT (x,y) FROM cf)),
+ n{k} AS (SELECT DISTINCT o.x, o.y FROM o{k} o WHERE EXISTS (SELECT 1 FROM d{k} w WHERE w.y=o.x AND w.x<>o.y AND (w.x,o.y) NOT IN (SELECT (x,y) FROM adj))
+  OR EXISTS (SELECT 1 FROM d{k} f JOIN d{k} g ON f.y=g.x WHERE f.x=o.x AND g.y=o.y)
+  OR EXISTS (SELECT 1 FROM d{k} c JOIN d{k} e ON c.y=e.y AND c.x<e.x WHERE c.y=o.y AND (o.x,c.x) IN (SELECT (x,y) FROM o{k}) AND (o.x,e.x) IN (SELECT (x,y) FROM o{k})
+   AND (c.x,e.x) NOT IN (SELECT (x,y) FROM adj))),
+ d{j} AS (SELECT x, y FROM d{k} UNION SELECT x, y FROM n{k} n WHERE x<y OR (y,x) NOT IN (SELECT (x,y) FROM n{k}))"""
+# a round that orients anything orients one of at most ten edges
+_ORIENT = f"""WITH {BASKETS}, {_PC}, e2 AS (SELECT a, b, r FROM e1 WHERE (a,b) NOT IN (SELECT (a,b) FROM c2)),
+ adj AS (SELECT a AS x, b AS y FROM e2 UNION ALL SELECT b, a FROM e2),
+ sep AS (SELECT a, b, '' AS given FROM cr WHERE (a,b) NOT IN (SELECT (a,b) FROM e0)
+  UNION ALL SELECT k1.a, k1.b, min(k) FROM k1 JOIN cc ab ON ab.a=k1.a AND ab.b=k1.b JOIN cc ak ON ak.a=k1.a AND ak.b=k JOIN cc bk ON bk.a=k1.b AND bk.b=k WHERE NOT ({_z(_P1, 1)}) GROUP BY 1, 2
+  UNION ALL SELECT a, b, min(k || ',' || l) FROM p2 WHERE NOT ({_z('(abk-alk*blk)/sqrt((1-alk*alk)*(1-blk*blk))', 2)}) GROUP BY 1, 2),
+ v AS (SELECT p.x AS a, q.x AS b, p.y AS via FROM adj p JOIN adj q ON p.y=q.y AND p.x<q.x JOIN sep s ON s.a=p.x AND s.b=q.x
+  WHERE (p.x,q.x) NOT IN (SELECT (x,y) FROM adj) AND NOT list_contains(string_split(given, ','), p.y)),
+ h AS (SELECT a AS x, via AS y FROM v UNION SELECT b, via FROM v),
+ cf AS (SELECT p.x, p.y FROM h p JOIN h q ON p.x=q.y AND p.y=q.x),
+ d0 AS (SELECT x, y FROM h WHERE (x,y) NOT IN (SELECT (x,y) FROM cf)){"".join(_ROUND.format(k=k, j=k + 1) for k in range(5))}
+SELECT CASE WHEN (b,a) IN (SELECT (x,y) FROM d5) THEN b ELSE a END AS src, CASE WHEN (b,a) IN (SELECT (x,y) FROM d5) THEN a ELSE b END AS dst, round(r,6) AS weight,
+ CASE WHEN (a,b) IN (SELECT (x,y) FROM cf) THEN 'conflict' WHEN (a,b) IN (SELECT (x,y) FROM d5) OR (b,a) IN (SELECT (x,y) FROM d5) THEN 'directed' ELSE 'undirected' END AS kind FROM e2"""
+
+
+@query("G38_pc_orientation", _ORIENT)
 def pc_orientation(spark, sf):
     edges, seps = dag.pc_skeleton(baskets(spark, sf), _V)
     return dag.orient(edges, seps).withColumn("weight", r("weight", 6))
@@ -447,6 +494,11 @@ def lingam_order(spark, sf):
     return dag.lingam_order(baskets(spark, sf), ["n_lines", "qty", "price"])
 
 
+@query("G39_lingam_edges")
+def lingam_edges(spark, sf):
+    return dag.lingam_edges(baskets(spark, sf), ["n_lines", "qty", "price"]).withColumn("weight", r("weight", 3))
+
+
 @query("G40_bootstrap_edges")
 def bootstrap_edges(spark, sf):
     return dag.bootstrap_edges(baskets(spark, sf), "l_orderkey", _V).withColumns({"mean_r": r("mean_r", 3)})

@@ -36,3 +36,10 @@ def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts lineage and survives executor loss."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, columnar, and there after any executor is lost."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -51,7 +51,9 @@ def test_fixed_effects_and_clusters(spark, panel_data):
     inv = np.linalg.inv(X.T @ X)
     n, k, G = len(y), 2, 40
     assert res.fe.coef == pytest.approx(beta, rel=1e-9)
-    assert res.fe.se == pytest.approx(np.sqrt(np.diag(inv @ (s.T @ s) @ inv) * n / (n - G - k)), rel=1e-9)
+    counted = panel.panel_regression(frame(spark, g=g, x=x, z=z, y=y), "g", "y", ["x", "z"], count_effects=True)
+    for fit, df in ((res.fe, n - k), (counted.fe, n - G - k)):
+        assert fit.se == pytest.approx(np.sqrt(np.diag(inv @ (s.T @ s) @ inv) * n / df), rel=1e-9)
     assert abs(panel.pooled_ols(frame(spark, g=g, x=x, z=z, y=y), "y", ["x", "z"]).coef[0] - 2) > 1  # biased without effects
     assert res.hausman > 10 and res.hausman_p < 0.01  # effects correlate with x
 
@@ -173,7 +175,7 @@ def test_dml_effects(spark, dml_data):
     assert cate.coef == pytest.approx([1.0, 0.5], abs=0.1)
     est = dml.dml_estimate(res, "y", "t").first()
     assert est["ate"] == pytest.approx(1.0, abs=0.15) and est["significant"]
-    out, imp = dml.forest_cate(res, ["x1", "x2"], trees=30)
+    out, imp = dml.forest_cate(res, ["x1", "x2"], "id", trees=40)
     weights = {r["feature"]: r["importance"] for r in imp.collect()}
     assert weights["x1"] > weights["x2"]
     assert out.agg(F.corr("cate", "x1")).first()[0] > 0.7
@@ -186,6 +188,104 @@ def test_boosted_nuisance(spark):
     assert dml.residual_effect(res).first()["ate"] == pytest.approx(1.25, abs=0.15)
 
 
+def test_honest_forest_intervals(spark):
+    """A step in the effect: found, with intervals that hold it nine times in ten; the same rows in other partitions give the same effects."""
+    rng = np.random.default_rng(5)
+    n = 6000
+    x, z, t = rng.uniform(size=n), rng.uniform(size=n), rng.normal(size=n)
+    effect = np.where(x > 0.5, 3.0, 1.0)
+    res = frame(spark, id=np.arange(n), x=x, z=z, res_t=t, res_y=effect * t + rng.normal(size=n), truth=effect)
+    out, imp = dml.forest_cate(res, ["x", "z"], "id", trees=200, depth=4)
+    far = out.filter(F.abs(F.col("x") - 0.5) > 0.05)
+    got = far.agg(F.avg(((F.col("cate_lower") <= F.col("truth")) & (F.col("truth") <= F.col("cate_upper"))).cast("double")).alias("held"),
+                  F.sqrt(F.avg((F.col("cate") - F.col("truth")) ** 2)).alias("error"), F.avg("cate_se").alias("se")).first()
+    assert got["held"] > 0.9 and got["error"] < 0.15 and got["se"] < 0.2
+    assert {r["feature"]: r["importance"] for r in imp.collect()}["x"] > 0.9
+    again, _ = dml.forest_cate(res.repartition(3), ["x", "z"], "id", trees=200, depth=4)
+    assert again.agg(F.sum("cate")).first()[0] == pytest.approx(out.agg(F.sum("cate")).first()[0], rel=1e-3)  # up to the sketch of the bins
+    odd = spark.createDataFrame([(1, None, 1.0, 1.0, 1.0)], "id long, x double, z double, res_t double, res_y double")
+    assert dml.forest_cate(res.select(*odd.columns).unionByName(odd), ["x", "z"], "id", trees=4)[0].filter("cate IS NULL").count() == 1
+
+
+def test_boosting_equals_plain_numpy(spark):
+    """All folds and both models, several replayed rounds, against a direct version on the same bins."""
+    from effectloom.operators import histtrees as ht
+    rng = np.random.default_rng(9)
+    n, rate, trees, depth = 900, 0.3, 7, 2
+    x = rng.integers(0, 9, size=(n, 2)).astype(float)
+    y = x[:, 0] * 2 + (x[:, 1] > 4) * 3 + rng.normal(size=n)
+    t = (rng.uniform(size=n) < 1 / (1 + np.exp(3 - x[:, 1]))).astype(float)
+    fold = np.arange(n) % 3
+
+    def fit(v, keep, logistic):
+        start = np.log(v[keep].mean() / (1 - v[keep].mean())) if logistic else v[keep].mean()
+        score = np.full(n, start)
+        for _ in range(trees):
+            mean = 1 / (1 + np.exp(-score)) if logistic else score
+            g, h = v - mean, mean * (1 - mean) if logistic else np.ones(n)
+
+            def grow(rows, level):
+                some = rows & keep
+                best = None
+                for f in range(2):
+                    for c in sorted(set(x[:, f]))[:-1]:
+                        l, r = some & (x[:, f] <= c), some & (x[:, f] > c)
+                        if l.any() and r.any():
+                            gain = g[l].sum() ** 2 / l.sum() + g[r].sum() ** 2 / r.sum() - g[some].sum() ** 2 / some.sum()
+                            if gain > 1e-12 and (best is None or gain > best[0] + 1e-9):
+                                best = (gain, f, c)
+                if level == depth or best is None:
+                    score[rows] += rate * (g[some].sum() / h[some].sum() if some.any() else 0)
+                else:
+                    grow(rows & (x[:, best[1]] <= best[2]), level + 1)
+                    grow(rows & (x[:, best[1]] > best[2]), level + 1)
+            grow(np.ones(n, bool), 0)
+        return 1 / (1 + np.exp(-score)) if logistic else score
+
+    df = frame(spark, id=np.arange(n), fold=fold, a=x[:, 0], b=x[:, 1], y=y, t=t)
+    got = dml.boosted_residuals(df, "y", "t", ["a", "b"], trees=trees, depth=depth, rate=rate).orderBy("id").toPandas()
+    for f in range(3):
+        own = fold == f
+        assert got["res_y"].to_numpy()[own] == pytest.approx((y - fit(y, ~own, False))[own], abs=1e-6)
+        assert got["res_t"].to_numpy()[own] == pytest.approx((t - fit(t, ~own, True))[own], abs=1e-6)
+    assert ht.quantile_cuts(df, ["a"], 64)[0].tolist() == sorted(set(x[:, 0]))[:-1]
+
+
+def graph(spark, edges, apart):
+    e = spark.createDataFrame([(*sorted(p), 0.5) for p in edges], "a string, b string, r double")
+    s = spark.createDataFrame([(*sorted(p), g) for p, g in apart.items()], "a string, b string, given string")
+    return {(r["src"], r["dst"]): r["kind"] for r in dag.orient(e, s).collect()}
+
+
+def test_orientation_rules(spark):
+    d = "directed"
+    # a collider, then the rule of the open chain
+    assert graph(spark, ["ac", "bc", "cd"], {"ab": "", "ad": "c", "bd": "c"}) == {("a", "c"): d, ("b", "c"): d, ("c", "d"): d}
+    # the rule of the path: c -> d, d -> e, so c -> e
+    assert graph(spark, ["ac", "bc", "cd", "de", "ce"], {"ab": "", "ad": "c", "bd": "c", "ae": "c", "be": "c"})[("c", "e")] == d
+    # two parents of d that are not adjacent, both joined to a: a -> d
+    assert graph(spark, ["ab", "ac", "ad", "bd", "cd"], {"bc": "a"}) == {("a", "b"): "undirected", ("a", "c"): "undirected", ("a", "d"): d, ("b", "d"): d, ("c", "d"): d}
+    # a chain without collider stays undirected; two v-structures against each other are a conflict
+    assert set(graph(spark, ["ab", "bc"], {"ac": "b"}).values()) == {"undirected"}
+    assert graph(spark, ["ab", "bc", "cd"], {"ac": "", "bd": "", "ad": ""})[("b", "c")] == "conflict"
+
+
+def test_lingam_weights(spark):
+    """A planted graph: its coefficients come back, pairs without an edge have none."""
+    rng = np.random.default_rng(13)
+    n = 4000
+    e = rng.uniform(-1, 1, size=(4, n))
+    a = e[0]
+    b = 0.8 * a + e[1]
+    c = -1.5 * b + e[2]
+    d = 0.6 * a + 2 * c + e[3]
+    got = {(r["src"], r["dst"]): r["weight"] for r in dag.lingam_edges(frame(spark, d=d, b=b, c=c, a=a), ["d", "b", "c", "a"]).collect()}
+    assert got.keys() == {("a", "b"), ("b", "c"), ("a", "d"), ("c", "d")}
+    assert [got[k] for k in (("a", "b"), ("b", "c"), ("a", "d"), ("c", "d"))] == pytest.approx([0.8, -1.5, 0.6, 2.0], abs=0.08)
+    m = np.cov(np.stack([a, b, c, d])) * n
+    assert dag.adaptive_lasso(m, n, 3, [0, 1, 2])[1] == 0
+
+
 def test_pc_chain_and_collider(spark):
     rng = np.random.default_rng(11)
     n = 4000
