@@ -1,10 +1,13 @@
-"""Exact quantiles and order statistics without gathering a column in one task.
-
-``percentile`` keeps every distinct value of a group in one buffer, which is
-fine for a counted, small column.  Larger columns are narrowed together by a few
-histogram passes: each pass counts values in equal-width cells of the current
-interval (map-side combined, a bounded number of cells) until the wanted rank
-lies in a cell that is a single value or is small enough to list.
+"""Exact quantiles and order statistics in two scans, whatever the size.
+
+The first scan is one aggregate: per column a count and a mergeable quantile
+sketch, read at a grid of ranks.  Two grid points bracket each wanted rank with a
+wide margin over the sketch's error.  The second scan counts exactly what lies
+below and between the brackets and lists the values inside with their counts, a
+fixed small share of the rows.  If the list is short it settles the ranks;
+otherwise it is written as a table and narrowed there by histogram passes, so the
+input is not read again.  Should a rank lie outside its bracket, the scan is
+repeated with a wider one.
 """
 
 from __future__ import annotations
@@ -15,121 +18,198 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 100_000
+from ..sources.workspace import written
+
+GRID = 512
+ACCURACY = 4096  # sketch error: n / ACCURACY ranks, an eighth of a grid step
 CELLS = 1024
-LISTED = 20_000
+LISTED = 50_000
+INF = float("inf")
+
+
+def number(col: str) -> Column:
+    """The column as a double; NaN counts as missing."""
+    return F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
+
+
+@dataclass
+class Sketch:
+    """Non-null rows of a column and its values at GRID + 1 evenly spaced ranks, nearly."""
+    n: int
+    grid: list[float]
+
+    def bracket(self, rank: int, steps: int) -> tuple[float, float]:
+        at = rank / max(1, self.n - 1) * (len(self.grid) - 1)
+        low, high = math.floor(at) - steps, math.ceil(at) + steps
+        return self.grid[low] if low > 0 else -INF, self.grid[high] if high < len(self.grid) - 1 else INF
+
+
+def sketch_of(v: Column, grid: int = GRID) -> Column:
+    """Aggregate to put beside others; `read_sketch` reads it."""
+    return F.struct(F.count(v).alias("n"), F.percentile_approx(v, [i / grid for i in range(grid + 1)], ACCURACY).alias("grid"))
+
+
+def read_sketch(row) -> Sketch:
+    return Sketch(row["n"], list(row["grid"] or []))
 
 
 @dataclass
-class _Open:
-    """An interval of a column that still holds wanted ranks, and the rows below it."""
-    col: str
+class _Part:
+    """An interval of the listed values (of one column and zone) that holds wanted ranks; below: rows before it."""
+    zone: int
     lo: float
     hi: float
     below: int
     ranks: list[int]
 
 
-def _cells(v: Column, part: _Open, cells: int) -> Column | None:
-    """Cell number within the interval; halves, so that the width of wide intervals doesn't overflow.
-
-    None where the interval is too narrow for cells: it holds few distinct doubles then.
-    """
-    width = (part.hi / 2 - part.lo / 2) / cells
-    if part.lo / 2 + width <= part.lo / 2 or part.hi / 2 - width >= part.hi / 2:
-        return None
-    return F.least(F.lit(cells - 1), F.floor((v / 2 - F.lit(part.lo / 2)) / F.lit(width)).cast("int"))
-
-
-def _narrow(df: DataFrame, values: dict[str, Column], work: list[_Open], cells: int, listed: int) -> dict[tuple[str, int], float]:
-    """Values at the wanted 0-based ranks; every round is one pass for all columns and intervals."""
-    answers: dict[tuple[str, int], float] = {}
-    short: list[_Open] = []
+def _narrow(table: DataFrame, work: list[_Part], cells: int, listed: int) -> dict[int, dict[int, float]]:
+    """zone -> rank -> value, over a table (zone, v, n) of finite values; every round is one pass for all intervals."""
+    answers: dict[int, dict[int, float]] = {}
+    short: list[tuple[_Part, int]] = []
+    v = F.col("v")
     while work:
-        todo = []
+        place, todo = F.lit(None).cast("struct<part:int,cell:int>"), []
         for part in work:
+            width = (part.hi / 2 - part.lo / 2) / cells  # halves: the width of wide intervals does not overflow
             if part.lo == part.hi:
-                answers.update({(part.col, r): part.lo for r in part.ranks})
-            elif _cells(F.lit(0.0), part, cells) is None:
-                short.append(part)
+                answers.setdefault(part.zone, {}).update({r: part.lo for r in part.ranks})
+            elif part.lo / 2 + width <= part.lo / 2 or part.hi / 2 - width >= part.hi / 2:
+                short.append((part, 0))  # too narrow for cells: few distinct doubles
             else:
+                cell = F.least(F.lit(cells - 1), F.floor((v / 2 - F.lit(part.lo / 2)) / F.lit(width)).cast("int"))
+                place = F.when((F.col("zone") == part.zone) & v.between(part.lo, part.hi), F.struct(F.lit(len(todo)).alias("part"), cell.alias("cell"))).otherwise(place)
                 todo.append(part)
         if not todo:
             break
-        places = []
-        for i, part in enumerate(todo):
-            v = values[part.col]
-            places.append(F.when(v.between(part.lo, part.hi), F.struct(F.lit(i).alias("part"), _cells(v, part, cells).alias("cell"), v.alias("v"))))
-        found = (df.select(F.explode(F.array_compact(F.array(*places))).alias("p")).select("p.*").groupBy("part", "cell")
-                 .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("part", "cell").collect())
+        found = (table.select(place.alias("p"), "v", "n").filter("p IS NOT NULL").groupBy("p.part", "p.cell")
+                 .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("part", "cell").collect())
         work = []
         for i, part in enumerate(todo):
             start = part.below
             for row in (r for r in found if r["part"] == i):
                 here = [r for r in part.ranks if start <= r < start + row["n"]]
-                inner = _Open(part.col, row["lo"], row["hi"], start, here)
-                if here and (row["lo"], row["hi"]) == (part.lo, part.hi) and row["lo"] != row["hi"]:
-                    raise RuntimeError(f"interval {part.lo}..{part.hi} of {part.col} does not shrink")
                 if here:
-                    (short if row["n"] <= listed and row["lo"] != row["hi"] else work).append(inner)
+                    inner = _Part(part.zone, row["lo"], row["hi"], start, here)
+                    if row["values"] <= listed and row["lo"] != row["hi"]:
+                        short.append((inner, row["values"]))
+                    else:
+                        work.append(inner)
                 start += row["n"]
-    if short:
-        near = [F.when(values[p.col].between(p.lo, p.hi), F.struct(F.lit(i).alias("part"), values[p.col].alias("v"))) for i, p in enumerate(short)]
-        counted = (df.select(F.explode(F.array_compact(F.array(*near))).alias("p")).select("p.*").groupBy("part", "v")
-                   .agg(F.count("*").alias("n")).orderBy("part", "v").collect())
-        at = [p.below for p in short]
-        for row in counted:
-            i = row["part"]
-            answers.update({(short[i].col, r): row["v"] for r in short[i].ranks if at[i] <= r < at[i] + row["n"]})
-            at[i] += row["n"]
+    for part, _ in short:
+        start = part.below
+        for row in table.filter((F.col("zone") == part.zone) & v.between(part.lo, part.hi)).groupBy("v").agg(F.sum("n").alias("n")).orderBy("v").collect():
+            answers.setdefault(part.zone, {}).update({r: row["v"] for r in part.ranks if start <= r < start + row["n"]})
+            start += row["n"]
     return answers
 
 
-def _ranked(df: DataFrame, values: dict[str, Column], ranks: dict[str, list[int]], cells: int, listed: int) -> dict[tuple[str, int], float]:
-    """Order statistics of the non-null columns; infinities lie below and above the finite values."""
-    inf = float("inf")
-    finite = {c: F.when(F.abs(v) < inf, v) for c, v in values.items()}
-    s = df.agg(*[F.struct(F.count(values[c]).alias("n"), F.count_if(values[c] == -inf).alias("low"), F.count_if(values[c] == inf).alias("high"),
-                          F.min(finite[c]).alias("lo"), F.max(finite[c]).alias("hi")).alias(f"s{i}") for i, c in enumerate(values)]).first()
-    out: dict[tuple[str, int], float] = {}
-    work = []
-    for i, c in enumerate(values):
-        t = s[f"s{i}"]
-        out.update({(c, r): -inf for r in ranks[c] if r < t["low"]})
-        out.update({(c, r): inf for r in ranks[c] if r >= t["n"] - t["high"]})
-        rest = sorted({r for r in ranks[c] if (c, r) not in out})
-        if rest:
-            work.append(_Open(c, t["lo"], t["hi"], t["low"], rest))
-    return out | _narrow(df, finite, work, cells, listed)
-
-
-def order_statistics(df: DataFrame, col: str, ranks: list[int], cells: int = CELLS,
-                     listed: int = LISTED) -> list[float]:
-    got = _ranked(df, {col: F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))}, {col: ranks}, cells, listed)
+def _from_rows(rows: list, ranks: dict[int, tuple[int, list[int]]]) -> dict[int, dict[int, float]]:
+    """Values of ranks (zone -> (rows below, ranks)) from collected rows (zone, v, n)."""
+    out: dict[int, dict[int, float]] = {}
+    start = {z: below for z, (below, _) in ranks.items()}
+    for zone, v, n in sorted((r["zone"], r["v"], r["n"]) for r in rows if r["zone"] in ranks):
+        out.setdefault(zone, {}).update({r: v for r in ranks[zone][1] if start[zone] <= r < start[zone] + n})
+        start[zone] += n
+    return out
+
+
+def _from_table(found: DataFrame, ranks: dict[int, tuple[int, list[int]]], cells: int, listed: int) -> dict[int, dict[int, float]]:
+    """The same from a table (zone, v, n)."""
+    finite = F.when(F.abs("v") < INF, F.col("v"))
+    ends = found.groupBy("zone").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("v") == -INF, F.col("n"))), F.lit(0)).alias("low"),
+                                     F.coalesce(F.sum(F.when(F.col("v") == INF, F.col("n"))), F.lit(0)).alias("high"), F.min(finite).alias("lo"), F.max(finite).alias("hi"))
+    out, work = {}, []
+    for row in ends.collect():
+        below, wanted = ranks.get(row["zone"], (0, []))
+        got = {r: -INF for r in wanted if r < below + row["low"]} | {r: INF for r in wanted if r >= below + row["n"] - row["high"]}
+        out[row["zone"]] = got
+        if rest := [r for r in wanted if r not in got]:
+            work.append(_Part(row["zone"], row["lo"], row["hi"], below + row["low"], rest))
+    for zone, got in _narrow(found.filter(F.abs("v") < INF), work, cells, listed).items():
+        out[zone] |= got
+    return out
+
+
+def ranked(df: DataFrame, values: dict[str, Column], ranks: dict[str, list[int]], sketches: dict[str, Sketch], cells: int = CELLS,
+           listed: int = LISTED, steps: int = 2) -> dict[tuple[str, int], float]:
+    """Order statistics (column, 0-based rank) of non-null values; one scan unless a sketch was wrong."""
+    names = [c for c in values if ranks[c]]
+    # zones: column i owns the numbers from i * most on; odd ones are inside a bracket and listed
+    most = 2 * max((len(ranks[c]) for c in names), default=0) + 2
+    places, inside, brackets = [], 0.0, {}
+    for i, c in enumerate(names):
+        merged: list[list[float]] = []
+        for lo, hi in sorted(sketches[c].bracket(r, steps) for r in ranks[c]):
+            if merged and lo <= merged[-1][1]:
+                merged[-1][1] = max(hi, merged[-1][1])
+            else:
+                merged.append([lo, hi])
+        brackets[c] = merged
+        inside += sketches[c].n * min(1.0, len(ranks[c]) * (2 * steps + 1) / (len(sketches[c].grid) - 1))
+        v, zone = values[c], F.lit(i * most + 2 * len(merged))
+        for k in range(len(merged) - 1, -1, -1):
+            zone = F.when(v < merged[k][0], F.lit(i * most + 2 * k)).when(v <= merged[k][1], F.lit(i * most + 2 * k + 1)).otherwise(zone)
+        places.append(F.when(v.isNotNull(), F.struct(zone.alias("zone"), v.alias("v"))))
+    if not names:
+        return {}
+    one = df.select((places[0] if len(places) == 1 else F.explode(F.array_compact(F.array(*places)))).alias("p")).filter("p IS NOT NULL")
+    found = one.select("p.zone", F.when(F.col("p.zone") % 2 == 1, F.col("p.v")).alias("v")).groupBy("zone", "v").agg(F.count(F.lit(1)).alias("n"))
+    few = inside <= listed
+    if few:
+        rows = found.collect()
+        count: dict[int, int] = {}
+        for r in rows:
+            count[r["zone"]] = count.get(r["zone"], 0) + r["n"]
+    else:
+        found = written(found, "ranks")
+        count = {r["zone"]: r["n"] for r in found.groupBy("zone").agg(F.sum("n").alias("n")).collect()}
+    wanted: dict[int, tuple[int, list[int]]] = {}
+    missed: dict[str, list[int]] = {}
+    for i, c in enumerate(names):
+        start = 0
+        for zone in range(i * most, i * most + 2 * len(brackets[c]) + 1):
+            n = count.get(zone, 0)
+            here = [r for r in ranks[c] if start <= r < start + n]
+            if here and zone % 2 == 1:
+                wanted[zone] = (start, here)
+            elif here:
+                missed[c] = missed.get(c, []) + here
+            start += n
+    got = _from_rows(rows, wanted) if few else _from_table(found.filter("v IS NOT NULL"), wanted, cells, listed)
+    out = {(c, r): got[zone][r] for i, c in enumerate(names) for zone, (_, here) in wanted.items() if zone // most == i for r in here}
+    if missed:
+        out |= ranked(df, {c: values[c] for c in missed}, missed, sketches, cells, listed, steps * 16)
+    return out
+
+
+def sketched(df: DataFrame, values: dict[str, Column], grid: int = GRID) -> dict[str, Sketch]:
+    row = df.agg(*[sketch_of(v, grid).alias(f"s{i}") for i, v in enumerate(values.values())]).first()
+    return {c: read_sketch(row[f"s{i}"]) for i, c in enumerate(values)}
+
+
+def order_statistics(df: DataFrame, col: str, ranks: list[int], cells: int = CELLS, listed: int = LISTED, grid: int = GRID) -> list[float]:
+    values = {col: number(col)}
+    got = ranked(df, values, {col: sorted(set(ranks))}, sketched(df, values, grid), cells, listed)
     return [got[col, r] for r in ranks]
 
 
-def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], small: int = SMALL,
-                    cells: int = CELLS, listed: int = LISTED) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles per column, ignoring nulls and NaN."""
+def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], sketches: dict[str, Sketch] | None = None, cells: int = CELLS,
+                    listed: int = LISTED, grid: int = GRID) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles per column, ignoring nulls and NaN.
+
+    sketches: those of the same columns, if an earlier aggregate has taken them.
+    """
     if not wanted:
         return {}
-    num = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in wanted}
-    counts = df.agg(*[F.count(num[c]).alias(f"n{i}") for i, c in enumerate(wanted)]).first()
-    n = {c: counts[f"n{i}"] for i, c in enumerate(wanted)}
-    out: dict[str, list[float | None]] = {c: [None] * len(wanted[c]) for c in wanted if n[c] == 0}
-    direct = [c for c in wanted if 0 < n[c] <= small]
-    if direct:
-        listed_values = df.agg(*[F.percentile(num[c], F.array(*[F.lit(float(q)) for q in wanted[c]])).alias(f"q{i}")
-                                 for i, c in enumerate(direct)]).first()
-        out.update({c: list(listed_values[f"q{i}"]) for i, c in enumerate(direct)})
-    large = [c for c in wanted if c not in out]
-    if large:
-        places = {c: [(n[c] - 1) * q for q in wanted[c]] for c in large}
-        got = _ranked(df, {c: num[c] for c in large}, {c: sorted({r for h in places[c] for r in (math.floor(h), math.ceil(h))}) for c in large}, cells, listed)
-        for c in large:
-            ends = [(h - math.floor(h), got[c, math.floor(h)], got[c, math.ceil(h)]) for h in places[c]]
-            out[c] = [lo if lo == hi or part == 0 else lo + part * (hi - lo) for part, lo, hi in ends]
+    values = {c: number(c) for c in wanted}
+    sketches = sketches or sketched(df, values, grid)
+    places = {c: [(sketches[c].n - 1) * q for q in wanted[c]] for c in wanted if sketches[c].n}
+    got = ranked(df, values, {c: sorted({r for h in places.get(c, []) for r in (math.floor(h), math.ceil(h))}) for c in wanted}, sketches, cells, listed)
+    out: dict[str, list[float | None]] = {c: [None] * len(wanted[c]) for c in wanted if c not in places}
+    for c, at in places.items():
+        ends = [(h - math.floor(h), got[c, math.floor(h)], got[c, math.ceil(h)]) for h in at]
+        out[c] = [lo if lo == hi or part == 0 else lo + part * (hi - lo) for part, lo, hi in ends]
     return out
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import exact_quantiles, number, sketched
 from ..sources.workspace import materialize
 from . import typing as ty
 from .gram import moments, solve_linear
@@ -80,10 +80,10 @@ def iterative_impute(df: DataFrame, cols: list[str], rounds: int = 10, ridge: fl
 
 
 def iqr_bounds(df: DataFrame, cols: list[str], k: float = 1.5, min_n: int = 1) -> dict[str, tuple[float, float]]:
-    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first() if cols else {}
-    cols = [c for c in cols if counts[c] >= min_n]
-    q = exact_quantiles(df, {c: [0.25, 0.75] for c in cols})
-    return {c: (q[c][0] - k * (q[c][1] - q[c][0]), q[c][1] + k * (q[c][1] - q[c][0])) for c in cols}
+    sketches = sketched(df, {c: number(c) for c in cols}) if cols else {}
+    cols = [c for c in cols if sketches[c].n >= min_n]
+    q = exact_quantiles(df, {c: [0.25, 0.75] for c in cols}, sketches)
+    return {c: (q[c][0] - k * (q[c][1] - q[c][0]), q[c][1] + k * (q[c][1] - q[c][0])) for c in cols if q[c][0] is not None}
 
 
 def zscore_bounds(df: DataFrame, cols: list[str], k: float, min_n: int = 1):

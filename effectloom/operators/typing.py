@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.quantiles import exact_quantiles, median
+from ..functions.quantiles import exact_quantiles, median, number, read_sketch, sketch_of
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
-DISTINCT_COLUMNS = 8  # columns per distinct-count pass; each pass expands rows by this factor
+DISTINCT_COLUMNS = 1  # columns per distinct-count pass: one alone is not expanded, and the pass reads no other column
 
 META_SCHEMA = ("table string, column string, dtype string, semantic_type string, n long, n_missing long, "
                "n_unique long, mean double, std double, min double, max double, median double")
@@ -66,16 +66,19 @@ def column_meta(df: DataFrame, table: str = "", max_unique: int = 20, max_ratio:
         elif c in text:
             aggs += [F.count(F.try_to_timestamp(F.col(c))).alias(f"dates_{i}"),
                      F.count(F.expr(f"try_cast(`{c}` as double)")).alias(f"numbers_{i}")]
+    if with_median:
+        aggs += [sketch_of(number(c)).alias(f"quantiles_{cols.index(c)}") for c in nums]
     if not exact_unique:
         aggs += [F.approx_count_distinct(F.col(c)).alias(f"sketch_{i}") for i, c in enumerate(cols)]
-    s = df.agg(*aggs).first().asDict()
+    first = df.agg(*aggs).first()
+    s = first.asDict()
     unique = {} if exact_unique else {c: s[f"sketch_{i}"] for i, c in enumerate(cols)}
     counted = cols if exact_unique else []
     for at in range(0, len(counted), DISTINCT_COLUMNS):
         part = counted[at:at + DISTINCT_COLUMNS]
         row = df.agg(*[F.count_distinct(F.col(c)).alias(f"u{i}") for i, c in enumerate(part)]).first()
         unique |= {c: row[f"u{i}"] for i, c in enumerate(part)}
-    medians = exact_quantiles(df, {c: [0.5] for c in nums}) if with_median else {}
+    medians = exact_quantiles(df, {c: [0.5] for c in nums}, {c: read_sketch(first[f"quantiles_{cols.index(c)}"]) for c in nums}) if with_median and nums else {}
     n, rows = s["n"], []
     for i, c in enumerate(cols):
         u = unique.get(c, 0)

@@ -222,5 +222,5 @@ def clean_end_to_end(spark, sf):
 @query("C7_quartiles", "SELECT round(quantile_cont(l_extendedprice,0.25),4) AS q1, round(quantile_cont(l_extendedprice,0.5),4) AS q2, round(quantile_cont(l_extendedprice,0.75),4) AS q3 FROM lineitem")
 def quartiles(spark, sf):
     # narrow by histogram passes regardless of size, the path a large column takes
-    q = exact_quantiles(table(spark, sf, "lineitem").select("l_extendedprice"), {"l_extendedprice": [0.25, 0.5, 0.75]}, small=0)["l_extendedprice"]
+    q = exact_quantiles(table(spark, sf, "lineitem").select("l_extendedprice"), {"l_extendedprice": [0.25, 0.5, 0.75]})["l_extendedprice"]
     return spark.createDataFrame([tuple(round(v, 4) for v in q)], "q1 double, q2 double, q3 double")

@@ -34,7 +34,7 @@ def test_exact_quantiles_by_passes(spark, shape):
          "one_heavy_value": np.where(rng.uniform(size=3000) < 0.4, 2.5, rng.normal(size=3000)), "constant": np.full(50, 3.0)}[shape]
     df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
     probs = [0.0, 0.2, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = q.exact_quantiles(df, {"v": probs}, small=0, cells=16, listed=8)["v"]
+    got = q.exact_quantiles(df, {"v": probs}, cells=16, listed=8, grid=32)["v"]
     assert got == pytest.approx(list(np.quantile(v, probs)), rel=1e-12)
     assert q.exact_quantiles(df, {"v": probs})["v"] == pytest.approx(got, rel=1e-12)
 
@@ -59,8 +59,17 @@ def test_quantiles_of_extreme_values(spark):
     for col, kept in (("a", wide), ("b", tiny), ("c", odd[~np.isnan(odd)]), ("d", wide[::7])):
         kept = np.sort(kept)
         ranks = [0, 1, len(kept) // 3, len(kept) - 2, len(kept) - 1]
-        assert order_statistics(df, col, ranks, cells=8, listed=4) == [kept[r] for r in ranks]
-    got = exact_quantiles(df, {"b": [0.5], "c": [0.0, 0.25, 1.0], "d": [0.5]}, small=0, cells=8, listed=4)
+        assert order_statistics(df, col, ranks, cells=8, listed=4, grid=16) == [kept[r] for r in ranks]
+    got = exact_quantiles(df, {"b": [0.5], "c": [0.0, 0.25, 1.0], "d": [0.5]}, cells=8, listed=4, grid=16)
     c = odd[~np.isnan(odd)]
     assert got["c"][0] == -math.inf and got["c"][2] == math.inf and got["c"][1] == np.quantile(c, 0.25)
     assert got["b"] == [np.quantile(tiny, 0.5)]
+
+
+def test_quantiles_with_a_wrong_sketch(spark):
+    """A bracket that misses its rank is widened until it holds it."""
+    v = np.random.default_rng(4).normal(size=3000)
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    wrong = {"v": q.Sketch(3000, sorted(float(x) for x in v + 0.7)[::30])}
+    for listed in (10, 50_000):
+        assert q.exact_quantiles(df, {"v": [0.1, 0.5, 0.51, 0.9]}, wrong, listed=listed)["v"] == pytest.approx(list(np.quantile(v, [0.1, 0.5, 0.51, 0.9])), rel=1e-12)
