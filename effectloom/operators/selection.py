@@ -87,6 +87,7 @@ class CausalRequest:
     running: str | None = None
     cutoff: float | None = None
     nuisance: str = "linear"  # of double ML: linear or boosted
+    effects: bool = False     # also the effect of every row, by a causal forest
 
 
 @dataclass
@@ -96,6 +97,9 @@ class MethodResult:
     coefficients: DataFrame | None = None
     diagnostics: DataFrame | None = None
     edges: DataFrame | None = None
+    balance: DataFrame | None = None     # covariates before and after matching
+    effects: DataFrame | None = None     # method, key, effect of each row with interval
+    importance: DataFrame | None = None  # method, feature, share of the splits' gains
 
 
 @dataclass
@@ -104,9 +108,15 @@ class MethodRun:
     coefficients: DataFrame | None
     diagnostics: DataFrame | None
     edges: DataFrame | None
+    balance: DataFrame | None
+    effects: DataFrame | None
+    importance: DataFrame | None
     errors: dict[str, str]
 
 
+#: A forest of effects needs this many rows, and takes this many features at most.
+FOREST_ROWS, FOREST_FEATURES = 200, 20
+
 ESTIMATORS: dict[str, Callable[[DataFrame, CausalRequest], MethodResult]] = {}
 #: What a request that doesn't fit the data raises; anything else, such as a lost executor, is not isolated.
 INPUT_ERRORS = (ValueError, KeyError, TypeError, ArithmeticError, np.linalg.LinAlgError, AnalysisException, IllegalArgumentException,
@@ -145,11 +155,26 @@ def _panel(df, r):
     return MethodResult(res.fe.estimate(df.sparkSession, r.outcome, r.treatment), res.fe.coef_table(df.sparkSession), diagnostics_table(df.sparkSession, found) if found else None)
 
 
+def settled(small: DataFrame) -> DataFrame:
+    """A table of a few rows, computed now: it must not depend on what is cached during the run."""
+    return small.sparkSession.createDataFrame(small.collect(), small.schema)
+
+
 @register_estimator("diff_in_diff")
 def _did(df, r):
-    from .did import did
-    fit = did(df, r.outcome, r.treatment, r.time, r.entity)
-    return MethodResult(fit.estimate(df.sparkSession, r.outcome, r.treatment, "treat_post"), fit.coef_table(df.sparkSession))
+    from .did import did_diagnostics, did_frame
+    from .gram import ols
+    from .ordered import _numeric
+    frame = did_frame(df, r.treatment, r.time, r.entity)
+    fit = ols(frame, r.outcome, ["treated", "post", "treat_post"], "diff_in_diff")
+    if r.time is None:
+        return MethodResult(fit.estimate(df.sparkSession, r.outcome, r.treatment, "treat_post"), fit.coef_table(df.sparkSession))
+    days = F.col(r.time).cast("double") if _numeric(df, r.time) else F.datediff(r.time, F.lit("1970-01-01").cast("date")).cast("double")
+    try:
+        checks = did_diagnostics(frame.withColumn("__days", days), fit, r.outcome, "__days")
+    except INPUT_ERRORS:  # a single period before the start has no trend
+        checks = None
+    return MethodResult(fit.estimate(df.sparkSession, r.outcome, r.treatment, "treat_post"), fit.coef_table(df.sparkSession), checks)
 
 
 @register_estimator("instrumental_variable")
@@ -163,20 +188,30 @@ def _iv(df, r):
 
 @register_estimator("propensity_score")
 def _psm(df, r):
-    from .psm import att, propensity_score_matching
+    from .psm import att, balance, propensity_score_matching
     if r.key is None:
         raise ValueError("matching needs a key column")
-    pairs, _, _ = propensity_score_matching(df, r.key, r.outcome, r.treatment, covariates(df, r))
-    return MethodResult(att(pairs, r.outcome, r.treatment))
+    pairs, scored, xs = propensity_score_matching(df, r.key, r.outcome, r.treatment, covariates(df, r))
+    table = settled(balance(scored, pairs, "__treated", xs).select(F.lit("propensity_score").alias("method"), "*"))
+    checks = table.select("method", F.explode(F.array(*[F.struct(
+        F.concat(F.lit(f"{c}:"), "covariate").alias("name"), F.col(c).alias("value"), (F.col(c) >= 0.1).alias("flag")) for c in ("smd_before", "smd_after")])).alias("d"))
+    return MethodResult(att(pairs, r.outcome, r.treatment), diagnostics=checks.select("method", "d.*"), balance=table)
 
 
 @register_estimator("double_ml")
 def _dml(df, r):
-    from .dml import boosted_residuals, dml_estimate, linear_residuals, with_folds
+    from .dml import boosted_residuals, dml_estimate, forest_cate, linear_residuals, with_folds
     if r.key is None:
         raise ValueError("cross-fitting needs a key column")
-    residuals = {"linear": linear_residuals, "boosted": boosted_residuals}[r.nuisance]
-    return MethodResult(dml_estimate(residuals(with_folds(df, r.key), r.outcome, r.treatment, covariates(df, r)), r.outcome, r.treatment))
+    xs = covariates(df, r)
+    res = {"linear": linear_residuals, "boosted": boosted_residuals}[r.nuisance](with_folds(df, r.key), r.outcome, r.treatment, xs)
+    out = MethodResult(dml_estimate(res, r.outcome, r.treatment))
+    # as few as 200 rows or one feature give no forest
+    if r.effects and len(xs) >= 2 and res.limit(FOREST_ROWS).count() >= FOREST_ROWS:
+        rows, importance = forest_cate(res, xs[:FOREST_FEATURES], r.key, out="effect")
+        out.effects = rows.select(F.lit("double_ml").alias("method"), F.col(r.key).cast("string").alias("key"), "effect", "effect_se", "effect_lower", "effect_upper")
+        out.importance = importance.select(F.lit("double_ml").alias("method"), "*")
+    return out
 
 
 @register_estimator("rdd")
@@ -186,7 +221,7 @@ def _rdd(df, r):
     cutoff = median(df, running) if cutoff is None else cutoff
     fit = rdd(df, r.outcome, running, cutoff).fit
     dense = density_chi2(df, running, cutoff).select(F.lit("rdd").alias("method"), F.lit("density_chi2").alias("name"), F.col("chi2").alias("value"), F.col("concern").alias("flag"))
-    return MethodResult(fit.estimate(df.sparkSession, r.outcome, r.treatment, "above"), fit.coef_table(df.sparkSession), dense)
+    return MethodResult(fit.estimate(df.sparkSession, r.outcome, r.treatment, "above"), fit.coef_table(df.sparkSession), settled(dense))
 
 
 @register_estimator("dag_discovery")
@@ -219,7 +254,7 @@ def run_all(df: DataFrame, request: CausalRequest, methods: list[str]) -> Method
         frames = [getattr(x, part) for x in found.values() if getattr(x, part) is not None]
         return reduce(DataFrame.unionByName, frames) if frames else None
 
-    return MethodRun(union("estimate"), union("coefficients"), union("diagnostics"), union("edges"), errors)
+    return MethodRun(*[union(p) for p in ("estimate", "coefficients", "diagnostics", "edges", "balance", "effects", "importance")], errors)
 
 
 def run_methods(df: DataFrame, request: CausalRequest, methods: list[str]) -> tuple[DataFrame | None, dict[str, str]]:

@@ -407,6 +407,18 @@ def segment_cate(spark, sf):
     return dml.residual_effect(residuals(spark, sf).join(o, "l_orderkey"), "segment").select("segment", "n", r("ate").alias("ate"), r("se").alias("se"))
 
 
+@query("G4_run_diagnostics", f"""WITH {_RM} SELECT 'pre_trend_slope' AS name, round(max(k) FILTER (big=1)-max(k) FILTER (big=0),3) AS value
+ FROM (SELECT big, regr_slope(price, day-DATE '1970-01-01') AS k FROM d, md WHERE day<dd GROUP BY 1)
+ UNION ALL SELECT 'density_chi2', round((pow(b-(a+b)/2,2)+pow(a-(a+b)/2,2))/((a+b)/2),3) FROM (SELECT CAST(count(*) FILTER (qty<100) AS DOUBLE) AS b, CAST(count(*) FILTER (qty>=100) AS DOUBLE) AS a FROM d)""")
+def run_diagnostics(spark, sf):
+    """Checks that come with the methods of a run."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("day"))
+    df = baskets(spark, sf).join(o, "l_orderkey").withColumn("big", (F.col("qty") > 100).cast("int"))
+    req = sel.CausalRequest("price", "big", ["n_lines", "disc"], key="l_orderkey", time="day", running="qty", cutoff=100.0)
+    found = sel.run_all(df, req, ["DID", "rdd"]).diagnostics
+    return found.filter(F.col("name").isin("pre_trend_slope", "density_chi2")).select("name", r("value", 3).alias("value"))
+
+
 @query("G35_effect_matrix")
 def effect_matrix(spark, sf):
     b = baskets(spark, sf).persist()

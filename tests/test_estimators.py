@@ -376,12 +376,16 @@ def test_one_request_all_methods_by_alias(spark):
     income = (age / 10 + burden + rng.normal(size=n) > 4).astype(int)
     df = frame(spark, user_id=[f"u{i:05d}" for i in range(n)], gap=2.0 * income + 0.1 * age + rng.normal(size=n), income=income, age=age, burden=burden,
                city=["x", "y", "z"] * 300, year=np.arange(n) % 6)
-    req = sel.CausalRequest("gap", "income", ["age", "burden", "city"], key="user_id", time="year", running="age")
+    req = sel.CausalRequest("gap", "income", ["age", "burden", "city"], key="user_id", time="year", running="age", effects=True)
     run = sel.run_all(df, req, ["DML", "psm", "did", "2sls", "panel", "rdd", "dag", "nope"])
     assert run.errors == {"nope": "not registered"}
     got = {r["method"]: r["ate"] for r in run.estimates.collect()}
     assert len(got) == 6 and got["double_ml"] == pytest.approx(2.0, abs=0.3)
-    assert {r["name"] for r in run.diagnostics.collect()} >= {"partial_f", "density_chi2"} and run.edges.count() > 0
+    assert {r["name"] for r in run.diagnostics.collect()} >= {"partial_f", "density_chi2", "pre_trend_slope", "smd_before:age", "smd_after:age"} and run.edges.count() > 0
+    assert {r["covariate"]: r["improved"] for r in run.balance.collect()} == {"age": True, "burden": True}
+    effects = run.effects.agg(F.count("effect").alias("n"), F.avg("effect").alias("mean"), F.count_distinct("key").alias("keys")).first()
+    assert effects["n"] == effects["keys"] == n and effects["mean"] == pytest.approx(2.0, abs=0.3)
+    assert run.importance.agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
 
 
 def test_clustered_errors_do_not_count_nested_effects(spark):
