@@ -30,19 +30,19 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import rows, staged, tokenizer_path
 
-CACHE_WORDS = 350_000  # in each of two halves
 CHUNK_CHARS = 1_000_000
-MARKS = (",", ".")
 BUCKETS = 256
+# Fixed value: the pre-token pattern of byte-level files.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class TokenBytes:
     """Ids of whole texts as unsigned little-endian 32-bit numbers.
 
-    Byte-level pre-tokens never cross a single space or line break that stands
-    between two other characters, so such texts are cut there and each part is
-    encoded once.  Texts with runs of white space or special strings are encoded
-    whole.  Only speed depends on the cache.
+    Pairs of a byte-level file merge in order of their ids, so its vocabulary
+    serves as ranks for a faster encoder of the same kind.  Texts that hold
+    special strings, and those whose white space is too long for its pattern
+    search, go to the file's own tokenizer.
     """
 
     def __init__(self, path: str):
@@ -52,48 +52,23 @@ class TokenBytes:
         import tiktoken
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        # pairs of a byte-level file merge in order of their ids, so its vocabulary serves as ranks
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         chars = {chr(c): b for b, c in {**{b: 256 + n for n, b in enumerate(sorted(set(range(256)).difference(plain)))}, **{b: b for b in plain}}.items()}
-        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        ranks = {bytes(chars[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if t not in added}
-        self.ranked = tiktoken.Encoding("letters", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s\s", *map(re.escape, special)])).search
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.marks = dict(zip(MARKS, self.encode(list(MARKS))))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def letters(self, pre_token: str) -> bytes:
-        """Ids of a single pre-token, a space and letters, merged by the file's own ranks."""
-        return array("I", self.ranked(pre_token)).tobytes()
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(chars[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
+        self.fast = tiktoken.Encoding("ranks", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        self.special = re.compile("|".join(map(re.escape, sorted(special)))).search if special else lambda text: None
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        cut = {i: t.replace("\n", " \n").split(" ") for i, t in enumerate(texts) if not self.whole(t)}
-        apart = [i for i in range(len(texts)) if i not in cut]
-        for i, ids in zip(apart, self.encode([texts[i] for i in apart])):
-            out[i] = ids
-        if len(self.cache) > CACHE_WORDS:
-            self.cache, self.old = {}, self.cache  # words in use come back from the old half
-        new = set().union(*(p[1:] for p in cut.values())).difference(self.cache)
-        # a pre-token ends between a letter and one mark, so the word before the mark is encoded once for all marks
-        marked = [w for w in new if w[-1:] in MARKS and w[-2:-1].isalpha()]
-        plain = new.difference(marked).union([w[:-1] for w in marked]).difference(self.cache)
-        again = plain.intersection(self.old)
-        self.cache.update([(w, self.old[w]) for w in again])
-        plain = list(plain.difference(again))
-        other = [w for w in plain if not w.isalpha()]
-        self.cache.update(zip(other, self.encode([w if w[:1] == "\n" else " " + w for w in other])))
-        self.cache.update([(w, self.letters(" " + w)) for w in plain if w.isalpha()])
-        self.cache.update([(w, self.cache[w[:-1]] + self.marks[w[-1]]) for w in marked])
-        first = self.encode([p[0] for p in cut.values()])
-        for (i, p), head in zip(cut.items(), first):
-            out[i] = head + b"".join(map(self.cache.__getitem__, p[1:]))
-        return out
+        return [self.one(t) for t in texts]
+
+    def one(self, text: str) -> bytes:
+        if not self.special(text):
+            try:
+                return self.fast(text).tobytes()
+            except ValueError:  # the pattern search ran out of stack
+                pass
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 @lru_cache(maxsize=2)

@@ -61,6 +61,7 @@ def test_token_bytes_equal_the_library(tokenizer):
     rng = random.Random(5)
     texts = ["".join(rng.choice("ab' \n\t.1é漢 s") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     texts += ["".join(rng.choice("abé漢ªßŉ 𝒳m,.") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += [" " * 1_500_000 + "x", "\n" * 1_200_000, "é" * 300_000, "-" * 100_000, "it's <|endoftext|>'ll" * 3, "a" * 200_000]
     mine = TokenBytes(tokenizer_path("byte_bpe_50k.json"))(texts)
     assert mine == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
