@@ -65,7 +65,8 @@ def repeated_units(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
     """One row per removed unit: id, place, begin, end, kept_id, kept_begin, digest, n_found, stretch_words."""
     table = staged(units(docs, id_col, text_col), "units")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "place", "row", "begin")
-    groups = table.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n_found")).filter("n_found > 1")
+    # written down, so that the join below reads both sides from shuffles of their own and splits a digest that very many units share
+    groups = staged(table.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n_found")).filter("n_found > 1"), "repeated-digests")
     later = (F.col("row") != F.col("first.row")) | (F.col("place") != F.col("first.place"))
     repeats = table.join(groups, ["high", "low"]).filter(later)
     # places of a stretch minus their number in the document are one value
