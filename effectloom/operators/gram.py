@@ -11,6 +11,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ COEF_SCHEMA = ("method string, term string, coef double, se double, t_stat doubl
                "ci_lower double, ci_upper double")
 ESTIMATE_SCHEMA = ("method string, outcome string, treatment string, ate double, se double, stat double, "
                    "p_value double, ci_lower double, ci_upper double, significant boolean, n long")
+WIDE = 48  # columns of one aggregate of moments
 DIAGNOSTIC_SCHEMA = "method string, name string, value double, flag boolean"
 
 
@@ -62,8 +65,56 @@ def read_moments(row, cols: list[str]) -> Moments:
     return Moments(list(cols), n, mean, cross)
 
 
+def blocked_moments(df: DataFrame, cols: list[str], block: int = 64) -> Moments:
+    """Complete-case moments of any number of columns.
+
+    One aggregate for the means, one pass of matrix products about them.  A task
+    adds up its rows and gives square blocks of the cross products; blocks are
+    added 64 at a time over the tasks, so no group holds more than a few of them.
+    """
+    k = len(cols)
+    d = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).na.drop()
+    first = d.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)]).first()
+    n = first["n"]
+    if not n:
+        return Moments(list(cols), 0.0, np.full(k, np.nan), np.zeros((k, k)))
+    mean = np.array([first[f"m{i}"] for i in range(k)])
+    cuts = list(range(0, k, block))
+
+    def partial(batches):
+        cross, rest = np.zeros((k, k)), np.zeros(k)
+        for b in batches:
+            x = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(k)], 1) - mean
+            cross += x.T @ x
+            rest += x.sum(0)
+        parts = [(-1, -1, rest.tobytes())] + [(i, j, cross[i:i + block, j:j + block].tobytes()) for i in cuts for j in cuts if j >= i]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.int32()), pa.array([p[2] for p in parts])], names=["i", "j", "v"])
+
+    def added(part: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(v) for v in part["v"])
+        return pd.DataFrame({"i": part["i"][:1], "j": part["j"][:1], "task": part["task"][:1], "v": [total.tobytes()]})
+
+    parts = d.mapInArrow(partial, "i int, j int, v binary").withColumn("task", F.spark_partition_id())
+    for _ in range(3):
+        parts = parts.withColumn("task", F.floor(F.col("task") / 64).cast("int")).groupBy("i", "j", "task").applyInPandas(added, "i int, j int, task int, v binary")
+    cross, rest = np.zeros((k, k)), np.zeros(k)
+    for row in parts.collect():  # a row per pair of blocks
+        v = np.frombuffer(row["v"])
+        if row["i"] < 0:
+            rest += v
+        else:
+            i, j = slice(row["i"], row["i"] + block), slice(row["j"], row["j"] + block)
+            v = v.reshape(cross[i, j].shape)
+            cross[i, j] += v
+            if row["i"] != row["j"]:
+                cross[j, i] += v.T
+    return Moments(list(cols), float(n), mean + rest / n, cross - np.outer(rest, rest) / n)
+
+
 def moments(df: DataFrame, cols: list[str]) -> Moments:
-    """Complete-case moments of ``cols`` in a single pass."""
+    """Complete-case moments of ``cols``: one aggregate, or matrix blocks where that would be too many expressions to compile."""
+    if len(cols) > WIDE:
+        return blocked_moments(df, cols)
     return read_moments(df.select(*cols).na.drop().agg(*moment_exprs(cols)).first(), cols)
 
 

@@ -419,6 +419,20 @@ def run_diagnostics(spark, sf):
     return found.filter(F.col("name").isin("pre_trend_slope", "density_chi2")).select("name", r("value", 3).alias("value"))
 
 
+_WIDE = 120
+
+
+@query("G5_wide_moments", "WITH m AS (SELECT " + ", ".join(f"avg(l_partkey%{i + 3}) AS m{i}, covar_pop(l_quantity, l_partkey%{i + 3}) AS v{i}" for i in range(_WIDE)) + " FROM lineitem) SELECT unnest(["
+       + ", ".join(f"'k{i}'" for i in range(_WIDE)) + "]) AS term, round(unnest([" + ", ".join(f"m{i}" for i in range(_WIDE)) + "]),6) AS mean, round(unnest(["
+       + ", ".join(f"v{i}" for i in range(_WIDE)) + "]),6) AS cov FROM m")
+def wide_moments(spark, sf):
+    """Means of 120 columns and their covariances with one more."""
+    df = table(spark, sf, "lineitem").select("l_quantity", *[(F.col("l_partkey") % (i + 3)).alias(f"k{i}") for i in range(_WIDE)])
+    m = gram.moments(df, df.columns)
+    rows = [(c, float(m.mean[i]), float(m.cross[0, i] / m.n)) for i, c in enumerate(m.cols) if i]
+    return spark.createDataFrame(rows, "term string, mean double, cov double").withColumns({"mean": r("mean", 6), "cov": r("cov", 6)})
+
+
 @query("G35_effect_matrix")
 def effect_matrix(spark, sf):
     b = baskets(spark, sf).persist()

@@ -399,3 +399,16 @@ def test_clustered_errors_do_not_count_nested_effects(spark):
     meat = sum((xd[g == k] @ (yd - b * xd)[g == k]) ** 2 for k in range(8))
     assert panel.panel_regression(df, "g", "y", ["x"]).fe.se[0] == pytest.approx(np.sqrt(meat * 40 / 39) / (xd @ xd))
     assert panel.panel_regression(df, "g", "y", ["x"], count_effects=True).fe.se[0] == pytest.approx(np.sqrt(meat * 40 / 31) / (xd @ xd))
+
+
+def test_wide_moments_equal_numpy(spark):
+    """400 columns, large offsets, rows with a missing value left out, tasks without rows."""
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(300, 400)) @ rng.normal(size=(400, 400)) + 1e6
+    rows = [[float(v) for v in r] for r in x] + [[None] + [0.0] * 399]
+    df = spark.createDataFrame(rows, ", ".join(f"x{i} double" for i in range(400))).repartition(130)
+    m = gram.moments(df, df.columns)
+    assert m.n == 300 and m.mean == pytest.approx(x.mean(0), rel=1e-12)
+    want = np.cov(x.T) * 299
+    assert np.abs(m.cross - want).max() < 1e-9 * np.abs(want).max()
+    assert gram.moments(df.limit(0), df.columns).n == 0
