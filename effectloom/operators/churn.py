@@ -106,7 +106,7 @@ def renewal_cohorts(policies: DataFrame, days: int = 30, slice_rows: int = SLICE
     later than ``days`` after its expiry.
     """
     work = policies.withColumn("__pos", seconds("effective_date"))
-    nxt = carry(work, ["user_id", "product"], "__pos", ["__pos", "policy_id"], {"next_start": F.col("effective_date")},
+    nxt = carry(work, ["user_id", "product"], ["__pos", "policy_id"], {"next_start": F.col("effective_date")},
                 direction="ahead", slice_rows=slice_rows)
     first = policies.groupBy("user_id", "product").agg(F.min("effective_date").alias("first_start"))
     year = F.floor(F.datediff("effective_date", "first_start") / 365).cast("int") + 1

@@ -87,7 +87,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
     # match backwards, and after it when it may match ahead.
     left_first = (direction == "back") == strict
     tagged = _tagged(left, right, key, left_ts, right_ts, payload, left_first)
-    got = carry(tagged, ["__key"], "__pos", ["__pos", "__side"], {"__match": F.col("__right")},
+    got = carry(tagged, ["__key"], ["__pos", "__side"], {"__match": F.col("__right")},
                 direction=direction, slice_rows=slice_rows).filter(F.col("__left").isNotNull())
     return got.select("__left.*", F.col(f"__match.{right_ts}").alias(right_ts),
                       *[F.col(f"__match.{c}").alias(c) for c in payload])

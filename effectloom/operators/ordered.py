@@ -1,14 +1,17 @@
 """Ordered per-key operators that do not put a hot key into one task.
 
-A window over ``partitionBy(key)`` sorts each key in a single task.  Here keys
-with more than ``slice_rows`` rows are cut into slices along the order axis;
-windows run inside (key, slice) and a small table of slice summaries carries the
-boundary value into the next slice.  A count decides first; without hot keys the
-operator is one plain window.
+A window over ``partitionBy(key)`` sorts each key in a single task.  Here the rows
+of keys with more than ``slice_rows`` rows are range-partitioned by key and full
+sort order, so equal times spread over slices as well; windows run inside
+(key, slice) and a small table of slice summaries carries the boundary value into
+the next slice.  A count decides first; without hot keys the operator is one plain
+window.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,32 +20,30 @@ from ..sources.workspace import materialize
 SLICE_ROWS = 2_000_000
 
 
-def _position(order: str) -> Column:
-    return F.col(order).cast("double")
-
-
 AUTO = object()
 
 
-def hot_keys(df: DataFrame, keys: list[str], position: str, slice_rows: int = SLICE_ROWS) -> DataFrame | None:
-    """Keys above the limit with their slice width, or None when there are none.
+def hot_keys(df: DataFrame, keys: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame | None:
+    """Keys above the limit with their row count, or None when there are none.
 
     One map-side-combined count decides: without hot keys the operators below
     stay single plain windows.  At most rows/slice_rows keys are listed.
     """
-    hot = materialize(
-        df.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(position).alias("__lo"), F.max(position).alias("__hi"))
-        .filter(F.col("__n") > slice_rows)
-        .withColumn("__width", (F.col("__hi") - F.col("__lo")) / F.ceil(F.col("__n") / F.lit(slice_rows)))
-        .select(*keys, "__lo", "__width"))
+    hot = materialize(df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > slice_rows))
     return None if hot.isEmpty() else hot
 
 
-def with_slices(df: DataFrame, keys: list[str], position: str, hot: DataFrame) -> DataFrame:
-    """Add ``__slice``: 0 for ordinary keys, equal-width steps for hot ones."""
-    at = F.when(F.col("__width") > 0, F.floor((F.col(position) - F.col("__lo")) / F.col("__width"))).otherwise(F.lit(0))
-    return (df.join(hot, keys, "left")
-            .withColumn("__slice", F.coalesce(at, F.lit(0)).cast("long")).drop("__lo", "__width"))
+def with_slices(df: DataFrame, keys: list[str], order: list[str], hot: DataFrame, slice_rows: int) -> DataFrame:
+    """Add ``__slice``: 0 for ordinary keys, ranges of (key, order) of about ``slice_rows`` rows for hot ones.
+
+    The ranges come from a sample of the rows and are written down: a later read
+    of the same plan would be free to draw other ones.
+    """
+    rows = hot.agg(F.sum("__n")).first()[0]
+    marked = df.join(hot.select(*keys, F.lit(True).alias("__hot")), keys, "left")
+    sliced = materialize(marked.filter("__hot").repartitionByRange(math.ceil(rows / slice_rows) + 1, *keys, *order)
+                         .withColumn("__slice", F.spark_partition_id().cast("long")))
+    return marked.filter("__hot IS NULL").withColumn("__slice", F.lit(0).cast("long")).unionByName(sliced).drop("__hot")
 
 
 def seconds(col: str | Column) -> Column:
@@ -51,16 +52,15 @@ def seconds(col: str | Column) -> Column:
     return F.unix_micros(c.cast("timestamp")).cast("double") / 1e6
 
 
-def carry(df: DataFrame, keys: list[str], position: str, order: list[str], values: dict[str, Column],
+def carry(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column],
           direction: str = "back", include_current: bool = False, slice_rows: int = SLICE_ROWS, hot=AUTO) -> DataFrame:
     """Nearest earlier (back) or later (ahead) non-null value per key.
 
-    ``position`` is a numeric column; ``order`` is the full sort, ``position``
-    first.  Each entry of ``values`` is an expression that is null on rows that
+    ``order`` is the full sort.  Each entry of ``values`` is an expression that is null on rows that
     must not be picked; its picked value lands in the named column.
     """
     if hot is AUTO:
-        hot = hot_keys(df, keys, position, slice_rows)
+        hot = hot_keys(df, keys, slice_rows)
     picked = {f"__v{i}": e for i, e in enumerate(values.values())}
     # Looking ahead is looking back over the reversed order: a frame that starts at
     # the first row grows by one row at a time, one that ends at the last row is
@@ -72,7 +72,7 @@ def carry(df: DataFrame, keys: list[str], position: str, order: list[str], value
     if hot is None:
         return (df.withColumns(picked).withColumns({name: F.last(f"__v{i}", ignorenulls=True).over(frame) for i, name in enumerate(values)})
                 .drop(*picked))
-    work = with_slices(df.withColumns(picked), keys, position, hot)
+    work = with_slices(df.withColumns(picked), keys, order, hot, slice_rows)
     step = F.col("__slice").asc() if back else F.col("__slice").desc()
     across = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     edge = F.max_by if back else F.min_by
@@ -87,16 +87,16 @@ def carry(df: DataFrame, keys: list[str], position: str, order: list[str], value
     return out.drop("__slice", *picked, *[f"__l{i}" for i in range(len(picked))], *[f"__c{i}" for i in range(len(picked))])
 
 
-def running_sum(df: DataFrame, keys: list[str], position: str, order: list[str], value: Column, out: str,
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str,
                 slice_rows: int = SLICE_ROWS, hot=AUTO) -> DataFrame:
     """Cumulative sum per key in order, slice totals carried forward."""
     if hot is AUTO:
-        hot = hot_keys(df, keys, position, slice_rows)
+        hot = hot_keys(df, keys, slice_rows)
     cell = keys if hot is None else [*keys, "__slice"]
     so_far = Window.partitionBy(*cell).orderBy(*[F.col(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     if hot is None:
         return df.withColumn(out, F.sum(value).over(so_far))
-    work = with_slices(df.withColumn("__v", value), keys, position, hot)
+    work = with_slices(df.withColumn("__v", value), keys, order, hot, slice_rows)
     across = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = (work.groupBy(*keys, "__slice").agg(F.sum("__v").alias("__t"))
               .select(*keys, "__slice", F.coalesce(F.sum("__t").over(across), F.lit(0)).alias("__before")))
@@ -113,7 +113,7 @@ def keep_latest(df: DataFrame, key: str, order: list[str], k: int = 4) -> DataFr
 def version_diff(df: DataFrame, key: str, version: str, fields: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(key, version, field, old, new) for fields that changed since the previous snapshot."""
     snap = F.struct(*[F.col(f).cast("string").alias(f) for f in fields])
-    prev = carry(df.withColumn("__pos", F.col(version).cast("double")), [key], "__pos", ["__pos"],
+    prev = carry(df.withColumn("__pos", F.col(version).cast("double")), [key], ["__pos"],
                  {"__prev": snap}, slice_rows=slice_rows)
     changes = F.explode(F.array(*[
         F.struct(F.lit(f).alias("field"), F.col(f"__prev.{f}").alias("old_value"),
@@ -147,7 +147,7 @@ def activity_tier(days: Column) -> Column:
 def transitions(states: DataFrame, key: str, ts: str, state: str, tiebreak: str, allowed: list[tuple[str, str]],
                 slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Previous state per row and whether the step is an allowed one."""
-    prev = carry(states.withColumn("__pos", seconds(ts)), [key], "__pos", ["__pos", tiebreak],
+    prev = carry(states.withColumn("__pos", seconds(ts)), [key], ["__pos", tiebreak],
                  {"prev_state": F.col(state)}, slice_rows=slice_rows).drop("__pos")
     pairs = states.sparkSession.createDataFrame(allowed, "prev_state string, `__to` string").withColumn("legal", F.lit(True))
     return (prev.withColumn("__to", F.col(state)).join(F.broadcast(pairs), ["prev_state", "__to"], "left")
@@ -202,9 +202,9 @@ def sessionize(events: DataFrame, key: str, ts: str, tiebreak: str, gap_seconds:
                slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Sessions per key: start, end, events; a gap of ``gap_seconds`` or more starts a new one."""
     work = events.select(key, ts, tiebreak).withColumn("__pos", seconds(ts))
-    hot = hot_keys(work, [key], "__pos", slice_rows)
-    prev = carry(work, [key], "__pos", ["__pos", tiebreak], {"__prev": F.col("__pos")}, hot=hot)
+    hot = hot_keys(work, [key], slice_rows)
+    prev = carry(work, [key], ["__pos", tiebreak], {"__prev": F.col("__pos")}, slice_rows=slice_rows, hot=hot)
     new = F.when(F.col("__prev").isNull() | (F.col("__pos") - F.col("__prev") >= gap_seconds), 1).otherwise(0)
-    numbered = running_sum(prev, [key], "__pos", ["__pos", tiebreak], new, "session", hot=hot)
+    numbered = running_sum(prev, [key], ["__pos", tiebreak], new, "session", slice_rows, hot)
     return numbered.groupBy(key, "session").agg(
         F.min(ts).alias("session_start"), F.max(ts).alias("last_event"), F.count("*").alias("n_events"))

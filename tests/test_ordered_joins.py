@@ -23,7 +23,7 @@ def rows():
 @pytest.mark.parametrize("slice_rows", [10_000, 17])
 def test_carry(spark, rows, direction, include, slice_rows):
     df = spark.createDataFrame(rows, "id long, u long, t double, v long")
-    out = od.carry(df, ["u"], "t", ["t", "id"], {"got": F.col("v")}, direction, include, slice_rows)
+    out = od.carry(df, ["u"], ["t", "id"], {"got": F.col("v")}, direction, include, slice_rows)
     got = {r["id"]: r["got"] for r in out.collect()}
     p = pd.DataFrame(rows, columns=["id", "u", "t", "v"]).sort_values(["u", "t", "id"])
     s = p.groupby("u")["v"]
@@ -37,7 +37,7 @@ def test_carry(spark, rows, direction, include, slice_rows):
 @pytest.mark.parametrize("slice_rows", [10_000, 17])
 def test_running_sum_and_sessions(spark, rows, slice_rows):
     df = spark.createDataFrame(rows, "id long, u long, t double, v long").withColumn("ts", F.timestamp_seconds(F.col("t") * 60))
-    out = od.running_sum(df, ["u"], "t", ["t", "id"], F.coalesce("v", F.lit(0)), "cum", slice_rows)
+    out = od.running_sum(df, ["u"], ["t", "id"], F.coalesce("v", F.lit(0)), "cum", slice_rows)
     p = pd.DataFrame(rows, columns=["id", "u", "t", "v"]).sort_values(["u", "t", "id"])
     want = dict(zip(p["id"], p["v"].fillna(0).groupby(p["u"]).cumsum()))
     assert {r["id"]: r["cum"] for r in out.collect()} == want
@@ -46,6 +46,22 @@ def test_running_sum_and_sessions(spark, rows, slice_rows):
     assert len(sess) == p["new"].sum() and sum(r["n_events"] for r in sess) == len(p)
 
 
+@pytest.mark.parametrize("spread", [1, 30])
+def test_hot_key_at_one_instant_spreads(spark, spread):
+    """All rows of a key carry the same time (or few times): slices follow the full order."""
+    n = 3000
+    df = spark.range(n).select("id", F.lit(1).alias("u"), (F.col("id") % spread).cast("double").alias("t"))
+    hot = od.hot_keys(df, ["u"], 300)
+    sizes = [r["n"] for r in od.with_slices(df, ["u"], ["t", "id"], hot, 300).groupBy("__slice").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == n and len(sizes) >= 9 and max(sizes) < 900
+    out = od.running_sum(df, ["u"], ["t", "id"], F.lit(1), "rank", 300)
+    want = {i: k + 1 for k, i in enumerate(sorted(range(n), key=lambda i: (i % spread, i)))}
+    assert {r["id"]: r["rank"] for r in out.collect()} == want
+    prev = od.carry(df, ["u"], ["t", "id"], {"prev": F.col("id")}, slice_rows=300)
+    by_rank = {k: i for i, k in want.items()}
+    assert {r["id"]: r["prev"] for r in prev.collect()} == {i: by_rank.get(k - 1) for i, k in want.items()}
+
+
 @pytest.mark.parametrize("direction,strict", [("back", False), ("back", True), ("ahead", False), ("ahead", True)])
 def test_asof(spark, rows, direction, strict):
     left = spark.createDataFrame([(i, u, t) for i, u, t, _ in rows], "id long, u long, t double").withColumn("lt", F.timestamp_seconds("t"))
