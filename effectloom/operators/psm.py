@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tails import t_two_sided
 from ..sources.workspace import materialize
+from .assignment import one_to_one_match
 from .gram import estimate_row
 from .joins import nearest_match
 from .typing import binarize, numeric_columns, standardize
@@ -91,11 +92,12 @@ def common_support(df: DataFrame, treated: str, score: str) -> DataFrame:
     return df.filter(F.col(score).between(F.lit(r["lo"]), F.lit(r["hi"])))
 
 
-def propensity_score_matching(df: DataFrame, key: str, y: str, treatment: str, causes: list[str]):
-    """Binarize, score, match 1-NN with replacement; returns (pairs, scored, covariates)."""
+def propensity_score_matching(df: DataFrame, key: str, y: str, treatment: str, causes: list[str], replace: bool = True):
+    """Binarize, score, match 1-NN with replacement, or one to one at the least total distance; returns (pairs, scored, covariates)."""
     xs = confounders(df, y, treatment, causes)
     # the score feeds several passes of the match: compute it once
     scored = materialize(propensity(binarize(df, treatment, "__treated"), "__treated", xs).select(
         key, "__treated", "score", *dict.fromkeys([y, *xs])))
-    pairs = matched_rows(scored, nearest_match(scored, key, "__treated", "score"), key, [y, *xs])
+    match = nearest_match if replace else one_to_one_match
+    pairs = matched_rows(scored, match(scored, key, "__treated", "score"), key, [y, *xs])
     return pairs, scored, xs

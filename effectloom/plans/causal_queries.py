@@ -11,6 +11,7 @@ from ..operators import joins as jn
 from ..operators import ordered as od
 from ..operators import profiling as pf
 from ..operators import typing as ty
+from ..operators.assignment import one_to_one_match
 from ..operators.histtrees import honest_forest
 from .inputs import r, table
 from .profiling_queries import _NN
@@ -195,6 +196,30 @@ def one_nn_matching(spark, sf):
     return jn.nearest_match(scored(spark, sf), "c_custkey", "t", "score", slices=4).select("treated_key", "treated_score", "control_key", "control_score")
 
 
+# levels of the running balance of the sorted scores; in each, neighbours pair around the one left out
+_ONE_TO_ONE = """WITH u AS (SELECT c_custkey k, CAST(c_mktsegment='BUILDING' AS INTEGER) t, round(1/(1+exp(-(c_acctbal-4500)/3000)),3) s FROM customer WHERE c_acctbal IS NOT NULL AND c_mktsegment IS NOT NULL),
+l AS (SELECT *, sum(2*t-1) OVER (ORDER BY s,t,k ROWS UNBOUNDED PRECEDING)-t lev, CAST(round(s*1000000000) AS BIGINT) w FROM u),
+p AS (SELECT *, row_number() OVER o i, sum((2*t-1)*w) OVER o z, count(*) OVER (PARTITION BY lev) n FROM l WINDOW o AS (PARTITION BY lev ORDER BY s,t,k)),
+x AS (SELECT lev, CASE WHEN max(n)%2=1 THEN arg_min(i, (2*z+w)*10000000+i) FILTER (t=0) END d FROM p GROUP BY 1),
+q AS (SELECT p.*, (i+CASE WHEN d IS NOT NULL AND i>d THEN 0 ELSE 1 END)//2 pr FROM p JOIN x USING (lev) WHERE d IS NULL OR i<>d),
+m AS (SELECT max(k) FILTER (t=1) treated_key, max(s) FILTER (t=1) treated_score, max(k) FILTER (t=0) control_key, max(s) FILTER (t=0) control_score FROM q GROUP BY lev, pr)"""
+
+
+@query("G13_without_replacement", _ONE_TO_ONE + " SELECT * FROM m")
+def without_replacement(spark, sf):
+    return one_to_one_match(scored(spark, sf), "c_custkey", "t", "score").drop("distance")
+
+
+@query("G14_att_without_replacement", _ONE_TO_ONE + """, sp AS (SELECT c_custkey k, coalesce(s,0) y FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) s FROM orders GROUP BY 1) ON o_custkey=c_custkey)
+ SELECT count(*) AS n, round(avg(a.y-b.y),3) AS ate, round(stddev_samp(a.y-b.y)/sqrt(count(*)),3) AS se, round(sum(abs(treated_score-control_score)),4) AS total_distance
+ FROM m JOIN sp a ON a.k=treated_key JOIN sp b ON b.k=control_key""")
+def att_without_replacement(spark, sf):
+    df = scored(spark, sf)
+    pr = psm.matched_rows(df, one_to_one_match(df, "c_custkey", "t", "score"), "c_custkey", ["spend"])
+    total = pr.agg(F.round(F.sum("distance"), 4).alias("total_distance"))
+    return psm.att_table(pr, "spend").select("n", r("ate", 3).alias("ate"), r("se", 3).alias("se")).crossJoin(total)  # one row on each side
+
+
 @query("G14_att", _PAIRS + " SELECT round(avg(ts-cs),3) AS ate, round(stddev_samp(ts-cs)/sqrt(count(*)),3) AS se, count(*) AS n, "
        "round(avg(ts-cs)-1.96*stddev_samp(ts-cs)/sqrt(count(*)),3) AS ci_lower FROM pr")
 def att(spark, sf):
