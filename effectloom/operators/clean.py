@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles, number, sketched
 from ..sources.workspace import materialize
 from . import typing as ty
-from .gram import moments, solve_linear
+from .gram import WIDE, Moments, evidence_ridge, moment_exprs, moments, read_moments
 
+PATTERNS = 1024  # patterns of holes whose moments are held at once
 UNKNOWN = "未知"  # fixed value: filler for a categorical column without any mode
 
 
@@ -46,37 +48,116 @@ def impute_mode(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(modes.get(c, UNKNOWN)).try_cast(kinds[c])) for c in cols})
 
 
-def iterative_impute(df: DataFrame, cols: list[str], rounds: int = 10, ridge: float = 1e-6,
-                     tol: float = 1e-3) -> DataFrame:
-    """Chained-equation imputation with a ridge regression per column.
+def iterative_impute(df: DataFrame, cols: list[str], rounds: int = 10, tol: float = 1e-3,
+                     max_patterns: int = PATTERNS) -> DataFrame:
+    """Chained imputation by Bayesian ridge regressions, columns with fewer holes first.
 
-    Each column step is one moment aggregate over its observed rows; only the
-    coefficients reach the driver.  A reliable checkpoint per round keeps the
-    plan short.
+    Holes (null or NaN) start at the column's mean.  In each round every column
+    with holes is regressed on all others, holes as filled so far, over the rows
+    that have it; the rounds end when no coefficient moves by more than ``tol`` of
+    itself.
+
+    Within rows that miss the same columns every filled value is one affine map of
+    the present ones, so the moments per pattern of holes, one aggregate, hold all
+    that the rounds need: they run on k-by-k matrices, and the maps (at most
+    ``max_patterns`` of them) are applied in one pass.  With more patterns, or more
+    columns than one aggregate of moments takes, each regression is an aggregate over the rows instead; the results are the same.
+
+    A column without any value stays empty and takes no part.
     """
-    flags = {f"__missing_{c}": F.col(c).isNull() for c in cols}
-    means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    work = materialize(df.withColumns(flags).withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), F.lit(means[c])) for c in cols}))
+    if not cols:
+        return df
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    seen = df.agg(F.count(F.lit(1)).alias("n"), *[
+        F.struct(F.count(v).alias("n"), F.avg(v).alias("m")).alias(c) for c, v in value.items()]).first()
+    used = [c for c in cols if seen[c]["n"]]
+    holes = sorted((c for c in used if seen[c]["n"] < seen["n"]), key=lambda c: (-seen[c]["n"], cols.index(c)))
+    work = df.withColumns({c: value[c] for c in cols})
+    if not holes:
+        return work
+    pattern = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in holes])
+    many = len(used) > WIDE or 2 ** len(holes) > max_patterns and work.select(pattern).distinct().limit(max_patterns + 1).count() > max_patterns
+    if many:
+        return _impute_rows(work, used, holes, {c: seen[c]["m"] for c in holes}, rounds, tol)
+    maps = _impute_maps(work, pattern, used, holes, [seen[c]["m"] for c in used], rounds, tol)
+    kinds = "__pattern string, " + ", ".join(f"__map{i} array<double>" for i in range(len(holes)))
+    table = F.broadcast(df.sparkSession.createDataFrame(maps, kinds))  # at most max_patterns rows of k * k numbers
+    present = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in used], F.lit(1.0))
+    filled = {c: F.coalesce(F.col(c), F.aggregate(F.zip_with(f"__map{i}", "__present", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x))
+              for i, c in enumerate(holes)}
+    return (work.withColumns({"__pattern": pattern, "__present": present}).join(table, "__pattern")
+            .withColumns(filled).select(*df.columns))
+
+
+def _chain(holes: list[str], used: list[str], rounds: int, tol: float, moments_of, fill, after_round) -> None:
+    """The rounds of a chained imputation over either form of the data."""
     previous: dict[str, list[float]] = {}
     for _ in range(rounds):
         change = 0.0
-        for c in cols:
-            others = [o for o in cols if o != c]
-            m = moments(work.filter(~F.col(f"__missing_{c}")), [*others, c])
-            beta, intercept = solve_linear(m, others, c, ridge)
-            guess = F.lit(intercept)
-            for b, o in zip(beta, others):
-                guess = guess + F.lit(float(b)) * F.col(o)
-            work = work.withColumn(c, F.when(F.col(f"__missing_{c}"), guess).otherwise(F.col(c)))
+        for c in holes:
+            others = [o for o in used if o != c]
+            beta, intercept = evidence_ridge(moments_of(c), others, c)
+            fill(c, others, beta, intercept)
             now = [*beta, intercept]
             old = previous.get(c)
             change = max(change, max(abs(a - b) / (abs(a) + 1e-12) for a, b in zip(now, old)) if old else 1.0)
             previous[c] = now
-        work = materialize(work)
+        after_round()
         if change < tol:
             break
-    return work.drop(*flags)
+
+
+def _impute_maps(work: DataFrame, pattern: Column, used: list[str], holes: list[str], means: list[float],
+                 rounds: int, tol: float) -> list[tuple]:
+    """(pattern, a row of weights over the present columns and a constant per column with holes)."""
+    k = len(used)
+    rows = work.groupBy(pattern.alias("__pattern")).agg(*moment_exprs(used)).collect()  # at most max_patterns
+    raw, maps, missing = {}, {}, {}
+    for r in rows:
+        p = r["__pattern"]
+        raw[p] = read_moments(r, used)
+        missing[p] = {c for c, bit in zip(holes, p) if bit == "1"}
+        gone = np.array([c in missing[p] for c in used])
+        raw[p].mean[gone] = 0.0
+        maps[p] = np.hstack([np.diag((~gone).astype(float)), np.where(gone, means, 0.0)[:, None]])
+
+    def moments_of(c: str) -> Moments:
+        total = None
+        for p, m in raw.items():
+            if c not in missing[p]:
+                a = maps[p][:, :k]
+                part = Moments(used, m.n, a @ m.mean + maps[p][:, k], a @ m.cross @ a.T)
+                total = part if total is None else total.plus(part)
+        return total
+
+    def fill(c: str, others: list[str], beta: np.ndarray, intercept: float) -> None:
+        at, ix = used.index(c), [used.index(o) for o in others]
+        for p, m in maps.items():
+            if c in missing[p]:
+                m[at] = beta @ m[ix]
+                m[at, k] += intercept
+
+    _chain(holes, used, rounds, tol, moments_of, fill, lambda: None)
+    return [(p, *[[float(x) for x in m[used.index(c)]] for c in holes]) for p, m in maps.items()]
+
+
+def _impute_rows(work: DataFrame, used: list[str], holes: list[str], means: dict[str, float], rounds: int, tol: float) -> DataFrame:
+    """One aggregate a regression and a reliable checkpoint a round."""
+    names = work.columns
+    state = [materialize(work.withColumns({f"__missing_{c}": F.col(c).isNull() for c in holes}).withColumns(
+        {c: F.coalesce(F.col(c), F.lit(means[c])) for c in holes}))]
+
+    def fill(c: str, others: list[str], beta: np.ndarray, intercept: float) -> None:
+        guess = F.lit(intercept)
+        for b, o in zip(beta, others):
+            guess = guess + F.lit(float(b)) * F.col(o)
+        state[0] = state[0].withColumn(c, F.when(F.col(f"__missing_{c}"), guess).otherwise(F.col(c)))
+
+    def after_round() -> None:
+        state[0] = materialize(state[0])
+
+    _chain(holes, used, rounds, tol, lambda c: moments(state[0].filter(~F.col(f"__missing_{c}")), used), fill, after_round)
+    return state[0].select(*names)
 
 
 def iqr_bounds(df: DataFrame, cols: list[str], k: float = 1.5, min_n: int = 1) -> dict[str, tuple[float, float]]:

@@ -167,13 +167,42 @@ def mode_impute(spark, sf):
     return cl.impute_mode(dirty(spark, sf), ["segment", "nation"]).select("id", "segment", "nation")
 
 
-@query("C3_iterative_impute")
-def iterative_impute(spark, sf):
+def _holes(spark, sf):
     li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("price"),
                                                                 F.avg("l_discount").alias("disc"))
-    holes = li.withColumn("qty", F.when(F.col("l_orderkey") % 9 == 0, F.lit(None)).otherwise(F.col("qty"))).withColumn(
-        "price", F.when(F.col("l_orderkey") % 13 == 0, F.lit(None)).otherwise(F.col("price")))
-    return cl.iterative_impute(holes, ["qty", "price", "disc"]).select("l_orderkey", r("qty").alias("qty"), r("price", 2).alias("price"))
+    return li.withColumns({"qty": F.when(F.col("l_orderkey") % 9 != 0, F.col("qty")), "price": F.when(F.col("l_orderkey") % 13 != 0, F.col("price"))})
+
+
+@query("C3_iterative_impute")
+def iterative_impute(spark, sf):
+    return cl.iterative_impute(_holes(spark, sf), ["qty", "price", "disc"]).select("l_orderkey", r("qty").alias("qty"), r("price", 2).alias("price"))
+
+
+def _evidence_sql(name, source, x1, x2, y, where):
+    """Moments, precisions turn by turn, and the last turn's slopes and intercept of y on two columns."""
+    def fit(ratio, state):
+        det = f"((s11+{ratio})*(s22+{ratio})-s12*s12)"
+        return (f"SELECT *, yy-2*(w1*r1+w2*r2)+w1*w1*s11+2*w1*w2*s12+w2*w2*s22 AS sse, 2-ratio*(s11+s22+2*ratio)/det AS free FROM "
+                f"(SELECT *, ((s22+ratio)*r1-s12*r2)/det AS w1, ((s11+ratio)*r2-s12*r1)/det AS w2 FROM (SELECT {state}, {ratio} AS ratio, {det} AS det, {name}_m.* FROM ")
+    noise, slopes = "((n-free+2e-6)/(sse+2e-6))", "((free+2e-6)/(w1*w1+w2*w2+2e-6))"
+    return f"""{name}_m AS (SELECT count(*) AS n, avg({x1}) AS m1, avg({x2}) AS m2, avg({y}) AS my, var_pop({x1})*count(*) AS s11, covar_pop({x1},{x2})*count(*) AS s12, var_pop({x2})*count(*) AS s22,
+ covar_pop({x1},{y})*count(*) AS r1, covar_pop({x2},{y})*count(*) AS r2, var_pop({y})*count(*) AS yy FROM {source} WHERE {where}),
+{name}_e AS (SELECT turn, w1, w2, sse, free, 1e9 AS moved FROM ({fit("(yy/n)", "-1 AS turn")} {name}_m))) UNION ALL
+ SELECT turn, w1, w2, sse, free, abs(w1-o1)+abs(w2-o2) AS moved FROM ({fit(f"({slopes}/{noise})", "turn+1 AS turn, o1, o2")}
+ (SELECT turn, w1, w2, sse, free, w1 AS o1, w2 AS o2 FROM {name}_e WHERE turn<299 AND NOT (turn>=1 AND moved<1e-3)) _s, {name}_m)))),
+{name} AS (SELECT w1, w2, my-m1*w1-m2*w2 AS w0 FROM {name}_e, {name}_m ORDER BY turn DESC LIMIT 1)"""
+
+
+@query("C3_imputation_round", f"""WITH RECURSIVE h AS (SELECT l_orderkey AS k, CASE WHEN l_orderkey%9<>0 THEN sum(l_quantity) END AS qty, CASE WHEN l_orderkey%13<>0 THEN sum(l_extendedprice) END AS price, avg(l_discount) AS d FROM lineitem GROUP BY 1),
+a AS (SELECT k, qty, price, d, coalesce(qty, (SELECT avg(qty) FROM h)) AS q FROM h),
+{_evidence_sql("p1", "a", "q", "d", "price", "price IS NOT NULL")},
+b AS (SELECT k, qty, d, q, coalesce(price, w0+w1*q+w2*d) AS p FROM a, p1),
+{_evidence_sql("q1", "b", "p", "d", "qty", "qty IS NOT NULL")}
+SELECT k AS l_orderkey, round(coalesce(qty, w0+w1*p+w2*d),3) AS qty, round(p,0) AS price FROM b, q1""")
+def imputation_round(spark, sf):
+    """One round: price has fewer holes and is filled first, quantity then from the filled price."""
+    out = cl.iterative_impute(_holes(spark, sf), ["qty", "price", "disc"], rounds=1)
+    return out.select("l_orderkey", r("qty", 3).alias("qty"), r("price", 0).alias("price"))
 
 
 _IQR = "q AS (SELECT quantile_cont(l_extendedprice,0.25) a, quantile_cont(l_extendedprice,0.75) b FROM lineitem), lim AS (SELECT a-0.4*(b-a) lo, b+0.4*(b-a) hi FROM q)"
