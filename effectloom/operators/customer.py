@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.bands import ENGAGEMENT_POINTS, code_map, engagement_tier, sigmoid
 from .ordered import activity_tier
 from .profiling import top_k_values
+from .typing import mark_missing
 
 PRODUCTS = ("medical", "critical_illness", "accident", "life", "annuity")
 
@@ -103,9 +104,12 @@ def tag_freshness(tags: DataFrame, asof: str) -> DataFrame:
 
 
 def build_profiles(customers: DataFrame, policies: DataFrame, events: DataFrame, asof: str, seq: int = 1,
-                   travel_kinds: Sequence[str] = ("travel",)) -> DataFrame:
+                   travel_kinds: Sequence[str] = ("travel",), health_fields: Sequence[str] = ()) -> DataFrame:
     """One five-layer document per user.
 
+    ``health_fields`` are customer columns; the health layer holds them with the
+    share that is filled (0 without any) and missing / partial / complete.
+
     Fact tables are aggregated before the joins.  The document holds bounded
     maps only; policy details stay rows of the policy table.
     """
@@ -115,11 +119,14 @@ def build_profiles(customers: DataFrame, policies: DataFrame, events: DataFrame,
     zero |= {f"{a}_{p}": 0 for p in PRODUCTS for a in ("n", "sum")}
     work = need_tags(work.na.fill(zero))
     missing = F.lit("missing")
+    health = list(health_fields)
+    work = mark_missing(work, health, "__filled") if health else work.withColumn("__filled", F.lit(0.0))
+    status = F.when(F.col("__filled") == 0, missing).when(F.col("__filled") < 1, "partial").otherwise("complete")
     return work.select(
         "user_id", F.lit(f"v{asof.replace('-', '')}_{seq:03d}").alias("version"),
         F.struct("age", "income", "children", "city_tier").alias("basic_tags"),
         F.struct("policy_count", "active_count", "total_premium", "coverage_matrix").alias("insurance_tags"),
-        F.struct(missing.alias("status"), F.lit(0.0).alias("data_completeness")).alias("health_tags"),
+        F.struct(*health, status.alias("status"), F.col("__filled").alias("data_completeness")).alias("health_tags"),
         F.struct("last_interaction", "n_30d", "n_90d", "top_event_types",
                  F.coalesce("activity_tier", missing).alias("activity_tier"),
                  dormancy_score(F.col("days_since"), F.col("n_30d")).alias("dormancy_score"),

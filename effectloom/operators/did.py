@@ -11,7 +11,7 @@ from .ordered import median_period, seconds
 from .typing import NUMERIC, treatment_post
 
 
-def text_order_statistic(df: DataFrame, col: str, rank: int, step: int = 2) -> str:
+def text_order_statistic(df: DataFrame, col: str, rank: int, step: int = 1) -> str:
     """Value at a 0-based rank of a text column, in Spark's string order.
 
     Each pass counts the next ``step`` characters under the prefix found so far,

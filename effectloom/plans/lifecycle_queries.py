@@ -59,6 +59,18 @@ def profiles(spark, sf):
                     F.col(f"{b}.intent_level").alias("intent_level"), F.array_join(F.transform("need_tags", lambda t: t["tag"]), ",").alias("need_tags"))
 
 
+@query("H1_health_layer", f"""WITH {CUSTOMERS}, h AS (SELECT user_id, CASE WHEN user_id%5<>0 THEN 18.0+user_id%17 END AS bmi, CASE WHEN user_id%4<2 THEN CASE WHEN user_id%3=0 THEN 'yes' ELSE 'no' END END AS smoker,
+ CASE WHEN user_id%20<>0 AND user_id%4<>3 THEN segment END AS last_result FROM customers), f AS (SELECT *, ((bmi IS NOT NULL)::INT+(smoker IS NOT NULL)::INT+(last_result IS NOT NULL)::INT)/3.0::DOUBLE AS s FROM h)
+SELECT user_id, CAST(bmi AS DOUBLE) AS bmi, smoker, round(s,4) AS data_completeness, CASE WHEN s=0 THEN 'missing' WHEN s<1 THEN 'partial' ELSE 'complete' END AS status FROM f""")
+def health_layer(spark, sf):
+    k = F.col("user_id")
+    c = customers(spark, sf).withColumns({
+        "bmi": F.when(k % 5 != 0, 18.0 + k % 17), "smoker": F.when(k % 4 < 2, F.when(k % 3 == 0, "yes").otherwise("no")),
+        "last_result": F.when((k % 20 != 0) & (k % 4 != 3), F.col("segment"))})
+    p = cu.build_profiles(c, shifted(spark, sf), table(spark, sf, "events"), EVENTS_ASOF, health_fields=["bmi", "smoker", "last_result"])
+    return p.select("user_id", "health_tags.bmi", "health_tags.smoker", r(F.col("health_tags.data_completeness")).alias("data_completeness"), "health_tags.status")
+
+
 @query("H2_rfm_segments", f"""WITH {CUSTOMERS}, {POLICIES}, {_EV}, p AS (SELECT user_id, count(*) n, sum(premium) m FROM policies GROUP BY 1)
 SELECT user_id, CASE WHEN coalesce(d<=90,false) AND n>=3 AND m>20000 THEN 'high_value' WHEN coalesce(d<=90,false) THEN 'potential' WHEN n>=3 AND m>20000 THEN 'at_risk' ELSE 'dormant' END AS rfm_segment
  FROM (SELECT c.user_id, d, coalesce(n,0) n, coalesce(m,0) m FROM customers c LEFT JOIN p USING (user_id) LEFT JOIN ev USING (user_id))""")

@@ -35,8 +35,14 @@ def daily_counts(stream: DataFrame, ts: str, level: str, delay: str = "1 day") -
 
 
 def sliding_activity(stream: DataFrame, ts: str, key: str, delay: str = "1 day", length: str = "30 days", step: str = "1 day") -> DataFrame:
+    """Events per key in windows of ``length`` that start every ``step``; ``length`` is a multiple of ``step``.
+
+    Rows are counted per step first, so a count, not every event, enters all the
+    windows over it.
+    """
     w = stream.withWatermark(ts, delay) if stream.isStreaming else stream
-    return (w.groupBy(F.window(ts, length, step), key).agg(F.count("*").alias("n"))
+    steps = w.groupBy(F.window(ts, step), key).agg(F.count("*").alias("n_step")).select(F.window_time("window").alias("__at"), key, "n_step")
+    return (steps.groupBy(F.window("__at", length, step), key).agg(F.sum("n_step").alias("n"))
             .select(F.col("window.end").alias("window_end"), key, "n"))
 
 
