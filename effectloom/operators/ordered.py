@@ -2,7 +2,7 @@
 
 A window over ``partitionBy(key)`` sorts each key in a single task.  Here the rows
 of keys with more than ``slice_rows`` rows are range-partitioned by key and full
-sort order, so equal times spread over slices as well; windows run inside
+sort order and cut into slices, so equal times spread over slices as well; windows run inside
 (key, slice) and a small table of slice summaries carries the boundary value into
 the next slice.  A count decides first; without hot keys the operator is one plain
 window.
@@ -34,15 +34,20 @@ def hot_keys(df: DataFrame, keys: list[str], slice_rows: int = SLICE_ROWS) -> Da
 
 
 def with_slices(df: DataFrame, keys: list[str], order: list[str], hot: DataFrame, slice_rows: int) -> DataFrame:
-    """Add ``__slice``: 0 for ordinary keys, ranges of (key, order) of about ``slice_rows`` rows for hot ones.
+    """Add ``__slice``: 0 for ordinary keys, runs of ``slice_rows`` rows of the full order (key, order) for hot ones.
 
-    The ranges come from a sample of the rows and are written down: a later read
-    of the same plan would be free to draw other ones.
+    Tasks and slices are counted apart: rows are sorted in ranges, no more of them than
+    the shuffle has partitions or `SLICE_ROWS` rows each ask for, and each range is cut
+    by row number, so short slices cost no tasks.  The ranges come from a sample of the
+    rows and are written down: a later read of the same plan would be free to draw other ones.
     """
     rows = hot.agg(F.sum("__n")).first()[0]
     marked = df.join(hot.select(*keys, F.lit(True).alias("__hot")), keys, "left")
-    sliced = materialize(marked.filter("__hot").repartitionByRange(math.ceil(rows / slice_rows) + 1, *keys, *order)
-                         .withColumn("__slice", F.spark_partition_id().cast("long")))
+    ranges = min(math.ceil(rows / slice_rows) + 1, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / SLICE_ROWS) + 1))
+    row = F.monotonically_increasing_id()  # the range's number above its row numbers, which have 33 bits
+    sliced = materialize(marked.filter("__hot").repartitionByRange(ranges, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("__row", row)
+                         .withColumn("__slice", F.col("__row") - F.pmod(F.col("__row"), F.lit(1 << 33)) + F.floor(F.pmod(F.col("__row"), F.lit(1 << 33)) / slice_rows))
+                         .drop("__row"))
     return marked.filter("__hot IS NULL").withColumn("__slice", F.lit(0).cast("long")).unionByName(sliced).drop("__hot")
 
 

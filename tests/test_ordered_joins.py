@@ -145,3 +145,15 @@ def test_schedule_runs_as_long_as_the_policy(spark):
     from effectloom.operators import policy as po
     p = spark.createDataFrame([(1, date(2010, 1, 1), "annual", 100.0)], "policy_id int, effective_date date, pay_freq string, premium double")
     assert po.payment_schedule(p, "2017-06-30").count() == 8
+
+
+def test_short_slices_cost_no_tasks(spark):
+    """The number of tasks follows the rows and the shuffle's partitions, not the number of slices."""
+    n = 4000
+    df = spark.range(n).select("id", (F.col("id") % 3).alias("u"), (F.col("id") % 40).cast("double").alias("t"))
+    out = od.with_slices(df, ["u"], ["t", "id"], od.hot_keys(df, ["u"], 10), 10)
+    cells = out.withColumn("task", F.shiftright("__slice", 33)).groupBy("task", "__slice").agg(F.count("*").alias("n")).collect()
+    assert len({r["task"] for r in cells}) <= 4 and len(cells) >= 400 and max(r["n"] for r in cells) == 10
+    prev = od.carry(df, ["u"], ["t", "id"], {"prev": F.col("id")}, slice_rows=10).filter("prev IS NOT NULL")
+    order = sorted(range(n), key=lambda i: (i % 3, i % 40, i))
+    assert {r["id"]: r["prev"] for r in prev.collect()} == {b: a for a, b in zip(order, order[1:]) if a % 3 == b % 3}
