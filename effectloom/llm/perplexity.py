@@ -1,11 +1,13 @@
 """Character n-gram language model with modified Kneser-Ney smoothing.
 
-Characters are folded into 64 classes (letters without case and accents, digits,
-spaces, groups of marks, and hashed classes for other scripts), so an n-gram of
-order 4 is an exact 24-bit key and a language has at most 2**24 of them, however
-large the corpus.  Spark counts the n-grams of all documents; a language's model
-is built from its counts and held as sorted arrays of keys with their
-log-probabilities, searched by bisection.
+A character's probability is that of its class after the three classes before it,
+times its own among the characters of that class.  There are 64 classes (letters
+without case and accents, digits, spaces, groups of marks, and classes that other
+signs and scripts share), so an n-gram of order 4 is an exact 24-bit key and a
+language has at most 2**24 of them, however large the corpus.  Every character of
+a shared class is counted by itself, at most one entry per code point.  Spark counts
+n-grams and characters of all documents; a language's model is built from its counts
+and held as sorted arrays of keys with their log-probabilities, searched by bisection.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import numpy as np
 
 BITS, ORDER = 6, 4
 CLASSES = 1 << BITS
+SHARED = 30  # classes from here on hold several characters; the others one letter, digit or space up to its form
 MARK_GROUPS = [".", ",", "!?", "-_", "\"'`", "()[]{}", ":;", "/\\", "#*$%&|<>", "=+@^~"]
 
 
@@ -45,11 +48,31 @@ def class_table() -> np.ndarray:
     return out
 
 
-def classes(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def classes_of(codes: np.ndarray) -> np.ndarray:
     return class_table()[np.where(codes < 1 << 16, codes, 0x4E00 + codes % 23)]
 
 
+def classes(text: str) -> np.ndarray:
+    return classes_of(code_points(text))
+
+
+@lru_cache(maxsize=1)
+def class_sizes() -> np.ndarray:
+    """Code points of every class."""
+    return np.bincount(classes_of(np.arange(0x110000, dtype=np.uint32)), minlength=CLASSES)
+
+
+def shared_characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Place in the joined texts and code point of each character of a shared class."""
+    codes = code_points("".join(texts))
+    at = np.nonzero(classes_of(codes) >= SHARED)[0]
+    return at, codes[at]
+
+
 def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """One key per character of the texts (its class and the three before it), and each text's length."""
     parts = [classes(t) for t in texts]
@@ -132,3 +155,27 @@ class Model:
             back, known = find(level.contexts, rest >> np.uint32(BITS) if k > 1 else np.zeros_like(rest))
             out[miss] = np.where(known, level.backoff[back], 0) + self.logp(rest & np.uint32((1 << BITS * (k - 1)) - 1), k - 1)
         return out
+
+
+class Characters:
+    """Characters within their shared classes: discounted counts; what the discounts leave goes evenly to all code points of the class."""
+
+    def __init__(self, code: np.ndarray, count: np.ndarray):
+        order = np.argsort(code)
+        self.codes, n = code[order].astype(np.uint32), count[order].astype(np.int64)
+        of = classes_of(self.codes)
+        d = np.minimum(discounts(n)[np.minimum(n, 3) - 1], n)
+        total, left = np.bincount(of, n, CLASSES), np.bincount(of, d, CLASSES)
+        size = np.maximum(class_sizes(), 1)
+        # a class without any count is even
+        even = np.divide(left, total, out=np.ones(CLASSES), where=total > 0) / size
+        self.known = np.log((n - d) / total[of] + even[of]).astype(np.float32)
+        self.unknown = np.log(even).astype(np.float32)
+
+    def logp(self, codes: np.ndarray) -> np.ndarray:
+        """Log-probability of each character given its class."""
+        out = self.unknown[classes_of(codes)]
+        if len(self.codes):
+            at, hit = find(self.codes, codes)
+            out[hit] = self.known[at[hit]]
+        return out

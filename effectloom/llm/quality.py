@@ -1,9 +1,11 @@
 """Quality rules: counted features and language-specific perplexity bands.
 
-One pass counts the character n-grams of all documents by language; tasks add up
-their own counts first, Spark sums them.  Languages with a sixty-fourth of all
+One pass counts the character n-grams of all documents by language, and the single
+characters of classes that several share; tasks add up their own counts first,
+Spark sums them.  Languages with a sixty-fourth of all
 characters or more get a modified Kneser-Ney model of their own, the others
-share one, so there are at most 65 of them, each of at most 2**24 n-grams a fold.  Models
+share one, so there are at most 65 of them, each of at most 2**24 n-grams a fold
+and one entry per code point.  Models
 are broadcast in passes of a bounded number of n-grams; one pass is the rule.  Texts
 are dealt into two folds by their hash, each fold has models of its own, and a
 second pass scores every whole text by the other fold's model: neither a text
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import rows, staged, text_or_empty
-from .perplexity import Model, keys
+from .perplexity import Characters, Model, keys, shared_characters
 
 OWN_SHARE = 1 / 64
 PASS_GRAMS = 8_000_000
@@ -59,9 +61,12 @@ def fold(text_col: str) -> Column:
 
 
 def gram_counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """(lang, gram, n) over all whole texts; lang is the fold, then nothing for null, else '=' and the value."""
+    """(lang, gram, n) over all whole texts; lang is the fold, then nothing for null, else '=' and the value.
+
+    A gram below zero is a single character of a shared class: -1 less its code point.
+    """
     def merged(parts):
-        gram = np.concatenate([p[0] for p in parts])
+        gram = np.concatenate([p[0] for p in parts]).astype(np.int32)
         n = np.concatenate([p[1] for p in parts])
         order = np.argsort(gram, kind="stable")
         gram, n = gram[order], n[order]
@@ -71,7 +76,7 @@ def gram_counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     def out(held):
         for lang, parts in held.items():
             gram, n = merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int32)), pa.array(n)], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n)], names=["lang", "gram", "n"])
 
     def count(batches):
         held, size = defaultdict(list), 0
@@ -82,9 +87,10 @@ def gram_counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                     if text:
                         by_lang[lang].append(text)
                 for lang, some in by_lang.items():
-                    gram, n = np.unique(keys(some)[0], return_counts=True)
-                    held[lang].append((gram, n.astype(np.int64)))
-                    size += len(gram)
+                    for found in (keys(some)[0].astype(np.int32), -1 - shared_characters(some)[1].astype(np.int32)):
+                        gram, n = np.unique(found, return_counts=True)
+                        held[lang].append((gram, n.astype(np.int64)))
+                        size += len(gram)
                 if size > TASK_GRAMS:
                     held = defaultdict(list, {k: [merged(v)] for k, v in held.items()})
                     size = sum(len(v[0][0]) for v in held.values())
@@ -113,14 +119,16 @@ def features(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated
 
 
-def models_of(counts: DataFrame, langs: list[str]) -> dict[tuple[str, str], Model]:
-    """One model per language and fold of a pass; the pass bounds what comes to the driver."""
+def models_of(counts: DataFrame, langs: list[str]) -> dict[tuple[str, str], tuple[Model, Characters]]:
+    """Models of classes and of characters per language and fold of a pass; the pass bounds what comes to the driver."""
     out = {}
     for lang in langs:
         for k in "01":
             part = counts.filter((F.col("lang") == lang) & (F.col("fold") == k)).select("gram", "n").toArrow()
             if part.num_rows:
-                out[lang, k] = Model(part["gram"].to_numpy().astype(np.uint32), part["n"].to_numpy())
+                gram, n = part["gram"].to_numpy(), part["n"].to_numpy()
+                single = gram < 0
+                out[lang, k] = Model(gram[~single].astype(np.uint32), n[~single]), Characters(-1 - gram[single], n[single])
     return out
 
 
@@ -130,8 +138,9 @@ def scored(docs: DataFrame, id_col: str, lang_col: str, text_col: str) -> DataFr
     raw = staged(gram_counts(docs, lang_col, text_col), "grams")
     # at most 64 languages can have that share
     raw = raw.select(F.substring("lang", 1, 1).alias("fold"), F.expr("substring(lang, 2)").alias("lang"), "gram", "n")
-    total = raw.agg(F.sum("n")).first()[0] or 0
-    own = sorted(r["lang"] for r in raw.groupBy("lang").agg(F.sum("n").alias("n")).filter(F.col("n") >= total * OWN_SHARE).collect())
+    grams = raw.filter("gram >= 0")  # one a character
+    total = grams.agg(F.sum("n")).first()[0] or 0
+    own = sorted(r["lang"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).filter(F.col("n") >= total * OWN_SHARE).collect())
     counts = staged(raw.withColumn("lang", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit("?"))).groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n")), "model")
     passes, held = [], 0
     for r in sorted(counts.groupBy("lang").count().collect(), key=lambda r: r["lang"]):
@@ -157,8 +166,12 @@ def scored(docs: DataFrame, id_col: str, lang_col: str, text_col: str) -> DataFr
                         if texts[i] and names[i]:
                             by_lang[names[i]].append(i)
                     for lang, some in by_lang.items():
-                        key, length = keys([texts[i] for i in some])
-                        logp = models[lang].logp(key).astype(np.float64)
+                        own_texts = [texts[i] for i in some]
+                        key, length = keys(own_texts)
+                        model, characters = models[lang]
+                        logp = model.logp(key).astype(np.float64)
+                        at, codes = shared_characters(own_texts)
+                        logp[at] += characters.logp(codes)
                         mean[some] = -np.add.reduceat(logp, np.cumsum(length) - length) / length
                 cols = zip(*map(features, texts))
                 yield pa.RecordBatch.from_arrays(

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from effectloom.llm.perplexity import Model, class_table, classes, keys
+from effectloom.llm.perplexity import Characters, Model, class_table, classes, classes_of, keys, shared_characters
 from effectloom.llm.quality import features, gram_counts, quality
 from effectloom.llm.queries import QUERIES
 
@@ -80,3 +80,41 @@ def test_junk_is_rejected_and_odd_rows_have_results(spark):
     assert not by_id[1000].base_failed and not by_id[1000].kept
     assert by_id[1001].base_failed and by_id[1001].perplexity is None and by_id[1002].base_failed and by_id[1003].n_repeat_words == 60
     assert quality(df.limit(0)).collect() == []
+
+
+def test_characters_of_a_shared_class_are_told_apart(spark):
+    """Letters of other scripts that share a class have probabilities of their own: the texts of the last row were all one to the classes."""
+    letters = [chr(0x430 + k) for k in range(32)] + [chr(0x4E00 + 7 * k) for k in range(60)]
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(letters + [" "] * 20, 400)) + "!" for _ in range(80)]
+    other = {c: chr(0x6000 + 23 * k + (ord(c) - 0x6000) % 23) for k, c in enumerate(letters)}
+    swapped = "".join(other.get(c, c) for c in texts[0])
+    assert (classes(swapped) == classes(texts[0])).all() and not set(swapped) & set(letters)
+    df = spark.createDataFrame([(i, "zz", t) for i, t in enumerate([*texts, swapped])], "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in quality(df).collect()}
+    assert got[80].perplexity > 5 * got[0].perplexity
+    got = quality(df, min_words=1, max_repeat_percent=100).collect()
+    assert all(r.kept == (r.doc_id < 80) for r in got)
+
+
+def test_characters_are_a_distribution_within_each_class():
+    texts = ["абв漢字, (x)! \U0001F600 ?" * 9, "где [y]. 漢 ¿"]
+    at, codes = shared_characters(texts)
+    assert "".join(map(chr, codes)) == "".join(c for c in "".join(texts) if classes(c)[0] >= 30)
+    assert ["".join(texts)[i] for i in at] == list(map(chr, codes))
+    table = Characters(*np.unique(codes, return_counts=True))
+    every = np.arange(0x110000, dtype=np.uint32)
+    of = classes_of(every)
+    total = np.bincount(of, np.exp(table.logp(every).astype(float)), 64)
+    assert np.allclose(total[30:][np.bincount(of, minlength=64)[30:] > 0], 1, atol=1e-4)
+    many, few, none = table.logp(np.array([ord("漢"), 0x1F600, 0x5DDD], np.uint32))
+    assert many > none and few > none
+
+
+def test_counts_hold_every_shared_character(spark):
+    docs = [(1, "en", "漢字 漢!"), (2, "en", "漢\U0001F600?")]
+    got = gram_counts(spark.createDataFrame(docs, "doc_id long, lang string, text string"), "lang", "text").filter("gram < 0").collect()
+    have = Counter()
+    for r in got:
+        have[chr(-1 - r.gram)] += r.n
+    assert have == Counter("漢字漢!漢\U0001F600?")
