@@ -6,10 +6,12 @@ import math
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tails import normal_quantile
+from ..sources.workspace import written
 from .gram import moments
 from .profiling import correlations
 
@@ -213,42 +215,47 @@ def bootstrap_edges(df: DataFrame, key: str, cols: list[str], replicates: int =
     """Share of Poisson(1) replicates in which each pair passes the screen.
 
     The weight of a row in a replicate is drawn from a hash of (key, replicate),
-    so retries repeat it.  Rows are not expanded: weighted moments of `together`
-    replicates are columns of one aggregate.
+    so retries repeat it.  Rows are not expanded: they are written down once with the
+    columns used, and a pass adds up the weighted moments of `together` replicates,
+    a product of the batch's weights and its moments; Spark sums those of all tasks.
     """
-    def weight(rep: int):
-        u = (F.pmod(F.xxhash64(F.col(key), F.lit(rep)), F.lit(2 ** 40)) + 0.5) / F.lit(float(2 ** 40))
-        cum, p, k, steps = 0.0, math.exp(-1), 0, []
-        while cum < 1 - 2.0 ** -41:  # finer than the draw
-            cum += p
-            steps.append((cum, float(k)))
-            k += 1
-            p /= k
-        out = F.lit(float(k))
-        for edge, k in reversed(steps):
-            out = F.when(u < edge, F.lit(k)).otherwise(out)
-        return out
-
-    base = df.select(key, *cols).na.drop()
+    cum, p, k, edges = 0.0, math.exp(-1), 0, []
+    while cum < 1 - 2.0 ** -41:  # finer than the draw
+        cum += p
+        edges.append(cum)
+        k += 1
+        p /= k
+
+    base = written(df.select(key, *cols).na.drop(), "replicates")
     mean = base.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    base = base.withColumns({c: F.col(c) - F.lit(float(mean[c] or 0.0)) for c in cols})
+    centred = [(F.col(c) - F.lit(float(mean[c] or 0.0))).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]
+    products = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    terms = 1 + len(cols) + len(products)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     rows = []
     for first in range(1, replicates + 1, together):
         reps = range(first, min(first + together, replicates + 1))
-        work = base.withColumns({f"__w{t}": weight(t) for t in reps})
-        exprs = []
-        for t in reps:
-            w = F.col(f"__w{t}")
-            exprs += [F.sum(w).alias(f"n{t}"), *[F.sum(w * F.col(c)).alias(f"s{t}_{i}") for i, c in enumerate(cols)],
-                      *[F.sum(w * F.col(a) * F.col(b)).alias(f"p{t}_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]]
-        one = work.agg(*exprs).first()
+
+        def partial(batches, reps=reps):
+            total = np.zeros((len(reps), terms))
+            for b in batches:
+                x = [b.column(i).to_numpy() for i in range(len(cols))]
+                moments_ = np.stack([np.ones(b.num_rows), *x, *(x[i] * x[j] for i, j in products)], 1)
+                draws = np.stack([b.column(len(cols) + i).to_numpy() for i in range(len(reps))])
+                # as many events as limits lie at or below the draw
+                total += np.searchsorted(edges, (draws + 0.5) / 2.0 ** 40, "right").astype(float) @ moments_
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(reps, np.int32), terms)), pa.array(np.tile(np.arange(terms, dtype=np.int32), len(reps))),
+                                              pa.array(total.ravel())], names=["rep", "term", "v"])
+
+        draws = [F.pmod(F.xxhash64(F.col(key), F.lit(t)), F.lit(2 ** 40)).alias(f"u{t}") for t in reps]
+        got = base.select(*centred, *draws).mapInArrow(partial, "rep int, term int, v double").groupBy("rep", "term").agg(F.sum("v").alias("v"))
+        one = {(r["rep"], r["term"]): r["v"] for r in got.collect()}
         for t in reps:
             for a, b in pairs:
-                i, j, n = cols.index(a), cols.index(b), one[f"n{t}"]
+                i, j, n = cols.index(a), cols.index(b), one.get((t, 0))
                 if not n:
                     continue
-                cov, va, vb = (one[f"p{t}_{x}_{y}"] - one[f"s{t}_{x}"] * one[f"s{t}_{y}"] / n for x, y in ((i, j), (i, i), (j, j)))
+                cov, va, vb = (one[t, 1 + len(cols) + products.index((min(x, y), max(x, y)))] - one[t, 1 + x] * one[t, 1 + y] / n for x, y in ((i, j), (i, i), (j, j)))
                 rows.append((t, a, b, cov / math.sqrt(va * vb) if va > 0 and vb > 0 else None))
     long = df.sparkSession.createDataFrame(rows, "rep int, a string, b string, r double")
     return long.groupBy("a", "b").agg(F.avg((F.abs("r") > cutoff).cast("int")).alias("stability"), F.avg("r").alias("mean_r"))

@@ -412,3 +412,30 @@ def test_wide_moments_equal_numpy(spark):
     want = np.cov(x.T) * 299
     assert np.abs(m.cross - want).max() < 1e-9 * np.abs(want).max()
     assert gram.moments(df.limit(0), df.columns).n == 0
+
+
+def test_bootstrap_computes_its_rows_once(spark):
+    """The rows come through a counted step: once, not once a pass of replicates; moments equal those of the drawn weights."""
+    from math import exp
+    n, seen = 400, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    plain = spark.range(n).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5 + F.col("id") % 7).cast("double").alias("b")).localCheckpoint()
+    got = dag.bootstrap_edges(plain.mapInArrow(counted, plain.schema), "id", ["a", "b"], 20).first()
+    assert seen.value == n
+    p = plain.select("a", "b", *[F.pmod(F.xxhash64("id", F.lit(t)), F.lit(2 ** 40)).alias(f"u{t}") for t in range(1, 21)]).toPandas()
+    edges, cum, q = [], 0.0, exp(-1)
+    for k in range(1, 30):
+        cum += q
+        edges.append(cum)
+        q /= k
+    rs = []
+    for t in range(1, 21):
+        w = np.array([sum(e <= (u + 0.5) / 2 ** 40 for e in edges if e < 1) for u in p[f"u{t}"]])
+        c = np.cov(p["a"], p["b"], fweights=w)
+        rs.append(c[0, 1] / np.sqrt(c[0, 0] * c[1, 1]))
+    assert got["mean_r"] == pytest.approx(np.mean(rs)) and got["stability"] == np.mean(np.abs(rs) > 0.3)
