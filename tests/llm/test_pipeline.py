@@ -69,3 +69,13 @@ def test_empty_and_odd_documents(spark):
     for df in (docs, docs.limit(0)):
         for _, stage in P.STAGES:
             assert stage(spark, df, SF).count() >= 0
+
+
+def test_quality_rules_tell_characters_of_a_class_apart(spark):
+    """A text of characters that only share their classes with those of its language goes."""
+    import numpy as np
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(chr(0x4E00 + 7 * k) for k in rng.integers(0, 60, 3)) for _ in range(80)) for _ in range(61)]
+    odd = "".join(c if c == " " else chr(ord(c) + 23 * 80) for c in texts.pop())
+    docs = spark.createDataFrame([(i, t, "zz", "s", len(t)) for i, t in enumerate([*texts, odd])], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.quality_rules(spark, docs, SF).collect()) == list(range(60))
