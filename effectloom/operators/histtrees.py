@@ -91,17 +91,18 @@ def histograms(rows: DataFrame, columns: list[str], width: int, nodes: int, tree
     size = nodes * width * bins
 
     def partial(batches):
-        sums = np.zeros((trees, STATS, size))
+        sums = np.zeros((trees, STATS, nodes, width, bins))
         for b in batches:
             if not b.num_rows:
                 continue
             x = matrix(b.column(b.schema.get_field_index("bins")), np.uint8, width)
             for tree, some, node, values in stats(b, x):
-                base = node * (width * bins)
+                base, own = node * bins, x[some]
                 for f in range(width):
-                    slot = base + f * bins + x[some, f]
+                    slot = base + own[:, f]
                     for s, v in enumerate(values):
-                        sums[tree, s] += np.bincount(slot, v, size)
+                        sums[tree, s, :, f] += np.bincount(slot, v, nodes * bins).reshape(nodes, bins)
+        sums = sums.reshape(trees, STATS, size)
         tree, slot = np.nonzero(sums.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(tree * size + slot), *[pa.array(sums[tree, s, slot]) for s in range(STATS)]], names=["slot", "s0", "s1", "s2"])
 
@@ -287,7 +288,9 @@ class HonestForest:
         """struct (cate, cate_se, cate_lower, cate_upper) of a row."""
         @F.pandas_udf("cate double, cate_se double, cate_lower double, cate_upper double")
         def predict(*cols: pd.Series) -> pd.DataFrame:
-            theta, se = self.effects(in_bins([c.to_numpy() for c in cols], self.cuts))
+            # rows of equal bins have one effect
+            bins, place = np.unique(in_bins([c.to_numpy() for c in cols], self.cuts), axis=0, return_inverse=True)
+            theta, se = (v[place.ravel()] for v in self.effects(bins))
             return pd.DataFrame({"cate": theta, "cate_se": se, "cate_lower": theta - 1.96 * se, "cate_upper": theta + 1.96 * se})
 
         return predict(*[F.col(x).cast("double") for x in self.xs])
@@ -344,23 +347,33 @@ def honest_forest(res: DataFrame, xs: list[str], key: Column, trees: int = 200,
     top, base, count = (np.zeros((trees, leaves)) for _ in range(3))
     gains = np.zeros(width)
     bound = int(share * 2 ** 64) if share < 1 else None
+    drawn = half is None
 
-    def member(batch: pa.RecordBatch, tree: int, estimating: bool) -> np.ndarray:
+    def members(batch: pa.RecordBatch, which: list[int], estimating: bool) -> Iterator[np.ndarray]:
+        """Rows of each tree's half; each draw is made only for rows that the draws before it left, a group's own once."""
         names = batch.schema.names
         h, fixed = batch.column(names.index("h")).to_numpy(), batch.column(names.index("half")).to_numpy()
-        keep = np.ones(len(h), bool)
-        if bound is not None:
-            keep = (mixed(h, seed + 3 * (tree // group)) < np.uint64(1 << 63)) & (mixed(h, seed + 1_000_003 + 3 * tree) < np.uint64(bound))
-        second = np.where(fixed >= 0, fixed == 1, mixed(h, seed + 2_000_003 + 3 * tree) < np.uint64(1 << 63))
-        return np.nonzero(keep & (second == estimating))[0]
+        every, last = np.arange(len(h)), None
+        for tree in which:
+            some = every
+            if bound is not None:
+                if tree // group != last:
+                    last = tree // group
+                    shared = np.nonzero(mixed(h, seed + 3 * last) < np.uint64(1 << 63))[0]
+                    shared_h = h[shared]
+                some = shared[mixed(shared_h, seed + 1_000_003 + 3 * tree) < np.uint64(bound)]
+            if drawn:
+                second = mixed(h[some], seed + 2_000_003 + 3 * tree) < np.uint64(1 << 63)
+            else:
+                second = np.where(fixed[some] >= 0, fixed[some] == 1, mixed(h[some], seed + 2_000_003 + 3 * tree) < np.uint64(1 << 63))
+            yield some[second == estimating]
 
     def passed(which: list[int], level: int, estimating: bool):
         def stats(batch: pa.RecordBatch, x: np.ndarray):
             names = batch.schema.names
             a, b = batch.column(names.index("a")).to_numpy(), batch.column(names.index("b")).to_numpy()
-            for at, tree in enumerate(which):
-                some = member(batch, tree, estimating)
-                yield at, some, grown[tree].node(x[some], level), [np.ones(len(some)), a[some], b[some]]
+            for at, some in enumerate(members(batch, which, estimating)):
+                yield at, some, grown[which[at]].node(x[some], level), [np.ones(len(some)), a[some], b[some]]
         return stats
 
     def gain(left: np.ndarray, right: np.ndarray) -> np.ndarray:
