@@ -79,3 +79,17 @@ def test_quality_rules_tell_characters_of_a_class_apart(spark):
     odd = "".join(c if c == " " else chr(ord(c) + 23 * 80) for c in texts.pop())
     docs = spark.createDataFrame([(i, t, "zz", "s", len(t)) for i, t in enumerate([*texts, odd])], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in P.quality_rules(spark, docs, SF).collect()) == list(range(60))
+
+
+def test_quality_rules_tell_the_order_of_characters_of_one_class(spark):
+    """Words of letters of one class: with their letters in another order the text is the same to the classes, but goes."""
+    import numpy as np
+    rng = np.random.default_rng(11)
+    letters = np.array([chr(0x4E00 + 23 * k) for k in range(60)])
+    words = ["".join(w) for w in rng.permutation(letters).reshape(20, 3)]
+    texts = [" ".join(rng.choice(words, 150)) for _ in range(61)]
+    last = texts.pop()
+    mixed = iter(rng.permutation(list(last.replace(" ", ""))))
+    odd = "".join(c if c == " " else next(mixed) for c in last)
+    docs = spark.createDataFrame([(i, t, "zz", "s", len(t)) for i, t in enumerate([*texts, last, odd])], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.quality_rules(spark, docs, SF).collect()) == list(range(61))
